@@ -1,18 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table (h1, h2, n_docs): for the 128-bit hash of each line key, in how many documents of its batches the key
-was found. It is bucketed and sorted by hash, so runs merge and anti-join without a sort. A batch adds one run at level
-0; when a level holds `fanout` runs they are compacted into one run of the next level.
+was found. Its files are dealt and sorted by hash, so that a merge join finds ordered input and row groups can be
+skipped. A batch adds one run at level 0; when a level holds `fanout` runs they are compacted into one of the next level.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BROADCAST_ROWS, ascii_lower, shared_dir, small, table
+from scriptorium.llm.common import BROADCAST_ROWS, ascii_lower, small, table
 
 SPACE = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
@@ -39,11 +37,7 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = [[]]
 
     def _write(self, counts: DataFrame) -> DataFrame:
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"line_run_{uuid.uuid4().hex}"
-        sorted_run = counts.repartition(n, *HASH).write.bucketBy(n, *HASH).sortBy(*HASH)
-        sorted_run.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+        return table(counts.repartition(*HASH).sortWithinPartitions(*HASH), "line_run")
 
     def add(self, counts: DataFrame) -> None:
         """Adds one batch's (h1, h2, n_docs), each hash once, as a new run, and compacts full levels."""
