@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, exact_dedup, lang_id, line_dedup, pieces, url_filter
+from scriptorium.llm import decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, url_filter
 from scriptorium.llm.common import crc_mod
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
@@ -17,6 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    out = deleted_interpolation.score(read(spark, sf_dir, "documents"), ~held_out, order=2)
+    return out.withColumn("held_out", held_out)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=13, share=20)
     return out.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
@@ -46,7 +52,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, held_out.alias("held_out"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontaminate, op4_url_filter, op6_pieces, op7_exact_dedup, op9_line_dedup, op10_lang_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_decontaminate, op4_url_filter, op6_pieces, op7_exact_dedup, op9_line_dedup, op10_lang_id)}
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": r"""
