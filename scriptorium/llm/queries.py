@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, url_filter
+from scriptorium.llm import dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, url_filter
 from scriptorium.llm.common import crc_mod
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
@@ -40,6 +40,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("n_points")
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(read(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_frequent_lines(read(spark, sf_dir, "documents"), min_docs=10, min_points=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,7 +56,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, held_out.alias("held_out"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_decontaminate, op4_url_filter, op6_pieces, op7_exact_dedup, op9_line_dedup, op10_lang_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_decontaminate, op4_url_filter, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id)}
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": r"""
