@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, url_filter
+from scriptorium.llm import dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, token_counts, url_filter
 from scriptorium.llm.common import crc_mod
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
@@ -32,6 +32,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    state = token_counts.build(docs.withColumn("edits", token_counts.derived_edits(F.col("doc_id"), F.col("text"))))
+    return token_counts.apply_edits(state).select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded", F.size("sizes").cast("long").alias("n_pieces"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -56,7 +62,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, held_out.alias("held_out"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_decontaminate, op4_url_filter, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_decontaminate, op4_url_filter, op5_token_counts, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id)}
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": r"""
