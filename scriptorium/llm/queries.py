@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, token_counts, url_filter
+from scriptorium.llm import chat_rotation, dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, token_counts, url_filter
 from scriptorium.llm.common import crc_mod
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
@@ -23,6 +23,10 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held_out)
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(read(spark, sf_dir, "conversations"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=13, share=20)
     return out.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
@@ -62,9 +66,18 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, held_out.alias("held_out"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_decontaminate, op4_url_filter, op5_token_counts, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op2_chat_rotation, op3_decontaminate, op4_url_filter, op5_token_counts, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id)}
 
 ORACLES: dict[str, str] = {
+    "op2_chat_rotation": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS name, coalesce(text, '') AS text FROM conversations),
+             s AS (SELECT DISTINCT conv_id AS cid, name AS speaker FROM t WHERE name <> 'system'),
+             r AS (SELECT t.*, speaker, CASE WHEN name = 'system' THEN 'system' WHEN name = speaker THEN 'assistant' ELSE 'user' END AS role FROM t LEFT JOIN s ON conv_id IS NOT DISTINCT FROM cid),
+             g AS (SELECT *, '<|' || role || '|>' || chr(10) || CASE WHEN role = 'user' THEN name || ': ' ELSE '' END || text || '<|end|>' || chr(10) AS segment FROM r),
+             p AS (SELECT *, row_number() OVER w - 1 AS seq, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS char_end FROM g WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, name, text))
+        SELECT conv_id, speaker, turn, seq, role, name, segment, char_end - length(segment) AS char_start, char_end,
+          CASE WHEN role = 'assistant' THEN char_end - length(segment) + 14 ELSE char_end END AS train_start, char_end AS train_end
+        FROM p""",
     "op3_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
              b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
