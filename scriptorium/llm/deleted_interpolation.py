@@ -225,6 +225,8 @@ def learn(known: DataFrame, order: int, n_kept: int, floor: float, rounds: int)
 
     tokens = table(known.mapInArrow(held, ", ".join(f"f{k} float, b{k} byte" for k in range(order))), "held_out")
     weights = np.full((order, BUCKETS), 0.5)
+    weights[1:, 0] = 0  # contexts that were not seen have no estimate
+    weights[0, 0] *= n_kept > 0
     for _ in range(rounds):
 
         def expected(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:

@@ -189,11 +189,12 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """The columns of encoded (which have ids, an array of int) and decoded, the text; null ids give null."""
     data = encoded.sparkSession.sparkContext.broadcast(read_model(encoded.sparkSession, path))
     rows = encoded.drop("decoded")
+    at = rows.columns.index("ids")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fast = loaded(data.value)[1]
-            found = [None if ids is None else fast.decode(ids, skip_special_tokens=False) for ids in batch.column(rows.columns.index("ids")).to_pylist()]
+            found = [None if ids is None else fast.decode(ids, skip_special_tokens=False) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(texts, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", decoded string")

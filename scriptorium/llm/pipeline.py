@@ -17,9 +17,10 @@ MIN_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language of the table's labels; rejects those without a letter or with a posterior below MIN_SCORE."""
     model = lang_id.train(docs)
-    judged = lang_id.identify(docs, model, *(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), F.col("text").alias("whole"))
+    own = [F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(docs.columns)]  # names of their own, as docs may have a score
+    judged = lang_id.identify(docs, model, *own)
     kept = judged.where((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIN_SCORE))
-    return kept.withColumnRenamed("whole", "text").select(*docs.columns)
+    return kept.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
