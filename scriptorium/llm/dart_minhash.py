@@ -7,8 +7,9 @@ K (ln K + 5) darts in all: the work is one dart an element and K log K more. A t
 coordinate. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts of one signature content (equal shingles and weights) are joined first and stand for one another. The others meet
-where a band of the signature agrees; in each bucket all are compared with one pivot, exactly, then pairs that still
-are in different classes and share a bucket are compared as well.
+where a band of the signature agrees. Texts with too few shingles that any other candidate has are set aside; in each
+bucket the others are compared, exactly, with the most central text (and `stars` - 1 others). Then pairs that share a bucket, still are in
+different classes and may still be similar enough are compared as well.
 """
 
 from __future__ import annotations
@@ -118,36 +119,54 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
-    """(id, shingles binary, weights binary) of the wanted (id): one text for each id."""
+    """(id, shingles array<long> in order, weights array<int>) of the wanted (id): one text for each id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 21):
                 part = batch.slice(a, b - a)
                 of, elements, weights = shingles(part.column(1), words)
-                edges = np.searchsorted(of, np.arange(len(part) + 1))
-                spans = list(zip(edges[:-1], edges[1:], strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([elements[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([weights[x:y].astype(np.int32).tobytes() for x, y in spans], pa.binary())], ["id", "shingles", "weights"])
+                edges = pa.array(np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (elements.view(np.int64), weights.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["id", "shingles", "weights"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(small(wanted, broadcast_rows), "id", "left_semi").mapInArrow(rows, "id long, shingles binary, weights binary").dropDuplicates(["id"])
+    return texts.join(small(wanted, broadcast_rows), "id", "left_semi").mapInArrow(rows, "id long, shingles array<long>, weights array<int>").dropDuplicates(["id"])
 
 
-def compared(pairs: DataFrame, docs: DataFrame, threshold: float, words: int, broadcast_rows: int) -> DataFrame:
+def shared(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, u): the weight of the shingles of each text that texts of two labels or more have; no overlap with another label is larger."""
+    places = held.join(labels, "id").select("id", "label", F.explode(F.arrays_zip("shingles", "weights")).alias("x")).select("id", "label", F.col("x.shingles").alias("s"), F.col("x.weights").alias("w"))
+    several = places.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("s")
+    return places.join(several, "s").groupBy("id").agg(F.sum("w").alias("u"))
+
+
+def hopeful(rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Rows (band, key, id, n, label) whose text may be similar enough to one of another label in its bucket, with u; no others.
+
+    A similarity of t takes an overlap of t / (1 + t) times both sizes together, and the overlap is at most u.
+    """
+    labels = rows.select("id", "label").distinct()
+    sized = rows.join(shared(held, labels), "id")
+    smallest = sized.groupBy("band", "key").agg(F.min("n").alias("smallest"))
+    kept = sized.join(smallest, ["band", "key"]).where(F.col("u") >= threshold / (1 + threshold) * (F.col("n") + F.col("smallest")) - 1e-6).drop("smallest")
+    kept = table(kept, "hopeful")
+    open_buckets = kept.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band", "key")
+    return table(kept.join(open_buckets, ["band", "key"], "left_semi"), "open")
+
+
+def compared(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact weighted Jaccard similarity is at least the threshold."""
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared_ids")
-    held = table(contents(docs, ids, words, broadcast_rows), "compared_texts")
     side = lambda x: held.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for sa, wa, sb, wb in zip(*(batch.column(c) for c in ("sa", "wa", "sb", "wb")), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (sa, sb))
-                p, q = (np.frombuffer(w.as_buffer(), np.int32) for w in (wa, wb))
+            for row in zip(*(batch.column(c) for c in ("sa", "wa", "sb", "wb")), strict=True):
+                x, p, y, q = (v.values.to_numpy() for v in row)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(p[i], q[j]).sum())
-                keep.append(shared >= threshold * (int(p.sum()) + int(q.sum()) - shared))
+                both = int(np.minimum(p[i], q[j]).sum())
+                keep.append(both >= threshold * (int(p.sum()) + int(q.sum()) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(alike, "a long, b long"), "alike")
@@ -176,7 +195,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return now.select(F.col("v").alias("id"), F.col("u").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, stars: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, class_id, class_size for each row of docs (doc_id, text; other columns are ignored).
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; the similarity is the Jaccard similarity of `words`-word shingles
@@ -189,24 +208,33 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, br
     full = made.where("n > 0 and doc_id is not null")
     copies = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "contents")
     reps = full.join(copies.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
-    several = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id")).alias("p")).where("members > 1")
-    several = table(several.select("band", "key", F.col("p.id").alias("pivot")), "buckets")
-    members = table(keys.join(small(several, broadcast_rows), ["band", "key"]), "members")
+    keys = reps.select(F.col("doc_id").alias("id"), "n", "bands", F.posexplode("bands").alias("band", "key"))
+    several = table(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key"), "buckets")
+    members = table(keys.join(small(several, broadcast_rows), ["band", "key"]).withColumn("label", F.col("id")), "members")
+    held = table(contents(docs, table(members.select("id").distinct(), "candidates"), words, broadcast_rows), "contents")
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    stars = table(members.where("id <> pivot").select(*ordered("id", "pivot")).distinct(), "stars")
-    links = compared(stars, docs, threshold, words, broadcast_rows)
-    # What a bucket holds of different classes now: a pivot was not similar enough, but another member may be.
-    label = lambda found: components(found).select("id", "label")
-    labelled = table(members.join(label(links), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-    mixed_buckets = labelled.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band", "key")
-    open_rows = table(labelled.join(mixed_buckets, ["band", "key"], "left_semi").select("band", "key", "id", "n", "label"), "open")
-    other = open_rows.select("band", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label")))
-    close = (F.col("label") < F.col("label2")) & (F.least("n", "n2") >= threshold * F.greatest("n", "n2"))
-    rest = open_rows.join(other, ["band", "key"]).where(close).select(*ordered("id", "id2")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = table(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(compared(rest, docs, threshold, words, broadcast_rows))
+    done = links = None
+    rest = hopeful(members, held, threshold)
+    for i in range(stars):
+        # In each bucket all meet one pivot: first the most central text, with the largest share of shingles that others have.
+        order = F.struct((F.col("u") / F.col("n") if i == 0 else F.lit(0)).alias("share"), F.xxhash64("id", "band", F.lit(i)).alias("h"), "id", "label")
+        pivots = rest.groupBy("band", "key").agg(F.max(order).alias("p")).select("band", "key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"))
+        pairs = rest.join(pivots, ["band", "key"]).where("label <> of").select(*ordered("id", "pivot")).distinct()
+        pairs = table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        found = compared(pairs, held, threshold)
+        links = found if links is None else links.unionByName(found)
+        labelled = rest.drop("label", "u").join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rest = hopeful(table(labelled, "labelled"), held, threshold)
+    # A pivot may not be similar enough where another member of the bucket is: pairs of different classes that still may
+    # be, each in the first band that they share.
+    other = rest.select("band", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "u", "bands")))
+    enough = F.least("u", "u2") >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-6
+    sooner = F.expr("array_position(zip_with(slice(bands, 1, band), slice(bands2, 1, band), (x, y) -> x = y), true) > 0")
+    pairs = rest.join(other, ["band", "key"]).where((F.col("label") < F.col("label2")) & enough & ~sooner).select(*ordered("id", "id2"))
+    pairs = table(pairs.join(done, ["a", "b"], "left_anti").distinct(), "pairs")
+    if not pairs.isEmpty():
+        links = links.unionByName(compared(pairs, held, threshold))
     # Copies hang on the one that stands for them; both kinds of links give the classes.
     found = components(links).withColumnsRenamed({"id": "rep"})
     classes = copies.join(found, copies["id"] == found["rep"], "left").select("c1", "c2", F.coalesce("label", "id").alias("class_id"))
