@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import mixed, slices, table, word_hashes
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 SHARD_TOKENS = 2_000_000
 MIN_SHARDS = 64
 BUCKETS = 24
@@ -54,7 +54,7 @@ def uniques(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(x)
     ranked = x[order]
     new = np.r_[np.ones(min(1, len(x)), bool), ranked[1:] != ranked[:-1]]
-    index = np.empty(len(x), np.int64)
+    index = np.empty(len(x), np.int32)
     index[order] = np.cumsum(new) - 1
     return ranked[new], index
 
@@ -113,14 +113,14 @@ def grams(row: dict, order: int) -> Grams:
     pad = max(1, order - 1)
     sizes = lengths + pad + 1
     ends = np.cumsum(sizes)
-    ids = np.full(int(ends[-1]) if len(ends) else 0, np.searchsorted(units, np.uint64(START)))
+    ids = np.full(int(ends[-1]) if len(ends) else 0, np.searchsorted(units, np.uint64(START)), np.int32)
     ids[ends - 1] = np.searchsorted(units, np.uint64(END))
     word = np.ones(len(ids), bool)
     word[ends - 1] = False
     for i in range(pad):
         word[ends - sizes + i] = False
     ids[word] = tokens
-    text = np.repeat(np.arange(len(sizes)), sizes)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     real = word.copy()
     real[ends - 1] = True
     at = real.copy()
@@ -133,6 +133,7 @@ def grams(row: dict, order: int) -> Grams:
         found, of = uniques(h[at])
         distinct.append(found)
         index.append(of)
+    del first, h, word
     return Grams(row["doc_ids"], np.array(row["folds"]), text[at], real[at], distinct, index)
 
 
