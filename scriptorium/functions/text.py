@@ -50,7 +50,7 @@ def fmt_size(size: Column) -> Column:
     out = F.when(size == 0, F.lit("0 B"))
     for i, unit in enumerate(SIZE_UNITS):
         fits = size < 1024 ** (i + 1) if i + 1 < len(SIZE_UNITS) else F.lit(True)
-        out = out.when(fits, F.concat(F.format_string("%.1f", size.cast("double") / float(1024**i)), F.lit(f" {unit}")))
+        out = out.when(fits, F.concat(F.format_string("%.1f", F.bround(size.cast("double") / float(1024**i), 1)), F.lit(f" {unit}")))
     return out
 
 
@@ -63,7 +63,7 @@ def fmt_duration(seconds: Column) -> Column:
 
 def fmt_header(number: Column, start: Column, end: Column) -> Column:
     """The block header with times of two decimals (half away from zero), or without times."""
-    time = lambda c: F.format_string("%.2f", c.cast("decimal(12,2)"))
+    time = lambda c: c.cast("decimal(12,2)").cast("string")
     timed = F.concat(F.lit("=== Chunk "), number.cast("string"), F.lit(" ["), time(start), F.lit("s - "), time(end), F.lit("s] ==="))
     return F.when(start.isNotNull() & end.isNotNull(), timed).otherwise(F.concat(F.lit("=== Chunk "), number.cast("string"), F.lit(" ===")))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,15 +91,22 @@ def question_context(records: DataFrame, key: str, order: str, rows: int = 50, t
     return ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("rn", line.alias("line"))))["line"], "\n").alias("context"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000, block: int = 4096) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block_queries: int = 5000, block: int = 4096) -> DataFrame:
     """(query_id, rank, id, score): for each query (id, embedding) the k nearest vectors (id, embedding) by cosine, ties to the smaller id.
 
-    Queries are a bounded set (checked) that every task gets; each task keeps its own best k of each, so at most
-    k x queries rows leave a task. Null or zero vectors have no direction and are left out.
+    Queries go to the tasks in blocks of about block_queries; each task keeps its own best k of each, so at most k rows for
+    each query leave a task. Null or zero vectors have no direction and are left out.
     """
-    rows = queries.select("id", "embedding").where("embedding is not null").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
+    queries = queries.select(F.col("id").cast("long"), "embedding").where("id is not null and embedding is not null")
+    blocks = max(1, -(-queries.count() // block_queries))
+    out = None
+    for b in range(blocks):
+        part = _topk(vectors, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect(), k, block)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _topk(vectors: DataFrame, rows: list, k: int, block: int) -> DataFrame:
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     ids = np.array([r.id for r in rows], np.int64)
     sent = vectors.sparkSession.sparkContext.broadcast(unit(np.array([r.embedding for r in rows], np.float64)) if rows else np.zeros((0, 0)))
@@ -126,8 +135,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int
 
 def hash_embed(texts: list[str], size: int = 64) -> list[list[float]]:
     """The default embedder, deterministic: signed counts of hashed words, of unit length."""
-    import zlib
-
     out = []
     for text in texts:
         v = np.zeros(size)
@@ -141,8 +148,6 @@ def hash_embed(texts: list[str], size: int = 64) -> list[list[float]]:
 
 def embed(rows: DataFrame, text: str, column: str = "embedding", model: Callable[[list[str]], list[list[float]]] = hash_embed, batch: int = 100, most_tokens: int | None = None, tokens: str = "tokens") -> DataFrame:
     """rows with the model's vector of their text; texts above most_tokens get null. The model is called with up to `batch` texts."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:

@@ -15,7 +15,7 @@ def valid_questions(raw: DataFrame) -> DataFrame:
     text, answer = (strip(F.coalesce(F.col(c), F.lit(""))) for c in ("question_text", "correct_answer"))
     tidy = raw.withColumns({"question_text": text, "correct_answer": answer, "options": F.transform("options", strip), "explanation": strip(F.coalesce("explanation", F.lit("")))})
     ok = (F.col("question_text") != "") & (F.col("correct_answer") != "") & (F.size("options") >= 2) & F.array_contains("options", F.col("correct_answer"))
-    return tidy.where(ok & ~is_error(F.col("question_text")) & ~is_error(F.col("correct_answer")) & ~F.exists("options", is_error))
+    return tidy.where(ok & ~is_error(F.col("question_text")) & ~is_error(F.col("correct_answer")) & ~F.exists("options", lambda x: is_error(x)))
 
 
 def attempts_to_stats(attempts: DataFrame) -> DataFrame:
