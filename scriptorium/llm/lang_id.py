@@ -127,13 +127,12 @@ def identify(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
     language that sorts first. Whole texts are read, in pieces. Repeated rows each give a row.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), *carry, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, sure = predict(batch.column(batch.num_columns - 1).to_pylist(), sent.value)
-            names = [*batch.schema.names[:-1], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names)
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            langs, sure = predict(part.to_pylist(), sent.value)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
-    return rows.mapInArrow(judged, f"{kinds}, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id"), *carry, judged(F.col("text")).alias("judged"))
+    return rows.select(*rows.columns[:-1], "judged.lang_pred", "judged.score")

@@ -168,21 +168,22 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
     """
     data = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, path))
     own = ["ids", "n_ids", "parity", "round_trip"]
-    rows = docs.drop(*own)
-    at = rows.columns.index("text")
+    kinds = [pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.bool_()]
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<ids:array<int>,n_ids:bigint,parity:boolean,round_trip:boolean>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ |= {"TOKENIZERS_PARALLELISM": "true", "RAYON_NUM_THREADS": str(threads)}
-        for batch in batches:
-            for a, b in slices(batch.column(at), BATCH_BYTES):
-                part = batch.slice(a, b - a)
-                found = encode_texts([t or "" for t in part.column(at).to_pylist()], data.value, threads)
-                ids = pa.array([x[0] for x in found], pa.list_(pa.int32()))
-                columns = [ids, pa.array([len(x[0]) for x in found], pa.int64()), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *own])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(encoded, f"{kinds}, ids array<int>, n_ids long, parity boolean, round_trip boolean")
+        for texts in batches:
+            done = [pa.array([], k) for k in kinds], *(made(texts.slice(a, b - a)) for a, b in slices(texts, BATCH_BYTES))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*done, strict=True)], own)
+
+    def made(texts: pa.Array) -> list[pa.Array]:
+        found = encode_texts([t or "" for t in texts.to_pylist()], data.value, threads)
+        return [pa.array(v, k) for v, k in zip([[x[0] for x in found], [len(x[0]) for x in found], [x[1] for x in found], [x[2] for x in found]], kinds, strict=True)]
+
+    rows = docs.drop(*own)
+    out = rows.select("*", encoded(F.col("text")).alias("own columns of encode"))
+    return out.select(*(f"`{c}`" for c in rows.columns), "`own columns of encode`.*")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
