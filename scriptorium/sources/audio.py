@@ -34,7 +34,7 @@ def read_audio(spark: SparkSession, folder: str, rate: int = RATE) -> DataFrame:
                 values = pa.array([samples_of(data.as_py(), rate)], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rate], pa.int32()), values], ["audio_id", "sample_rate", "samples"])
 
-    files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.wav").select(F.regexp_extract("path", r"([^/]*)\.wav$", 1), "content")
+    files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.wav").select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("name"), "content")
     return files.mapInArrow(rows, "audio_id string, sample_rate int, samples array<float>")
 
 
