@@ -8,9 +8,11 @@ between pieces of one score differently) the sentencepiece ids are returned and
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,7 +29,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECE_CHARS = 1 << 18
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 20
+CACHE = 200_000
+RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Spec(NamedTuple):
@@ -90,7 +94,36 @@ def splits_words(spec: Spec) -> bool:
     return not any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces if kind in (NORMAL, USER))
 
 
-def build(spec: Spec) -> Tokenizer:
+def by_word(spec: Spec) -> bool:
+    """Texts are only escaped, so that each run of spaces and what follows it is encoded by itself."""
+    return spec.dummy_prefix and spec.escape and not spec.squeeze and not spec.charsmap and splits_words(spec)
+
+
+class Words:
+    """Ids of runs of markers with what follows them, remembered for up to CACHE of them; new ones are encoded in batches."""
+
+    def __init__(self, spec: Spec):
+        self.core, self.known, self.odd = build(spec, bare=True), {}, set()
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """The ids of each text, and whether decoding gives it back."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        runs = [RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list(set().union(*runs).difference(self.known))
+        ids = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
+        self.known.update(zip(new, ids, strict=True))
+        self.odd.update(w for w, d in zip(new, self.core.decode_batch(ids, skip_special_tokens=False), strict=True) if d != w.replace(MARK, " "))
+        out = [list(chain.from_iterable(map(self.known.__getitem__, r))) for r in runs]
+        whole = [not self.odd or self.odd.isdisjoint(r) for r in runs]
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return out, whole
+
+
+def build(spec: Spec, bare: bool = False) -> Tokenizer:
+    """The tokenizer of a model; a bare one takes runs of markers and what follows them, and decodes without dropping the first space."""
     unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), None)
     if spec.kind == UNIGRAM:
         out = Tokenizer(models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback))
@@ -106,10 +139,11 @@ def build(spec: Spec) -> Tokenizer:
         steps.append(normalizers.Prepend(" "))
     if spec.escape:
         steps.append(normalizers.Replace(" ", MARK))
-    out.normalizer = normalizers.Sequence(steps)
-    if splits_words(spec):
+    if not bare:
+        out.normalizer = normalizers.Sequence(steps)
+    if splits_words(spec) and not bare:
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else [])])
+    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix and not bare else [])])
     return out
 
 
@@ -118,7 +152,7 @@ def cut(text: str, spec: Spec, most: int = PIECE_CHARS) -> list[str]:
 
     A cut stands before a run of spaces; the piece drops one of them, as its own dummy prefix makes up for it.
     """
-    if len(text) <= most or not (spec.dummy_prefix and spec.escape and splits_words(spec)) or spec.squeeze or spec.charsmap:
+    if len(text) <= most or not by_word(spec):
         return [text]
     out, start = [], 0
     while len(text) - start > most:
@@ -133,25 +167,28 @@ def cut(text: str, spec: Spec, most: int = PIECE_CHARS) -> list[str]:
 
 
 @lru_cache(2)
-def loaded(data: bytes) -> tuple[Spec, Tokenizer, sentencepiece.SentencePieceProcessor]:
+def loaded(data: bytes) -> tuple[Spec, Tokenizer, sentencepiece.SentencePieceProcessor, Words | None]:
     spec = parse(data)
-    return spec, build(spec), sentencepiece.SentencePieceProcessor(model_proto=data)
+    return spec, build(spec), sentencepiece.SentencePieceProcessor(model_proto=data), Words(spec) if by_word(spec) else None
 
 
 def encode_texts(texts: list[str], data: bytes, threads: int) -> list[tuple[list[int], bool, bool]]:
     """(ids, parity, round_trip) of each text."""
-    spec, fast, plain = loaded(data)
+    spec, fast, plain, words = loaded(data)
     parts = [cut(t, spec) for t in texts]
     flat = [p for ps in parts for p in ps]
-    mine = [e.ids for e in fast.encode_batch_fast(flat, add_special_tokens=False)]
+    if words:
+        mine, whole = words.encode(flat)
+    else:
+        mine, whole = [e.ids for e in fast.encode_batch_fast(flat, add_special_tokens=False)], [False] * len(flat)
     theirs = plain.encode(flat, num_threads=threads) if flat else []
-    ids = [a if a == b else b for a, b in zip(mine, theirs, strict=True)]
-    back = fast.decode_batch(ids, skip_special_tokens=False)
     out, at = [], 0
     for text, ps in zip(texts, parts, strict=True):
         span = slice(at, at := at + len(ps))
-        whole = [i for part in ids[span] for i in part] if len(ps) > 1 else ids[span][0]
-        out.append((whole, mine[span] == theirs[span], " ".join(back[span]) == text.replace(MARK, " ")))
+        same = mine[span] == theirs[span]
+        ids = theirs[at - 1] if len(ps) == 1 else [i for part in theirs[span] for i in part]
+        back = same and all(whole[span]) or " ".join(fast.decode(p, skip_special_tokens=False) for p in theirs[span]) == text.replace(MARK, " ")
+        out.append((ids, same, back))
     return out
 
 

@@ -410,7 +410,7 @@ def test_pieces(spark, docs, empty, real):
 
 def test_pieces_of_long_texts():
     data = open(pieces.MODEL, "rb").read()
-    spec, _, plain = pieces.loaded(data)
+    spec, _, plain, _ = pieces.loaded(data)
     text = "  " + "  ".join(prose(40) for _ in range(20)) + "   "
     parts = pieces.cut(text, spec, 100)
     assert len(parts) > 10 and " ".join(parts) == text
