@@ -35,11 +35,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most so many rows (counted, up to the bound), else df for a shuffle join.
+    """df with a broadcast hint if it holds at most so many rows, else df for a shuffle join.
 
-    df should be narrow and cheap to read, such as what table() returns.
+    df should be narrow and cheap to count, such as what table() returns (Parquet footers hold the counts).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(text: Column) -> Column:

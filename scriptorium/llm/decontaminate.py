@@ -54,7 +54,7 @@ def occurrences(docs: DataFrame, prefix: DataFrame, broadcast_windows: int) -> D
     fits = (F.col("word") == F.col("rare")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     same = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n")), " ") == F.col("win")
     columns = [*ROW, "doc_id", "n_words", start.alias("start"), "n", "win"]
-    if prefix.limit(broadcast_windows + 1).count() <= broadcast_windows:
+    if prefix.count() <= broadcast_windows:
         return each.join(F.broadcast(sides), fits & same, "left").where("win is not null or word is null").select(*columns)
     # Many windows: narrow rows meet by word, and only texts with a candidate are read again.
     found = each.where("word is not null").drop("words", "doc_id").join(sides, fits).select(*ROW, "n_words", "pos", "off", "n", "win").distinct()

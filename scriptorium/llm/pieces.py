@@ -30,7 +30,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECE_CHARS = 1 << 18
 BATCH_BYTES = 1 << 20
-CACHE = 200_000
+CACHE = 400_000
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
