@@ -14,7 +14,7 @@ GRAM = 4
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    return df.count() <= rows
 
 
 def contained_pairs(left: DataFrame, right: DataFrame, a: str, b: str, rows: int = BROADCAST_ROWS) -> DataFrame:

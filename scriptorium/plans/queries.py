@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,14 @@ from scriptorium.operators import graph, quiz, split
 from scriptorium.operators import transcripts as tr
 from scriptorium.plans import jobs
 from scriptorium.plans.inputs import NAMES_SQL, documents, entity, names, transcripts, with_entities
+from scriptorium.sources import audio, tables
+from scriptorium.streaming import streams
+
+def scratch(s: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see."""
+    folder = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -752,6 +762,113 @@ def split_urls(s, d):
     return read(s, d, "pages").select("page_id", F.explode(F.split(fn.strip(F.concat(F.lit(" \n"), "url", F.lit("\n x "))), r"\s+")).alias("url"))
 
 
+# Round trips through sources and sinks, and streams
+
+
+@query("SELECT title, url, status, upload_date FROM catalog", "catalog")
+def src_catalog(s, d):
+    path = scratch(s, "catalog")
+    tables.write_catalog(entity(s, d, "catalog"), path)
+    return tables.catalog(s, path).drop("row_no")
+
+
+@query("SELECT title || '_combined.txt' AS filename, title, url FROM catalog WHERE status = 'failed'", "catalog")
+def sink_rerun_list(s, d):
+    path = scratch(s, "rerun")
+    failed = entity(s, d, "catalog").where("status = 'failed'")
+    tables.write_rerun_list(failed.select(F.concat("title", F.lit("_combined.txt")).alias("filename"), "title", "url"), path)
+    return s.read.schema("filename string, title string, url string").csv(path, header=True, escape='"')
+
+
+@query("SELECT 'chunks' AS label, count(*) * 2 AS n FROM chunks UNION ALL SELECT 'relations', count(*) FROM relations", "chunks", "relations")
+def sink_graph(s, d):
+    path = scratch(s, "graph")
+    tables.write_graph(path, chunks=entity(s, d, "chunks"), relations=entity(s, d, "relations"))
+    tables.write_graph(path, append=True, chunks=entity(s, d, "chunks"))
+    return graph.counts(**tables.read_graph(s, path, "chunks", "relations"))
+
+
+@query("SELECT * FROM (VALUES ('chunk', 'document_name', 'string'), ('chunk', 'pos', 'int'), ('chunk', 'chunk_id', 'int'), ('chunk', 'text', 'string'), ('chunk', 'start_time', 'double'), ('chunk', 'end_time', 'double'), ('relation', 'from_name', 'string'), ('relation', 'to_name', 'string'), ('relation', 'relationship_type', 'string')) AS t(label, property, type)")
+def graph_schema(s, d):
+    return graph.schema(s, chunk=entity(s, d, "chunks"), relation=entity(s, d, "relations"))
+
+
+def conversation_audio(s, d):
+    """Ten samples a second: each turn sounds for a second for every 20 characters, then there are two seconds of silence."""
+    n = F.greatest(F.lit(1), F.floor(F.length("text") / 20)).cast("int") * 10
+    turns = entity(s, d, "chunks").select("document_name", "pos", F.concat(F.array_repeat(F.lit(1.0).cast("float"), n), F.array_repeat(F.lit(0.0).cast("float"), 20)).alias("x"))
+    return turns.groupBy(F.col("document_name").alias("audio_id")).agg(F.flatten(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"]).alias("samples")).select("audio_id", F.lit(10).alias("sample_rate"), "samples")
+
+
+@query()
+def split_silence(s, d):
+    return audio.split_silence(conversation_audio(s, d))
+
+
+@query("SELECT document_name AS audio_id, sum(greatest(1, length(text) // 20) * 10 + 20)::BIGINT AS n, 20 AS cut FROM chunks GROUP BY 1", "chunks")
+def slice_samples(s, d):
+    a = conversation_audio(s, d)
+    cut = audio.slice_samples(a, a.select("audio_id", F.lit(0.5).alias("start_time"), F.lit(2.5).alias("end_time")))
+    return a.select("audio_id", F.size("samples").cast("long").alias("n")).join(cut.select("audio_id", F.size("samples").alias("cut")), "audio_id")
+
+
+@query("SELECT c.document_name, c.chunk_id, s.name, s.type FROM chunks c JOIN (SELECT DISTINCT document_name, name, type FROM seen_concepts) s ON 'd' || c.pos = s.document_name", "chunks", "seen_concepts")
+def chunk_concept_context(s, d):
+    concepts = entity(s, d, "seen_concepts").select(F.col("document_name").alias("of"), "name", "type").distinct()
+    return entity(s, d, "chunks").withColumn("of", F.concat(F.lit("d"), "pos")).join(concepts, "of").select("document_name", "chunk_id", "name", "type")
+
+
+@query("SELECT seq AS id, \"user\", document_name, NULL::VARCHAR AS old_text, new_text FROM edits UNION ALL SELECT seq + 1000000000, \"user\", document_name, CASE WHEN seq % 2 = 0 THEN 'was' END, new_text FROM edits", "edits")
+def append_history(s, d):
+    e = entity(s, d, "edits").withColumnRenamed("seq", "id")
+    fresh = e.withColumns({"id": F.col("id") + 1_000_000_000, "old_text": F.nullif(F.when(F.col("id") % 2 == 0, "was").otherwise(""), F.lit(""))})
+    return e.unionByName(fresh).select("id", "user", "document_name", "old_text", F.substring("new_text", 1, 65_535).alias("new_text"))
+
+
+@query("SELECT id, '[\"' || correct_answer || '\",\"no\"]' AS options, status FROM (SELECT id, correct_answer, status FROM questions UNION ALL SELECT id + 1000000000, correct_answer, 'pending' FROM questions)", "questions")
+def add_questions(s, d):
+    q = entity(s, d, "questions").select("id", F.to_json(F.array("correct_answer", F.lit("no"))).alias("options"), "status")
+    return q.unionByName(q.withColumns({"id": F.col("id") + 1_000_000_000, "status": F.lit("pending")}))
+
+
+def streamed(s, df, function, mode="update", keys=()):
+    """The rows that a stream over df's files has written by its end; the last state of each key where there are keys."""
+    source, out, state = scratch(s, "source"), scratch(s, "out"), scratch(s, "state")
+    df.write.parquet(source)
+    stream = function(s.readStream.schema(df.schema).parquet(source))
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.schema(f"{', '.join(f'{n} {t}' for n, t in stream.dtypes)}, batch long").parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("l")).select(*keys, "l.*") if keys else rows.drop("batch")
+
+
+@query("SELECT user_id, question_id, count(*) AS attempt_count, sum(is_correct)::BIGINT AS correct_count, max(answered_at) AS last_answered FROM attempts GROUP BY 1, 2", "attempts")
+def stream_attempts(s, d):
+    return streamed(s, entity(s, d, "attempts"), streams.running_stats, keys=["user_id", "question_id"])
+
+
+@query(f"WITH {LATEST} SELECT document_name, chunk_id, new_text FROM latest", "edits")
+def stream_edits(s, d):
+    return streamed(s, entity(s, d, "edits"), streams.current_texts, keys=["document_name", "chunk_id"])
+
+
+@query("SELECT DISTINCT 'https://www.youtube.com/watch?v=' || (page_id % 120) AS url FROM pages WHERE page_id % 120 NOT IN (SELECT row_no % 90 FROM catalog)", "catalog")
+def stream_catalog(s, d):
+    listing = read(s, d, "pages").select(F.concat(F.lit("https://youtu.be/"), F.col("page_id") % 120).alias("url"))
+    known = entity(s, d, "catalog")
+    return streamed(s, listing, lambda stream: streams.unseen_videos(stream, known), "append").select(fn.norm_url(F.col("url")).alias("url"))
+
+
+@query(SAME_CHUNKS, "chunks")
+def stream_transcripts(s, d):
+    source, out, state = scratch(s, "source"), scratch(s, "out"), scratch(s, "state")
+    files = transcripts(s, d).select("document_name", "content")
+    files.write.parquet(source)
+    streams.each_batch(s.readStream.schema(files.schema).parquet(source), tr.parse_chunks, out, state).awaitTermination()
+    return s.read.parquet(out).drop("batch")
+
+
 # Whole jobs
 
 
