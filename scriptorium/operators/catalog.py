@@ -75,6 +75,12 @@ def match_contains(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return exact.unionByName(rest.join(best, "name", "left").select("name", "url"))
 
 
+def match_audio(titles: DataFrame, audio: DataFrame) -> DataFrame:
+    """(name, file): the audio file (file) of a title by equal base name, else the first by name that holds the title or is held by it."""
+    rows = audio.select(F.regexp_replace("file", r"\.wav$", "").alias("title"), F.col("file").alias("url"), F.col("file").alias("row_no"))
+    return match_contains(titles, rows).withColumnRenamed("url", "file")
+
+
 def match_ratio(catalog: DataFrame, files: DataFrame, least: float = 0.8) -> DataFrame:
     """(row_no, matched): whether some file has the title, its normal form, or one inside the other with a length ratio above `least`."""
     tidy = lambda c: F.regexp_replace(norm_title_a(c), r"\s*\[[^\]]*\]", "")

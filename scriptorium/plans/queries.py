@@ -347,6 +347,33 @@ def match_contains(s, d):
     return cat.match_contains(names(s, d), entity(s, d, "catalog"))
 
 
+@query(f"WITH {NAMES_SQL}, a AS (SELECT DISTINCT title || '.wav' AS file, title FROM catalog), m AS (SELECT name, file, row_number() OVER (PARTITION BY name ORDER BY name <> title, file) AS rn FROM names JOIN a ON contains(name, title) OR contains(title, name)) SELECT n.name, file FROM names n LEFT JOIN m ON n.name = m.name AND rn = 1", "catalog")
+def match_audio(s, d):
+    return cat.match_audio(names(s, d), entity(s, d, "catalog").select(F.concat("title", F.lit(".wav")).alias("file")).distinct())
+
+
+@query("SELECT title, min_by(url, row_no) AS first_url, max_by(url, row_no) AS last_url FROM catalog GROUP BY 1", "catalog")
+def first_match(s, d):
+    c = entity(s, d, "catalog")
+    last = c.groupBy("title").agg(F.max_by("url", "row_no").alias("last_url"))
+    return cat.first_rows(c, "title", [F.col("row_no")]).select("title", F.col("url").alias("first_url")).join(last, "title")
+
+
+@query("SELECT title, url, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, upload_date FROM catalog", "catalog")
+def sink_catalog(s, d):
+    c, path = entity(s, d, "catalog"), scratch(s, "catalog")
+    tables.write_catalog(cat.set_status(c, c.where("status = 'failed'").select("row_no", F.lit("pending").alias("status")), "row_no"), path)
+    return tables.catalog(s, path).drop("row_no")
+
+
+@query(SAME_CHUNKS, "chunks")
+def src_transcripts(s, d):
+    path = scratch(s, "transcripts")
+    transcripts(s, d).select("document_name", F.col("content").alias("value")).write.partitionBy("document_name").text(path)
+    files = s.read.text(path, wholetext=True).select("document_name", F.col("value").alias("content"))
+    return tr.parse_chunks(files)
+
+
 RATIO = f"WITH {NAMES_SQL}, t AS (SELECT row_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS a FROM catalog), u AS (SELECT trim(regexp_replace(name, '\\s+', ' ', 'g')) AS b FROM names), tt AS (SELECT *, regexp_replace(a, '\\s*\\[[^\\]]*\\]', '', 'g') AS aa FROM t), uu AS (SELECT *, regexp_replace(b, '\\s*\\[[^\\]]*\\]', '', 'g') AS bb FROM u), m AS (SELECT DISTINCT row_no FROM tt, uu WHERE a = b OR ((contains(aa, bb) OR contains(bb, aa)) AND least(length(aa), length(bb)) / greatest(length(aa), length(bb)) > 0.8))"
 
 
@@ -660,10 +687,16 @@ def norm_url(s, d):
     return read(s, d, "pages").select("page_id", made("https://youtu.be/", "?t=5").alias("a"), made("http://m.youtube.com/watch?v=", "&list=x").alias("b"), fn.norm_url(F.col("url")).alias("c"))
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', '/') || '/x y' AS a, replace(p_name, ' ', '/') || '/x y' AS b FROM part")
+@query("SELECT p_partkey, replace(p_name, ' ', '/') || '/x y' AS title FROM part")
 def norm_title_a(s, d):
     odd = F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("⧸")), F.lit("\\x \t　y "))
-    return read(s, d, "part").select("p_partkey", fn.norm_title_a(odd).alias("a"), fn.norm_title_b(F.replace(odd, F.lit("\\"), F.lit("／"))).alias("b"))
+    return read(s, d, "part").select("p_partkey", fn.norm_title_a(odd).alias("title"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '/') || '/x y' AS title FROM part")
+def norm_title_b(s, d):
+    odd = F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("⧸")), F.lit("／x \t　y "))
+    return read(s, d, "part").select("p_partkey", fn.norm_title_b(odd).alias("title"))
 
 
 @query("SELECT p_partkey, p_name AS a, p_name AS b FROM part")
@@ -726,9 +759,14 @@ def options_json(s, d):
     return documents(s, d).select("doc_id", F.to_json(F.from_json(made, "array<string>")).alias("options"))
 
 
-@query("SELECT p_partkey, replace(upper(p_name), ' ', '_') AS kind, p_brand || ': ' || p_name AS text FROM part")
+@query("SELECT p_partkey, replace(upper(p_name), ' ', '_') AS kind FROM part")
 def rel_type(s, d):
-    return read(s, d, "part").select("p_partkey", fn.rel_type(F.col("p_name")).alias("kind"), fn.concept_text(F.col("p_brand"), F.col("p_name")).alias("text"))
+    return read(s, d, "part").select("p_partkey", fn.rel_type(F.col("p_name")).alias("kind"))
+
+
+@query("SELECT p_partkey, p_brand || ': ' || p_name AS text FROM part")
+def concept_text(s, d):
+    return read(s, d, "part").select("p_partkey", fn.concept_text(F.col("p_brand"), F.col("p_name")).alias("text"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[一-鿿]|[A-Za-z0-9_]+|[^\\s一-鿿A-Za-z0-9_]'))::INT AS tokens FROM documents")
