@@ -177,20 +177,18 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     A star with more than a few rows of one node is not gathered: the least neighbour is an aggregate, joined back.
     """
-    now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars")
+    now, before = table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars"), None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        large = table(large, "stars")
+        large = table(both.join(least, "v").where("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "stars")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small_stars = large.join(least, "v").select("v", "u", "m")
-        after = small_stars.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct()
-        after = table(after, "stars")
-        same = after.count() == now.count() and after.join(now, ["v", "u"], "left_anti").isEmpty()
-        now = after
-        if same:
+        others = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        now = table(others.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "stars")
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if mark == before:
             break
+        before = mark
     roots = now.select(F.col("u").alias("id")).distinct()
     return now.select(F.col("v").alias("id"), F.col("u").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
 
