@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import mixed, slices, table, word_hashes
 
 CHUNK_TOKENS = 1_000_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 MIN_SHARDS = 64
 BUCKETS = 24
 #: No word holds white space, so these are no words' hashes.
