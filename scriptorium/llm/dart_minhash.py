@@ -206,7 +206,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
     full = made.where("n > 0 and doc_id is not null")
     copies = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "contents")
     reps = full.join(copies.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").alias("id"), "n", "bands", F.posexplode("bands").alias("band", "key"))
+    keys = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
     several = table(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key"), "buckets")
     members = table(keys.join(small(several, broadcast_rows), ["band", "key"]).withColumn("label", F.col("id")), "members")
     held = table(contents(docs, table(members.select("id").distinct(), "candidates"), words, broadcast_rows), "contents")
@@ -226,6 +226,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
         rest = hopeful(table(labelled, "labelled"), held, threshold)
     # A pivot may not be similar enough where another member of the bucket is: pairs of different classes that still may
     # be, each in the first band that they share.
+    rest = rest.join(made.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), "id")
     other = rest.select("band", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "u", "bands")))
     enough = F.least("u", "u2") >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-6
     sooner = F.expr("array_position(zip_with(slice(bands, 1, band), slice(bands2, 1, band), (x, y) -> x = y), true) > 0")
