@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BROADCAST_ROWS, mixed, slices, small, table, word_hashes
+from scriptorium.llm.common import BROADCAST_ROWS, mixed, slices, small, small_batches, table, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 21, 6
@@ -202,6 +202,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
     repeat one doc_id should hold one text; they share a class. Links at the threshold itself are found with probability
     0.998 (BANDS, ROWS), more similar ones more surely.
     """
+    small_batches(docs.sparkSession)
     made = table(signed(docs, words), "signatures")
     full = made.where("n > 0 and doc_id is not null")
     copies = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "contents")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mixed, slices, table, word_hashes
+from scriptorium.llm.common import mixed, slices, small_batches, table, word_hashes
 
 CHUNK_TOKENS = 1_000_000
 SHARD_TOKENS = 1_000_000
@@ -265,6 +265,7 @@ def score(docs: DataFrame, training: Column, order: int = 2, rounds: int = 12) -
     classes; n_known: tokens that training has. Other columns are ignored, repeated rows count and return as rows of their
     own, a null doc_id returns as null. Without any training text N and V are 0 and both scores are those of one class.
     """
+    small_batches(docs.sparkSession)
     made = chunks(docs, training)
     sized = made.selectExpr("sum(n_train) n", "coalesce(sum(aggregate(lengths, 0L, (a, x) -> a + x) + size(lengths)), 0) total").first()
     n, shards = int(sized["n"] or 0), MIN_SHARDS

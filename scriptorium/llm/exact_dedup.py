@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BROADCAST_ROWS, small, table
+from scriptorium.llm.common import BROADCAST_ROWS, small, small_batches, table
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_812_433_253)
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, huge_bytes: in
             kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     found = table(base.mapInArrow(rows, SCHEMA), "fingerprints")
     if found.where("huge").isEmpty():

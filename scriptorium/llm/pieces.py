@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: the marker for a space, kinds of pieces and kinds of models.
@@ -203,6 +203,7 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
     decoding gives the text back (the marker itself reads as a space, and a normaliser may change texts). Whole texts are
     encoded; very long ones in pieces that give the same ids. `threads` encode a batch within a task.
     """
+    small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, path))
     own = ["ids", "n_ids", "parity", "round_trip"]
     kinds = [pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.bool_()]

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import slices, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts texts for this vocabulary.
@@ -189,6 +189,7 @@ def build(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFra
 
     sizes and counts hold the leaves of the document's tree one after the other. Null counts as empty: no pre-tokens.
     """
+    small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
     edits = F.col("edits").cast(f"array<{EDIT}>") if "edits" in docs.columns else F.lit(None).cast(f"array<{EDIT}>")
 
