@@ -97,7 +97,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 21):
+            for a, b in slices(batch.column(1), 1 << 19):
                 part = batch.slice(a, b - a)
                 of, elements, weights = shingles(part.column(1), words)
                 sig = signatures(of, elements, weights, len(part))
@@ -123,7 +123,7 @@ def contents(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 21):
+            for a, b in slices(batch.column(1), 1 << 19):
                 part = batch.slice(a, b - a)
                 of, elements, weights = shingles(part.column(1), words)
                 edges = pa.array(np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32))
