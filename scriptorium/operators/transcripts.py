@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,22 +149,92 @@ def retime(texts: DataFrame, segments: DataFrame) -> DataFrame:
     return texts.join(segments.withColumnRenamed("seg_no", "pos"), ["title", "pos"]).select("title", (F.col("pos") + 1).alias("number"), "start_time", "end_time", "text")
 
 
-def pack(chunks: DataFrame, most: int, rows: int | None = None) -> DataFrame:
-    """chunks (document_name, pos, tokens, ..) with pack: consecutive chunks together as long as they stay within the limits.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the folder that all executors see and read again."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def next_starts(sums: np.ndarray, most: int, rows: int) -> np.ndarray:
+    """For a pack that starts at each row of a block, the row where the next pack starts; the block's length if it ends open."""
+    at = np.arange(len(sums) - 1)
+    fits = np.searchsorted(sums, sums[:-1] + most, "right") - 1
+    return np.minimum(np.maximum(np.minimum(fits, at + rows), at + 1), len(at))
 
-    A chunk that is too large stands alone. Only (pos, tokens) go through the fold; it is one document's, in order.
-    """
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<struct<pos:int,pack:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["pack"] >= 0) & (acc["sum"] + x["tokens"] <= most) & (F.lit(True) if rows is None else acc["n"] < rows)
-        no = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
-        item = F.struct(x["pos"].cast("int").alias("pos"), no.alias("pack"))
-        return F.struct(no.alias("pack"), (F.when(fits, acc["sum"]).otherwise(0) + x["tokens"]).alias("sum"), (F.when(fits, acc["n"]).otherwise(0) + 1).alias("n"), F.concat(acc["out"], F.array(item)).alias("out"))
+def block_exits(tokens: np.ndarray, most: int, rows: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """(sums, last, packs): for each row at which a pack from before the block may end, the last start after it and how many starts."""
+    sums = np.r_[0, np.cumsum(tokens)]
+    n = len(tokens)
+    after, last, packs = next_starts(sums, most, rows).tolist(), list(range(n)), [1] * n
+    for i in range(n - 1, -1, -1):
+        if after[i] < n:
+            last[i], packs[i] = last[after[i]], packs[after[i]] + 1
+    entries = min(int(np.searchsorted(sums, most, "right")), rows + 1, n)
+    return sums, last[:entries], packs[:entries]
 
-    items = F.sort_array(F.collect_list(F.struct("pos", F.col("tokens").cast("long").alias("tokens"))))
-    packed = chunks.groupBy("document_name").agg(F.aggregate(items, start, step)["out"].alias("out")).select("document_name", F.explode("out").alias("x"))
-    return chunks.join(packed.select("document_name", F.col("x.pos").alias("pos"), F.col("x.pack").alias("pack")), ["document_name", "pos"])
+
+def pack(chunks: DataFrame, most: int, rows: int | None = None, block_rows: int = 50_000) -> DataFrame:
+    """chunks (document_name, pos, tokens, ..) with pack: consecutive chunks together as long as they stay within the limits.
+
+    A chunk that is too large, or whose tokens are null, stands alone. Tokens are not negative, pos tells the chunks of a
+    document apart, and a null document_name is a document of its own. Narrow rows are dealt in order to blocks of about
+    block_rows, whatever documents they hold. Each block tells where packing would leave it for each row at which a pack
+    from before may end (no more than one pack's rows); one step for each block of a document then gives the block's first
+    start, and the blocks number their packs. So no task holds more than a block's rows, or one row for each block of a
+    document with the entries of that block.
+    """
+    limit = 1 << 60 if rows is None else rows
+    weight = F.coalesce(F.col("tokens").cast("long"), F.lit(most + 1).cast("long"))
+    narrow = chunks.select("document_name", "pos", weight.alias("weight"))
+    n = max(1, -(-narrow.count() // block_rows))
+    dealt = written(narrow.repartitionByRange(n, "document_name", "pos").withColumn("block", F.spark_partition_id()), "blocks")
+    name, pos = (f"{c} {chunks.schema[c].dataType.simpleString()}" for c in ("document_name", "pos"))
+
+    def in_order(block: pa.Table) -> pa.Table:
+        return block.take(pc.sort_indices(block, [("pos", "ascending")], null_placement="at_start"))
+
+    def exits(block: pa.Table) -> pa.Table:
+        block = in_order(block)
+        sums, last, packs = block_exits(block["weight"].to_numpy(), most, limit)
+        size = len(block)
+        listed = [pa.array([x], pa.list_(pa.int64())) for x in (sums[: len(last)], sums[size] - sums[last], size - np.array(last), packs)]
+        return pa.table([block["document_name"].slice(0, 1), block["block"].slice(0, 1), pa.array([int(sums[size])]), pa.array([size]), *listed], ["document_name", "block", "total", "size", "before", "open_sum", "open_rows", "packs"])
+
+    def walk(blocks: pa.Table) -> pa.Table:
+        total = held = 0
+        no, first, base = -1, [], []
+        blocks = blocks.take(pc.sort_indices(blocks, [("block", "ascending")]))
+        for i in range(len(blocks)):
+            size, before = blocks["size"][i].as_py(), blocks["before"][i].values.to_numpy()
+            start = 0 if no < 0 else min(max(int(np.searchsorted(before, most - total, "right")) - 1, 0), limit - held)
+            # The last entry of a block stands for its end as well, where the open pack takes in all of the block.
+            if no >= 0 and total + blocks["total"][i].as_py() <= most and held + size <= limit:
+                start, total, held = size, total + blocks["total"][i].as_py(), held + size
+            first.append(start)
+            base.append(no)
+            if start < size:
+                total, held = blocks["open_sum"][i].values[start].as_py(), blocks["open_rows"][i].values[start].as_py()
+                no += blocks["packs"][i].values[start].as_py()
+        return pa.table([blocks["document_name"], blocks["block"], pa.array(first, pa.int64()), pa.array(base, pa.int64())], ["document_name", "block", "first", "base"])
+
+    def numbered(block: pa.Table) -> pa.Table:
+        block = in_order(block)
+        sums = np.r_[0, np.cumsum(block["weight"].to_numpy())]
+        after, starts, at = next_starts(sums, most, limit).tolist(), np.zeros(len(block), np.int64), block["first"][0].as_py()
+        while at < len(block):
+            starts[at], at = 1, after[at]
+        return pa.table([block["document_name"], block["pos"], pa.array((block["base"][0].as_py() + np.cumsum(starts)).astype(np.int32))], ["document_name", "pos", "pack"])
+
+    lists = ", ".join(f"{c} array<long>" for c in ("before", "open_sum", "open_rows", "packs"))
+    told = written(dealt.groupBy("document_name", "block").applyInArrow(exits, f"{name}, block int, total long, size long, {lists}"), "exits")
+    begun = told.groupBy("document_name").applyInArrow(walk, f"{name}, block int, first long, base long").withColumnsRenamed({"document_name": "of", "block": "in"})
+    entered = dealt.join(begun, F.col("document_name").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in"))).drop("of", "in")
+    packed = entered.groupBy("document_name", "block").applyInArrow(numbered, f"{name}, {pos}, pack int")
+    packed = packed.withColumnsRenamed({"document_name": "of", "pos": "at"})
+    return chunks.join(packed, F.col("document_name").eqNullSafe(F.col("of")) & F.col("pos").eqNullSafe(F.col("at"))).drop("of", "at")
 
 
 def join_packs(packed: DataFrame, separator: str = "\n\n", prefix: str = "id ") -> DataFrame:

@@ -181,10 +181,11 @@ def query_history_topn(s, d):
 
 @query("SELECT document_name AS title, kind, content FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY kind = 'combined') AS rn, title AS document_name FROM (SELECT source AS title, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) THEN 'edit' ELSE 'combined' END AS kind, doc_id, text AS content FROM documents)) WHERE kind = 'edit'")
 def effective_source(s, d):
-    from pyspark.sql.window import Window
-
-    first = F.min("doc_id").over(Window.partitionBy("source"))
-    files = read(s, d, "documents").select(F.col("source").alias("title"), F.when(F.col("doc_id") == first, "edit").otherwise("combined").alias("kind"), F.col("text").alias("content"))
+    # Texts meet their source's least id by (source, id), so that no source's texts are gathered.
+    docs = read(s, d, "documents").select("source", "doc_id", "text")
+    first = docs.groupBy(F.col("source").alias("of")).agg(F.min("doc_id").alias("first"))
+    both = docs.join(first, F.col("source").eqNullSafe(F.col("of")) & (F.col("doc_id") == F.col("first")), "left")
+    files = both.select(F.col("source").alias("title"), F.when(F.col("first").isNotNull(), "edit").otherwise("combined").alias("kind"), F.col("text").alias("content"))
     return tr.effective_source(files)
 
 

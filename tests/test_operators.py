@@ -83,6 +83,42 @@ def test_pack_golden(spark):
     assert tr.join_packs(packed).orderBy("pack").first()[:3] == ("d", 0, "a\n\nid 1: b")
 
 
+def fold(tokens, most, limit):
+    """Pack numbers, one chunk after the other."""
+    want, total, n, pack = [], 0, 0, -1
+    for t in tokens:
+        t = most + 1 if t is None else t
+        if pack < 0 or total + t > most or (limit and n >= limit):
+            pack, total, n = pack + 1, 0, 0
+        total, n = total + t, n + 1
+        want.append(pack)
+    return want
+
+
+@pytest.mark.parametrize(("limit", "block_rows"), [(None, 7), (4, 7), (30, 1), (None, 1000)])
+def test_pack_over_blocks(spark, limit, block_rows):
+    r = np.random.default_rng(5)
+    docs = {"a": r.integers(0, 15, 150).tolist(), "zeros": [0] * 60, "few": [0] * 40 + [1] * 40, None: [3, None, None, 0, 12, 0, 4], "one": [99]}
+    df = spark.createDataFrame([(d, i, n, "x") for d, tokens in docs.items() for i, n in enumerate(tokens)], "document_name string, pos int, tokens int, text string")
+    packed = tr.pack(df, 10, limit, block_rows)
+    assert packed.columns == [*df.columns, "pack"]
+    for d, tokens in docs.items():
+        assert [x.pack for x in packed.where(F.col("document_name").eqNullSafe(F.lit(d))).orderBy("pos").collect()] == fold(tokens, 10, limit), d
+
+
+def test_pack_gathers_no_document(spark):
+    df = spark.range(60_000).selectExpr("'d' as document_name", "cast(id as int) as pos", "cast(id % 7 as int) as tokens")
+    packed = tr.pack(df, 20, None, 5000)
+    assert "collect_list" not in packed._jdf.queryExecution().toString()
+    assert [x.pack for x in packed.orderBy("pos").collect()] == fold([i % 7 for i in range(60_000)], 20, None)
+
+
+def test_effective_source_windows_no_texts(spark):
+    from scriptorium.plans.queries import QUERIES
+
+    assert "Window" not in QUERIES["effective_source"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_edits(spark):
     chunks = spark.createDataFrame([("d", i, 5 * i, f"t{i}", None, None) for i in range(3)], "document_name string, pos int, chunk_id int, text string, start_time double, end_time double")
     log = spark.createDataFrame([(1, "d", 0, "x", "2024-01-01 10:00:00"), (2, "d", 0, "y", "2024-01-01 11:00:00"), (3, "d", 0, "z", "2024-01-01 11:00:00"), (4, "d", 9, "far", "2024-01-01"), (5, "d", 1, "bad time", None)], "seq int, document_name string, chunk_id int, new_text string, ts string").withColumn("ts", F.to_timestamp("ts"))
