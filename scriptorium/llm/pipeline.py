@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import dart_minhash, decontaminate, exact_dedup, lang_id, pieces
@@ -12,10 +12,15 @@ from scriptorium.llm.common import small, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_SCORE = 0.5
+#: Columns beside those of documents, within a stage.
+KEY, PATH, PLACE, FILE = "row_key of stage", "file_path of stage", "row_index of stage", "file_no of stage"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language of the table's labels; rejects those without a letter or with a posterior below MIN_SCORE."""
+    """Keeps documents in a language of the table's labels; rejects those without a letter or with a posterior below MIN_SCORE.
+
+    Each row is judged by its own text, whether its doc_id is null, repeated or not.
+    """
     model = lang_id.train(docs)
     own = [F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(docs.columns)]  # names of their own, as docs may have a score
     judged = lang_id.identify(docs, model, *own)
@@ -23,24 +28,65 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(small(ids), "doc_id", "left_semi").select(*docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY (long), unique to each row and the same at each reading.
+
+    Rows of one Parquet table are told apart by file and place in it; anything else is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = table(docs, "stage_input")
+    at = docs.select(*docs.columns, F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(PLACE))
+    paths = sorted(r[0] for r in at.select(PATH).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"`{FILE}` long, `{PATH}` string")
+    row_key = F.shiftleft(F.col(FILE), 40) + F.col(PLACE)
+    return at.join(F.broadcast(numbers), PATH).select(*docs.columns, row_key.alias(KEY))
+
+
+def by_key(keys: DataFrame) -> DataFrame:
+    """(doc_id, text) for an operator, with the row key as doc_id."""
+    return keys.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def only(keys: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of keys whose key is in kept (KEY), without the key."""
+    return keys.join(small(kept), KEY, "left_semi").drop(KEY)
+
+
+def firsts(keys: DataFrame, judged: DataFrame, group: str, size: str, *before: Column) -> DataFrame:
+    """(KEY): of each group of judged (doc_id: the row key) the row that is least by before, doc_id (null first) and row key."""
+    several = judged.where(F.col(size) > 1).withColumnRenamed("doc_id", KEY)
+    order = F.struct(*(c.alias(f"before_{i}") for i, c in enumerate(before)), F.col("own_id"), F.col(KEY).alias("least"))
+    ids = keys.select(KEY, F.col("doc_id").alias("own_id"))
+    chosen = several.join(ids, KEY).groupBy(group).agg(F.min(order).alias("first")).select(F.col("first.least").alias(KEY))
+    return chosen.unionByName(judged.where(F.col(size) == 1).select(F.col("doc_id").alias(KEY)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return only(docs, table(exact_dedup.exact_dedup(docs).where("kept").select("doc_id"), "kept"))
+    """Keeps one row of each group of equal texts: the one with the most code points, then the least doc_id.
+
+    A null doc_id comes before all others. Rows that repeat a doc_id are rows of their own: of equal ones the first stays.
+    """
+    keys = keyed(docs)
+    judged = table(exact_dedup.exact_dedup(by_key(keys)).select("doc_id", "keep_id", "group_size", "n_points"), "judged")
+    return only(keys, table(firsts(keys, judged, "keep_id", "group_size", -F.col("n_points")), "kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each near-duplicate class."""
-    return only(docs, table(dart_minhash.near_classes(docs).where("doc_id = class_id").select("doc_id"), "kept"))
+    """Keeps the row with the least doc_id of each near-duplicate class.
+
+    A null doc_id comes before all others, and its text is compared as any other. Rows that repeat a doc_id are rows of
+    their own: those with unlike texts all stay, of those in one class the first does.
+    """
+    keys = keyed(docs)
+    judged = table(dart_minhash.near_classes(by_key(keys)), "judged")
+    return only(keys, table(firsts(keys, judged, "class_id", "class_size"), "kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents contaminated by the benchmark."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return only(docs, table(found.where("not contaminated").select("doc_id"), "kept"))
+    """Drops documents contaminated by the benchmark. Each row is judged by its own text, whether its doc_id is null, repeated or not."""
+    keys = keyed(docs)
+    found = decontaminate.contamination(by_key(keys), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return only(keys, table(found.where("not contaminated").select(F.col("doc_id").alias(KEY)), "kept"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -489,3 +489,21 @@ def test_pipeline_stages(spark, docs, real, tmp_path):
                 assert set(before) - set(after) == {r.doc_id for r in found.collect()}
             now = spark.createDataFrame(out.collect(), out.schema)
     assert json.dumps(sorted(now.columns))
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_pipeline_null_and_repeated_ids(spark, tmp_path, written):
+    from scriptorium.llm import pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    long, alike, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"v{i}" for i in range(40))
+    pairs = [(None, "ab"), (2, "ab"), (5, "x y"), (5, "x y"), (5, "z"), (None, long), (7, alike), (None, other), (None, None), (8, other), (8, other)]
+    spark.createDataFrame([("1", " ".join(words[:20]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    if written:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = lambda stage: Counter((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect())
+    assert got(pipeline.exact) == Counter([(None, "ab"), (5, "x y"), (5, "z"), (None, long), (7, alike), (None, other), (None, None)])
+    assert got(pipeline.near) == Counter([(None, "ab"), (5, "x y"), (5, "z"), (None, long), (None, other), (None, None)])
+    assert got(pipeline.clean) == Counter(p for p in pairs if p[1] not in (long, alike))
