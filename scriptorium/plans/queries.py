@@ -595,6 +595,12 @@ def apply_text_fn(s, d):
     return graph.apply_text_fn(prompts, "doc_id", lambda text: text + "!").select("doc_id", "response")
 
 
+@query("SELECT doc_id, coalesce(text, '') || '!' AS response FROM documents")
+def apply_text_fn_whole(s, d):
+    prompts = documents(s, d).select("doc_id", F.col("text").alias("prompt"))
+    return graph.apply_text_fn(prompts, "doc_id", lambda text: text + "!").select("doc_id", "response")
+
+
 # Quiz
 
 
@@ -731,6 +737,11 @@ def cheap_clean(s, d):
     return base.select("doc_id", fn.cheap_clean(F.concat(F.lit("[Error in chunk 3: x\ny] 好好好好好 "), "t", F.lit(" 那個那個那個那個"))).alias("text"))
 
 
+@query()  # RE2 has no back-references
+def cheap_clean_whole(s, d):
+    return documents(s, d).select("doc_id", fn.cheap_clean(F.col("text")).alias("text"))
+
+
 @query("SELECT doc_id, 'a' || doc_id AS text FROM documents")
 def strip_think(s, d):
     return documents(s, d).select("doc_id", fn.strip_think(F.concat(F.lit("<think>so\n"), "text", F.lit("</think>\n a"), "doc_id")).alias("text"))

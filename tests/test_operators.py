@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import wave
 
 import numpy as np
@@ -148,6 +149,22 @@ def test_scalars(spark):
     assert all(r.got == r.want for r in df.withColumn("got", fn.should_update_status(F.col("a"), F.col("b"))).collect())
 
 
+def test_whole_texts_are_cleaned_and_sent(spark, tmp_path):
+    from scriptorium.plans.queries import QUERIES
+
+    head = "word " * 500
+    texts = [None, "", "好好好好", f" {head}哈哈哈哈哈 end\n", f"{head}那個那個那個那個 ＡＡＡＡ", f"{head}[Error in chunk 12: a\nb] tail 好好好", f"[Error in chunk 1: x] {head}[Error in chunk 2: y]"]
+    rows_in = [(i, t, "en", "src", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        text = re.sub("(那個){3,}", "那個那個", re.sub(r"([一-鿿\uFF00-\uFFEF])\1{3,}", r"\1\1", text or ""))
+        return re.sub(r"(?s)\[Error in chunk [0-9]+:.*?\]", "", text).strip()
+
+    assert dict(rows(QUERIES["cheap_clean_whole"](spark, str(tmp_path)))) == {i: brute(t) for i, t in enumerate(texts)}
+    assert dict(rows(QUERIES["apply_text_fn_whole"](spark, str(tmp_path)))) == {i: (t or "") + "!" for i, t in enumerate(texts)}
+
+
 def test_matching(spark):
     catalog = spark.createDataFrame([(0, "", "none"), (1, "a", "u1"), (2, "ab", "u2"), (3, "twice", "first"), (4, "twice", "last")], "row_no long, title string, url string").withColumn("upload_date", F.lit(None).cast("string"))
     names = spark.createDataFrame([("ab",), ("twice",), ("zz",), ("",)], "name string")
