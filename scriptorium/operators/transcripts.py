@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import blank_errors, fmt_header, strip
+from scriptorium.sources.scratch import written
 
 MARK = "=== Chunk"
 TIMED = r"^=== Chunk [0-9]+ \[([0-9]+\.?[0-9]*)s - ([0-9]+\.?[0-9]*)s\]"
@@ -149,14 +147,6 @@ def retime(texts: DataFrame, segments: DataFrame) -> DataFrame:
     return texts.join(segments.withColumnRenamed("seg_no", "pos"), ["title", "pos"]).select("title", (F.col("pos") + 1).alias("number"), "start_time", "end_time", "text")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that all executors see and read again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def next_starts(sums: np.ndarray, most: int, rows: int) -> np.ndarray:
     """For a pack that starts at each row of a block, the row where the next pack starts; the block's length if it ends open."""
     at = np.arange(len(sums) - 1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +14,9 @@ from scriptorium.operators import transcripts as tr
 from scriptorium.plans import jobs
 from scriptorium.plans.inputs import NAMES_SQL, documents, entity, names, transcripts, with_entities
 from scriptorium.sources import audio, tables
+from scriptorium.sources.scratch import new_path as scratch
 from scriptorium.streaming import streams
 
-def scratch(s: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
