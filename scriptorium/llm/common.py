@@ -1,9 +1,7 @@
-"""What the operators share: the shared scratch folder, checked broadcasts and word arrays."""
+"""What the operators share: intermediate tables, checked broadcasts and word arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,29 +11,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a few fixed-width columns that may be broadcast (about 32 MB); larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from scriptorium.sources.scratch import discard
+from scriptorium.sources.scratch import written as table
 
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "crc_mod", "discard", "id_type", "mixed", "slices", "small", "small_batches", "table", "word_hashes"]
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of a few fixed-width columns that may be broadcast (about 25 MB as a hashed relation); larger sides are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of texts takes in the JVM and in Python; for the session, from now on."""
+    """Bounds what one Arrow batch of texts takes in the JVM and in Python; for the session, so that only queries call it, not operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -48,6 +35,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    """The type of an id column as DDL; ids may be of any type that can be ordered."""
+    return docs.schema[column].dataType.simpleString()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

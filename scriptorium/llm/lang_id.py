@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches
 
 MAX_CELLS = 1 << 21
 MAX_BUCKETS = 1 << 16
@@ -74,7 +73,6 @@ def grams(points: np.ndarray, starts: np.ndarray, buckets: int) -> np.ndarray:
 
 def train(labelled: DataFrame, max_cells: int = MAX_CELLS, alpha: float = 0.5) -> Model:
     """Learns from all rows of labelled (text, lang) whose lang is not null."""
-    small_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang").where(F.col("lang").isNotNull())
     langs = sorted(r.lang for r in rows.groupBy("lang").count().select("lang").limit(max_cells // 64 + 1).collect())
     if len(langs) > max_cells // 64:
@@ -129,7 +127,6 @@ def identify(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
     lang_pred is a learned language, or `und` with score 0 where the text is null, empty or has no letter. Ties go to the
     language that sorts first. Whole texts are read, in pieces. Repeated rows each give a row.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

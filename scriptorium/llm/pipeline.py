@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import dart_minhash, decontaminate, exact_dedup, lang_id, pieces
-from scriptorium.llm.common import small, table
+from scriptorium.llm.common import small, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_SCORE = 0.5
@@ -21,6 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by its own text, whether its doc_id is null, repeated or not.
     """
+    small_batches(spark)
     model = lang_id.train(docs)
     own = [F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(docs.columns)]  # names of their own, as docs may have a score
     judged = lang_id.identify(docs, model, *own)
@@ -66,6 +67,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null doc_id comes before all others. Rows that repeat a doc_id are rows of their own: of equal ones the first stays.
     """
+    small_batches(spark)
     keys = keyed(docs)
     judged = table(exact_dedup.exact_dedup(by_key(keys)).select("doc_id", "keep_id", "group_size", "n_points"), "judged")
     return only(keys, table(firsts(keys, judged, "keep_id", "group_size", -F.col("n_points")), "kept"))
@@ -77,6 +79,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null doc_id comes before all others, and its text is compared as any other. Rows that repeat a doc_id are rows of
     their own: those with unlike texts all stay, of those in one class the first does.
     """
+    small_batches(spark)
     keys = keyed(docs)
     judged = table(dart_minhash.near_classes(by_key(keys)), "judged")
     return only(keys, table(firsts(keys, judged, "class_id", "class_size"), "kept"))
@@ -84,13 +87,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents contaminated by the benchmark. Each row is judged by its own text, whether its doc_id is null, repeated or not."""
+    small_batches(spark)
     keys = keyed(docs)
     found = decontaminate.contamination(by_key(keys), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return only(keys, table(found.where("not contaminated").select(F.col("doc_id").alias(KEY)), "kept"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, n_ids, parity and round_trip."""
+    """Adds ids, n_ids, parity and round_trip to each row; null and empty texts get no ids, repeated rows each stay, no rows give none."""
+    small_batches(spark)
     return pieces.encode(docs)
 
 
@@ -98,6 +103,11 @@ STAGES: list[tuple[str, Stage]] = [("language_id", language), ("exact_dedup", ex
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of documents that all stages keep, with the last stage's columns.
+
+    Each stage's result is written to the shared folder and read again. Null and empty texts go in the first stage, with all
+    others without a letter; null ids, repeated ids and repeated rows are as the stages say; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import chat_rotation, dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, token_counts, url_filter
-from scriptorium.llm.common import crc_mod
+from scriptorium.llm.common import crc_mod, small_batches
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
