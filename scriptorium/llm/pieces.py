@@ -1,27 +1,32 @@
 """SentencePiece encoding and decoding by the tokenizers library.
 
 The model file's protobuf is parsed here, and its parts are rebuilt: normaliser, metaspace marker, unigram scores or BPE
-merges, byte fallback. Every text is also encoded by the sentencepiece library; where the two differ (they may break ties
-between pieces of one score differently) the sentencepiece ids are returned and parity is false.
+merges, byte fallback. Ids always come from the rebuilt tokenizer. The sentencepiece library checks them: parity tells
+whether its ids are the same.
+
+Where a model allows cutting texts before any run of spaces, a text is a row of runs (a word after its spaces) which are
+encoded one by one. Each distinct run is then encoded, checked and decoded when it is first met in a task, and remembered;
+as no piece crosses a cut, a text has parity and a round trip if all its runs do.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from scriptorium.llm.common import slices, small_batches
+from scriptorium.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: the marker for a space, kinds of pieces and kinds of models.
@@ -29,9 +34,12 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECE_CHARS = 1 << 18
-BATCH_BYTES = 1 << 20
-CACHE = 400_000
-RUN = re.compile(f"{MARK}+[^{MARK}]*")
+BATCH_BYTES = 2 << 20
+#: Bytes that one worker's remembered runs may take, about.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 220
+#: Runs that are encoded as one text.
+BLOCK = 64
 
 
 class Spec(NamedTuple):
@@ -99,31 +107,111 @@ def by_word(spec: Spec) -> bool:
     return spec.dummy_prefix and spec.escape and not spec.squeeze and not spec.charsmap and splits_words(spec)
 
 
-class Words:
-    """Ids of runs of markers with what follows them, remembered for up to CACHE of them; new ones are encoded in batches."""
-
-    def __init__(self, spec: Spec):
-        self.core, self.known, self.odd = build(spec, bare=True), {}, set()
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """The ids of each text, and whether decoding gives it back."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        runs = [RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list(set().union(*runs).difference(self.known))
-        ids = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, ids, strict=True))
-        self.odd.update(w for w, d in zip(new, self.core.decode_batch(ids, skip_special_tokens=False), strict=True) if d != w.replace(MARK, " "))
-        out = [list(chain.from_iterable(map(self.known.__getitem__, r))) for r in runs]
-        whole = [not self.odd or self.odd.isdisjoint(r) for r in runs]
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        return out, whole
+def runs_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct runs, which of them stands at each place, number of places of each text).
 
-
-def build(spec: Spec, bare: bool = False) -> Tokenizer:
-    """The tokenizer of a model; a bare one takes runs of markers and what follows them, and decodes without dropping the first space."""
+    A run is a word after all but one of the spaces before it, as its own dummy prefix makes up for that one; spaces at
+    the end of a text belong to its last run. The runs of a text joined by one space each are the text; an empty text is one
+    empty run.
+    """
+    split = pc.split_pattern(texts, " ")
+    words, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    at, full = np.arange(len(words)), pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    last = offsets[1:] - 1
+    ends = full.copy()
+    trailing = ~full[last]
+    if trailing.any():
+        before = np.maximum.accumulate(np.where(full, at, -1))[last][trailing]
+        ends[before[before >= offsets[:-1][trailing]]] = False
+        ends[last] = True
+    end = np.flatnonzero(ends)
+    start = np.r_[0, end[:-1] + 1]
+    plain = start == end
+    coded = words.take(pa.array(end[plain])).dictionary_encode()
+    which = np.empty(len(end), np.int64)
+    which[plain] = coded.indices.to_numpy()
+    spaced = pa.array([" ".join(words.slice(a, b - a + 1).to_pylist()) for a, b in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)], texts.type).dictionary_encode()
+    which[~plain] = spaced.indices.to_numpy() + len(coded.dictionary)
+    places = np.diff(np.r_[0, np.cumsum(ends)[last]])
+    return pa.concat_arrays([coded.dictionary, spaced.dictionary]), which, places
+
+
+class Runs:
+    """Ids of runs, remembered up to about CACHE_BYTES: flat ids and, for each run, where its ids end and what the checks said."""
+
+    def __init__(self, spec: Spec, fast: Tokenizer, plain: sentencepiece.SentencePieceProcessor):
+        self.fast, self.plain = fast, plain
+        self.begins = np.array([p.startswith(MARK) for p, *_ in spec.pieces])
+        self.hold([], np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool))
+
+    def hold(self, runs: list[str], ids: np.ndarray, ends: np.ndarray, same: np.ndarray, back: np.ndarray) -> None:
+        self.known = dict(zip(runs, range(len(runs)), strict=True))
+        self.ids, self.ends, self.same, self.back = ids, ends, same, back
+        self.used = np.zeros(len(runs), np.uint8)
+        self.bytes = ENTRY_BYTES * len(runs) + 4 * len(ids) + sum(map(len, runs))
+
+    def forget(self) -> None:
+        """Keeps the runs that were met again since they were learned, if they take less than half of the room."""
+        keep = np.flatnonzero(self.used)
+        sizes = np.diff(self.ends)[keep]
+        if ENTRY_BYTES * len(keep) + 4 * sizes.sum() > CACHE_BYTES // 2:
+            keep, sizes = keep[:0], sizes[:0]
+        again = set(keep.tolist())
+        self.hold([r for r, i in self.known.items() if i in again], self.ids[spread(self.ends[keep], sizes)], np.r_[0, np.cumsum(sizes)], self.same[keep], self.back[keep])
+
+    def learn(self, new: list[str], threads: int) -> None:
+        """Encodes new runs, many in one text where none has a space of its own, and checks them; by themselves where a check fails."""
+        alone = [r for r in new if not r or " " in r]
+        rest = [r for r in new if r and " " not in r] if alone else new
+        blocks = [rest[i : i + BLOCK] for i in range(0, len(rest), BLOCK)]
+        made = []
+        for block, ids, same, back in zip(blocks, *self.checked([" ".join(b) for b in blocks], threads), strict=True):
+            first = np.flatnonzero(self.begins[ids])
+            if same and back and len(first) == len(block):
+                made.append((block, ids, np.diff(np.r_[first, len(ids)]), True, True))
+            else:
+                alone += block
+        made += [([r], ids, np.array([len(ids)]), same, back) for r, ids, same, back in zip(alone, *self.checked(alone, threads), strict=True)]
+        runs, ids, sizes, same, back = zip(*made, strict=True)
+        names, n = list(chain.from_iterable(runs)), np.array([len(r) for r in runs])
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]
+        self.same, self.back = (np.r_[x, np.repeat(np.array(y, bool), n)] for x, y in ((self.same, same), (self.back, back)))
+        self.used = np.r_[self.used, np.zeros(len(names), np.uint8)]
+        self.bytes += ENTRY_BYTES * len(names) + 4 * sum(map(len, ids)) + sum(map(len, names))
+
+    def checked(self, texts: list[str], threads: int) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """(ids, whether sentencepiece gives the same, whether decoding gives the text back) of each text."""
+        ids = [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.plain.encode(texts, num_threads=threads) if texts else []
+        decoded = self.fast.decode_batch(ids, skip_special_tokens=False)
+        return [np.array(x, np.int32) for x in ids], [a == b for a, b in zip(ids, theirs, strict=True)], [a == b for a, b in zip(decoded, texts, strict=True)]
+
+    def encode(self, texts: pa.Array, threads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each, parity of each, round trip of each)."""
+        if self.bytes > CACHE_BYTES:
+            self.forget()
+        runs, which, places = runs_of(texts)
+        runs, before = runs.to_pylist(), len(self.known)
+        if new := [r for r in runs if r not in self.known]:
+            self.learn(new, threads)
+        slot = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        self.used[slot[slot < before]] = 1
+        slot = slot[which]
+        sizes = self.ends[slot + 1] - self.ends[slot]
+        first = np.cumsum(places) - places
+        return self.ids[spread(self.ends[slot], sizes)], np.add.reduceat(sizes, first), np.logical_and.reduceat(self.same[slot], first), np.logical_and.reduceat(self.back[slot], first)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers from each start on, as many as its size says."""
+    stop = np.cumsum(sizes)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(starts - stop + sizes, sizes)
+
+
+def build(spec: Spec) -> Tokenizer:
+    """The tokenizer of a model."""
     unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), None)
     if spec.kind == UNIGRAM:
         out = Tokenizer(models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback))
@@ -139,11 +227,10 @@ def build(spec: Spec, bare: bool = False) -> Tokenizer:
         steps.append(normalizers.Prepend(" "))
     if spec.escape:
         steps.append(normalizers.Replace(" ", MARK))
-    if not bare:
-        out.normalizer = normalizers.Sequence(steps)
-    if splits_words(spec) and not bare:
+    out.normalizer = normalizers.Sequence(steps)
+    if splits_words(spec):
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix and not bare else [])])
+    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else [])])
     return out
 
 
@@ -167,59 +254,58 @@ def cut(text: str, spec: Spec, most: int = PIECE_CHARS) -> list[str]:
 
 
 @lru_cache(2)
-def loaded(data: bytes) -> tuple[Spec, Tokenizer, sentencepiece.SentencePieceProcessor, Words | None]:
+def loaded(data: bytes) -> tuple[Spec, Tokenizer, sentencepiece.SentencePieceProcessor, Runs | None]:
     spec = parse(data)
-    return spec, build(spec), sentencepiece.SentencePieceProcessor(model_proto=data), Words(spec) if by_word(spec) else None
-
-
-def encode_texts(texts: list[str], data: bytes, threads: int) -> list[tuple[list[int], bool, bool]]:
-    """(ids, parity, round_trip) of each text."""
-    spec, fast, plain, words = loaded(data)
-    parts = [cut(t, spec) for t in texts]
-    flat = [p for ps in parts for p in ps]
-    if words:
-        mine, whole = words.encode(flat)
+    fast, plain = build(spec), sentencepiece.SentencePieceProcessor(model_proto=data)
+    return spec, fast, plain, Runs(spec, fast, plain) if by_word(spec) else None
+
+
+def encode_texts(texts: pa.Array, data: bytes, threads: int) -> pa.StructArray:
+    """OWN of each text (no nulls)."""
+    spec, fast, plain, runs = loaded(data)
+    if runs:
+        texts = pc.replace_substring(texts, MARK, " ")
+        parts = [cut(t, spec) for t in texts.to_pylist()] if pc.max(pc.binary_length(texts)).as_py() > PIECE_CHARS else None
+        n = np.fromiter(map(len, parts), np.int64) if parts else np.ones(len(texts), np.int64)
+        ids, sizes, same, back = runs.encode(pa.array(chain.from_iterable(parts), pa.string()) if parts else texts, threads)
+        first = np.cumsum(n) - n
+        sizes, same, back = np.add.reduceat(sizes, first), np.logical_and.reduceat(same, first), np.logical_and.reduceat(back, first)
     else:
-        mine, whole = [e.ids for e in fast.encode_batch_fast(flat, add_special_tokens=False)], [False] * len(flat)
-    theirs = plain.encode(flat, num_threads=threads) if flat else []
-    out, at = [], 0
-    for text, ps in zip(texts, parts, strict=True):
-        span = slice(at, at := at + len(ps))
-        same = mine[span] == theirs[span]
-        ids = theirs[at - 1] if len(ps) == 1 else [i for part in theirs[span] for i in part]
-        back = same and all(whole[span]) or " ".join(fast.decode(p, skip_special_tokens=False) for p in theirs[span]) == text.replace(MARK, " ")
-        out.append((ids, same, back))
-    return out
+        whole = texts.to_pylist()
+        mine = [e.ids for e in fast.encode_batch_fast(whole, add_special_tokens=False)]
+        same = np.array([a == b for a, b in zip(mine, plain.encode(whole, num_threads=threads), strict=True)])
+        back = np.array([a == b.replace(MARK, " ") for a, b in zip(fast.decode_batch(mine, skip_special_tokens=False), whole, strict=True)])
+        ids, sizes = np.fromiter(chain.from_iterable(mine), np.int32), np.fromiter(map(len, mine), np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.StructArray.from_arrays([lists, pa.array(sizes.astype(np.int64)), pa.array(same), pa.array(back)], list(OWN))
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
     return spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0]
 
 
+OWN = {"ids": "array<int>", "n_ids": "bigint", "parity": "boolean", "round_trip": "boolean"}
+OWN_TYPE = pa.struct([("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
+
+
 def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
     """The columns of docs (which have text), then ids, n_ids, parity, round_trip; of clashing names ours win.
 
-    Null and empty texts have no ids. parity: the tokenizers and sentencepiece libraries agree on the text. round_trip:
-    decoding gives the text back (the marker itself reads as a space, and a normaliser may change texts). Whole texts are
-    encoded; very long ones in pieces that give the same ids. `threads` encode a batch within a task.
+    ids are those of the rebuilt tokenizer; null and empty texts have none. parity: the sentencepiece library gives the same
+    ids. round_trip: decoding gives the text back (the marker itself reads as a space, and a normaliser may change texts).
+    Whole texts are encoded, very long ones in pieces that give the same ids. Repeated rows each give a row, no rows give
+    none. `threads` encode a batch within a task.
     """
-    small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, path))
-    own = ["ids", "n_ids", "parity", "round_trip"]
-    kinds = [pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.bool_()]
 
-    @F.arrow_udf("struct<ids:array<int>,n_ids:bigint,parity:boolean,round_trip:boolean>")
+    @F.arrow_udf(f"struct<{','.join(f'{n}:{t}' for n, t in OWN.items())}>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ |= {"TOKENIZERS_PARALLELISM": "true", "RAYON_NUM_THREADS": str(threads)}
         for texts in batches:
-            done = [pa.array([], k) for k in kinds], *(made(texts.slice(a, b - a)) for a, b in slices(texts, BATCH_BYTES))
-            yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*done, strict=True)], own)
-
-    def made(texts: pa.Array) -> list[pa.Array]:
-        found = encode_texts([t or "" for t in texts.to_pylist()], data.value, threads)
-        return [pa.array(v, k) for v, k in zip([[x[0] for x in found], [len(x[0]) for x in found], [x[1] for x in found], [x[2] for x in found]], kinds, strict=True)]
+            texts = pc.fill_null(texts, "")
+            yield pa.concat_arrays([pa.array([], OWN_TYPE), *(encode_texts(texts.slice(a, b - a), data.value, threads) for a, b in slices(texts, BATCH_BYTES))])
 
-    rows = docs.drop(*own)
+    rows = docs.drop(*OWN)
     out = rows.select("*", encoded(F.col("text")).alias("own columns of encode"))
     return out.select(*(f"`{c}`" for c in rows.columns), "`own columns of encode`.*")
 
