@@ -2,7 +2,9 @@
 
 Each participant in turn is the assistant; the others are users who are named in front of what they say. The result has
 one row for each segment (a turn as one participant sees it) with its place in the rendered dialogue, so a dialogue of any
-length is spread over rows and tasks: places are running sums within blocks of turns plus the sums of earlier blocks.
+length is spread over rows and tasks. Places are told from sizes: sums over blocks of turns, which are narrow rows, say
+where each block begins for each participant; the texts are dealt once, by block, meet those rows, and are placed by running
+sums within their block.
 """
 
 from __future__ import annotations
@@ -28,26 +30,40 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = SYSTEM, blo
     once, with null speaker. Repeated rows are turns of their own. The dialogue is the segments joined in order of seq.
     """
     name = F.coalesce(F.nullif("role", F.lit("")), F.lit(NAMELESS))
-    turns = conversations.select("conv_id", "turn", name.alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     is_system = F.col("name").isin(*system_roles)
-    speakers = turns.where(~is_system).select(F.col("conv_id").alias("of"), F.col("name").alias("speaker")).distinct()
-    seen = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
-    own = F.coalesce(F.col("name") == F.col("speaker"), F.lit(False))
-    seen = seen.withColumn("role", F.when(is_system, "system").when(own, "assistant").otherwise("user"))
+    text = F.coalesce("text", F.lit(""))
+    turns = conversations.select("conv_id", "turn", name.alias("name"), text.alias("text"))
+    # Keys without nulls, so that joins and windows over them share one deal of the rows.
+    keys = [F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(-(1 << 62))).alias("block")]
+    turns = turns.select("*", *keys)
+    chars = F.length("text").cast("long")
+    size = chars + F.when(is_system, len(framed("system"))).otherwise(len(framed("user")) + F.length("name") + 2)  # as others see the turn
+    less = F.when(is_system, F.lit(0)).otherwise(len(framed("user")) + F.length("name") + 2 - len(framed("assistant")))  # as its speaker does
+
+    sums = turns.groupBy("conv", "block", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"), F.sum(less).alias("less"))
+    by_block = sums.groupBy("conv", "block").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    speakers = sums.where(~is_system).select("conv", F.col("name").alias("speaker")).distinct()
+    own = sums.where(~is_system).select("conv", "block", F.col("name").alias("speaker"), "less")
+    grid = by_block.join(speakers, "conv", "left").join(own, ["conv", "block", "speaker"], "left")
+    earlier = Window.partitionBy("conv", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    begins = grid.select("conv", "block", "speaker", before("n").alias("n_before"), before(F.col("size") - F.coalesce("less", F.lit(0))).alias("chars_before"))
+
+    seen = turns.join(begins, ["conv", "block"])
+    mine = F.coalesce(F.col("name") == F.col("speaker"), F.lit(False))
+    inner = Window.partitionBy("conv", "block", "speaker").orderBy("turn", "name", "text").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumns({"role": F.when(is_system, "system").when(mine, "assistant").otherwise("user"), "size": size - F.when(mine, less).otherwise(0)})
+    placed = seen.withColumns({"seq": F.count(F.lit(1)).over(inner) + F.col("n_before"), "char_start": F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("chars_before")})
     body = F.when(F.col("role") == "user", F.concat("name", F.lit(": "), "text")).otherwise(F.col("text"))
-    seen = seen.withColumn("segment", F.concat(F.lit(OPEN), "role", F.lit(CLOSE), body, F.lit(END)))
-    seen = seen.withColumns({"size": F.length("segment").cast("long"), "block": F.floor(F.coalesce("turn", F.lit(0)) / block)}).withColumn("block", F.when(F.col("turn").isNull(), None).otherwise(F.col("block")))
-    key = ["conv_id", "speaker", "block"]
-    inner = Window.partitionBy(*key).orderBy("turn", "name", "text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seen.withColumns({"seq": F.count(F.lit(1)).over(inner), "start": F.coalesce(F.sum("size").over(inner), F.lit(0))})
-    outer = Window.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
-    before = blocks.select(*(F.col(k).alias(f"b_{k}") for k in key), F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("n_before"), F.coalesce(F.sum("chars").over(outer), F.lit(0)).alias("chars_before"))
-    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key]
-    start = F.col("start") + F.col("chars_before")
-    out = placed.join(before, same[0] & same[1] & same[2]).select("conv_id", "speaker", "turn", (F.col("seq") + F.col("n_before")).alias("seq"), "role", "name", "segment", start.alias("char_start"), (start + F.col("size")).alias("char_end"))
-    trained = F.when(F.col("role") == "assistant", F.col("char_start") + len(OPEN + "assistant" + CLOSE)).otherwise(F.col("char_end"))
-    return out.withColumns({"train_start": trained, "train_end": F.col("char_end")})
+    end = F.col("char_start") + F.col("size")
+    trained = F.when(F.col("role") == "assistant", F.col("char_start") + len(OPEN + "assistant" + CLOSE)).otherwise(end)
+    segment = F.concat(F.lit(OPEN), "role", F.lit(CLOSE), body, F.lit(END))
+    return placed.select("conv_id", "speaker", "turn", "seq", "role", "name", segment.alias("segment"), "char_start", end.alias("char_end"), trained.alias("train_start"), end.alias("train_end"))
+
+
+def framed(role: str) -> str:
+    """What stands around a text of the role."""
+    return OPEN + role + CLOSE + END
 
 
 def dialogues(rotated: DataFrame, most_chars: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
