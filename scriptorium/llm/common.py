@@ -27,12 +27,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most so many rows, else df for a shuffle join.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """df with a broadcast hint if it holds at most so many rows (items: and elements of that array column), else df for a shuffle join.
 
     df should be narrow and cheap to count, such as what table() returns (Parquet footers hold the counts).
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    held = df.count() if items is None else df.agg(F.sum(F.size(items) + F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if held <= rows else df
 
 
 def id_type(docs: DataFrame, column: str = "doc_id") -> str:

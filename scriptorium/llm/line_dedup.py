@@ -1,8 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n_docs): for the 128-bit hash of each line key, in how many documents of its batches the key
-was found. Its files are dealt and sorted by hash, so that a merge join finds ordered input and row groups can be
-skipped. A batch adds one run at level 0; when a level holds `fanout` runs they are compacted into one of the next level.
+A run is a table (h1, h2, n_docs): the 128-bit hashes of the line keys that a batch was the first to have, and in how many
+of the batch's documents each is. Its files are dealt and sorted by hash. A new batch is merge-anti-joined with the runs:
+what no run holds becomes a run of its own at level 0, so that no key is in two runs; the counts of the others are noted
+beside the runs. When a level holds `fanout` runs they are compacted into one of the next level.
 """
 
 from __future__ import annotations
@@ -30,83 +31,92 @@ def lines_of(text: str) -> Column:
 
 
 class LineRuns:
-    """The runs of one corpus; rows go in by add() and are asked for by count(), frequent() and unseen()."""
+    """The runs of one corpus; batches go in by add() and are asked for by frequent() and unseen()."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = [[]]
+        self.again: list[DataFrame] = []  # (h1, h2, n_docs) of later batches' keys that a run held by then
 
-    def _write(self, counts: DataFrame) -> DataFrame:
-        return table(counts.repartition(*HASH).sortWithinPartitions(*HASH), "line_run")
+    def _write(self, rows: DataFrame) -> DataFrame:
+        return table(rows.repartition(*HASH).sortWithinPartitions(*HASH), "line_run")
 
-    def add(self, counts: DataFrame) -> None:
-        """Adds one batch's (h1, h2, n_docs), each hash once, as a new run, and compacts full levels."""
-        self.levels[0].append(self._write(counts))
+    def add(self, counts: DataFrame) -> DataFrame:
+        """Adds one batch's (h1, h2, n_docs), each hash once; returns its new run, the keys that no earlier batch had."""
+        new = self._write(self.unseen(counts))
+        if self.runs():
+            self.again.append(table(counts.join(new.select(*HASH).hint("merge"), HASH, "left_anti"), "line_again"))
+        self.levels[0].append(new)
         for i, runs in enumerate(self.levels):
             if len(runs) >= self.fanout:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._write(self._merge(runs)))
+                self.levels[i + 1].append(self._write(union(runs)))
                 self.levels[i] = []
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out if len(runs) == 1 else out.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
+        return new
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def frequent(self, min_docs: int) -> DataFrame:
-        """Hashes found in at least min_docs documents of all batches."""
-        return self._merge(self.runs()).where(F.col("n_docs") >= min_docs).select(*HASH)
-
     def unseen(self, rows: DataFrame) -> DataFrame:
         """Rows with h1, h2 that no run holds."""
         for run in self.runs():
-            rows = rows.join(run.select(*HASH), HASH, "left_anti")
+            rows = rows.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
         return rows
 
+    def frequent(self, min_docs: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        """Hashes (h1, h2) found in at least min_docs documents of all batches; no batch, no hashes."""
+        once = union(self.runs())
+        if self.again:
+            more = table(union(self.again).groupBy(*HASH).agg(F.sum("n_docs").alias("more")), "line_again")
+            once = once.join(small(more, broadcast_rows), HASH, "left").withColumn("n_docs", F.col("n_docs") + F.coalesce("more", F.lit(0)))
+        return once.where(F.col("n_docs") >= min_docs).select(*HASH)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
-def key_counts(docs: DataFrame, min_points: int = 1) -> DataFrame:
-    """(h1, h2, n_docs) of the line keys of docs; a key counts once for each row of docs."""
+
+def key_counts(docs: DataFrame, min_points: int = 1, *by: str) -> DataFrame:
+    """(by, h1, h2, n_docs) of the line keys of docs; a key counts once for each row of docs."""
     keys = F.array_distinct(F.transform(lines_of("text"), line_key))
-    rows = docs.select(F.explode(keys).alias("key")).where(F.char_length("key") >= min_points).select(*hashes(F.col("key")))
-    return rows.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"))
+    rows = docs.select(*by, F.explode(keys).alias("key")).where(F.char_length("key") >= min_points).select(*by, *hashes(F.col("key")))
+    return rows.groupBy(*by, *HASH).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def first_seen(runs: LineRuns, batch: DataFrame, min_points: int = 1) -> DataFrame:
     """Incremental form: (h1, h2) of the batch's line keys that no earlier batch has; then adds the batch's own run."""
-    counts = table(key_counts(batch, min_points), "batch_lines")
-    new = table(runs.unseen(counts).select(*HASH), "new_lines")
-    runs.add(counts)
-    return new
+    return runs.add(table(key_counts(batch, min_points), "batch_lines")).select(*HASH)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, batches: int = 4, fanout: int = 4, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, batches: int = 6, fanout: int = 4, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for each row of docs (doc_id, text; other columns are ignored).
 
     Lines are what stands between \\n; null and empty texts are one empty line. Keys (line_key) of at least min_points
     code points in at least min_docs rows lose all their lines; the others stay, joined by \\n. A text that loses all its
-    lines becomes empty. Rows that repeat one doc_id count and return as rows of their own.
+    lines becomes empty. Rows that repeat one doc_id count and return as rows of their own; no rows give none. ids may be
+    null and of any type.
+
+    The rows go into the runs in `batches` batches. Then the places of frequent lines are told for each distinct text (by a
+    128-bit hash); texts and lines themselves are not moved unless the texts that lose lines and the lines lost are more than broadcast_rows.
     """
-    spark = docs.sparkSession
-    keys = F.array_distinct(F.transform(lines_of("text"), line_key))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("key"))
-    rows = rows.where(F.char_length("key") >= min_points).select("batch", *hashes(F.col("key")))
-    counted = table(rows.groupBy("batch", *HASH).agg(F.count(F.lit(1)).alias("n_docs")), "line_batches")
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(docs.sparkSession, fanout)
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch"), "text")
+    counted = table(key_counts(dealt, min_points, "batch"), "line_batches", "batch")
     for b in range(batches):
         runs.add(counted.where(F.col("batch") == b).drop("batch"))
-    frequent = table(runs.frequent(min_docs).withColumn("dropped", F.lit(True)), "frequent_lines")
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # tells rows apart, within this one job
-    lines = numbered.select("row", "doc_id", F.posexplode(lines_of("text")).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    # Keys too short to drop get hashes of their own, so that blank lines don't meet in one partition of a shuffle join.
-    short = F.char_length("key") < min_points
-    lines = lines.select("row", "doc_id", "pos", "line", *(F.when(short, F.xxhash64("row", "pos")).otherwise(h).alias(n) for n, h in zip(HASH, hashes(F.col("key")), strict=True)), short.alias("short"))
-    judged = lines.join(small(frequent, broadcast_rows), HASH, "left").withColumn("gone", F.coalesce("dropped", F.lit(False)) & ~F.col("short"))
-    kept = F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "line"))))
-    out = judged.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_dropped"), kept.alias("kept"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("kept.line"), "\n").alias("kept_text"))
+    frequent = table(runs.frequent(min_docs, broadcast_rows), "frequent_lines")
+
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    lines = named.select("k1", "k2", F.posexplode(F.transform(lines_of("text"), line_key)).alias("pos", "key"))
+    lines = lines.where(F.char_length("key") >= min_points).select("k1", "k2", "pos", *hashes(F.col("key")))
+    hit = lines.join(small(frequent, broadcast_rows), HASH, "left_semi")
+    dropped = table(hit.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")), "dropped_lines")
+    out = named.join(small(dropped, broadcast_rows, "dropped"), ["k1", "k2"], "left").select("doc_id", "text", "dropped", lines_of("text").alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    count = lambda c: F.size(c).cast("long")
+    return out.select("doc_id", count("lines").alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(count("dropped")).cast("long").alias("n_dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
