@@ -17,8 +17,8 @@ from scriptorium.sources.scratch import written as table
 __all__ = ["BROADCAST_ROWS", "ascii_lower", "crc_mod", "discard", "id_type", "mixed", "slices", "small", "small_batches", "table", "word_hashes"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a few fixed-width columns that may be broadcast (about 25 MB as a hashed relation); larger sides are shuffled.
-BROADCAST_ROWS = 250_000
+#: Rows of a few fixed-width columns that may be broadcast (at most about 80 MB as a hashed relation); larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -8,8 +8,9 @@ coordinate. Two texts agree in a coordinate with the probability of their weight
 
 Texts of one signature content (equal shingles and weights) are joined first and stand for one another. The others meet
 where a band of the signature agrees. Texts with too few shingles that any other candidate has are set aside; in each
-bucket the others are compared, exactly, with the most central text (and `stars` - 1 others). Then pairs that share a bucket, still are in
-different classes and may still be similar enough are compared as well.
+bucket the others are compared, exactly, with the most central text (and `stars` - 1 others). Then texts that share a
+bucket, still are in different classes and may still be similar enough by size and overlap are compared as well: a bucket is
+cut by size first, as texts that differ more than the threshold allows are not alike.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BROADCAST_ROWS, mixed, slices, small, table, word_hashes
+from scriptorium.llm.common import BROADCAST_ROWS, discard, id_type, mixed, slices, small, table, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 21, 6
@@ -115,7 +116,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(names[0]), pa.array(names[1]), bands], ["doc_id", "n", "c1", "c2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, "doc_id long, n long, c1 long, c2 long, bands array<long>")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"doc_id {id_type(docs)}, n long, c1 long, c2 long, bands array<long>")
 
 
 def contents(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
@@ -130,8 +131,8 @@ def contents(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (elements.view(np.int64), weights.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["id", "shingles", "weights"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(small(wanted, broadcast_rows), "id", "left_semi").mapInArrow(rows, "id long, shingles array<long>, weights array<int>").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(small(wanted, broadcast_rows), "id", "left_semi").mapInArrow(rows, f"id {id_type(docs)}, shingles array<long>, weights array<int>").dropDuplicates(["id"])
 
 
 def shared(held: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,13 +170,14 @@ def compared(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
                 keep.append(both >= threshold * (int(p.sum()) + int(q.sum()) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(alike, "a long, b long"), "alike")
+    return table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(alike, f"a {id_type(held, 'id')}, b {id_type(held, 'id')}"), "alike")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, label): the least id that edges (a, b) connect it with; only ids with edges. Alternates large and small stars.
 
-    A star with more than a few rows of one node is not gathered: the least neighbour is an aggregate, joined back.
+    A star with more than a few rows of one node is not gathered: the least neighbour is an aggregate, joined back. Raises
+    where `rounds` are not enough (a chain of 2 ** rounds texts would take them).
     """
     now, before = table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars"), None
     for _ in range(rounds):
@@ -184,11 +186,15 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = table(both.join(least, "v").where("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "stars")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         others = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = table(others.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "stars")
+        found = table(others.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "stars")
+        discard(now, large)
+        now = found
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components are not told after {rounds} rounds")
     roots = now.select(F.col("u").alias("id")).distinct()
     return now.select(F.col("v").alias("id"), F.col("u").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
 
@@ -199,7 +205,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; the similarity is the Jaccard similarity of `words`-word shingles
     weighted by how often each occurs. class_id is the least doc_id of the documents that links of at least the threshold
     connect. Null, empty and wordless texts have no shingles: each is a class of its own, as is a null doc_id. Rows that
-    repeat one doc_id should hold one text; they share a class. Links at the threshold itself are found with probability
+    repeat one doc_id should hold one text; they share a class. No rows give none; ids may be of any type that can be
+    ordered. Links at the threshold itself are found with probability
     0.998 (BANDS, ROWS), more similar ones more surely.
     """
     made = table(signed(docs, words), "signatures")
@@ -227,17 +234,21 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
     # A pivot may not be similar enough where another member of the bucket is: pairs of different classes that still may
     # be, each in the first band that they share.
     rest = rest.join(made.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), "id")
-    other = rest.select("band", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "u", "bands")))
+    # Similar texts lie in the same cell of sizes or in the next one.
+    cell = lambda n: F.floor(F.log(n) / float(np.log(1 / threshold) * 1.000001)) if threshold < 1 else F.col(n)
+    rest = rest.withColumn("cell", cell("n"))
+    other = rest.withColumn("cell", F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))))
+    other = other.select("band", "key", "cell", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "u", "bands")))
     enough = F.least("u", "u2") >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-6
     sooner = F.expr("array_position(zip_with(slice(bands, 1, band), slice(bands2, 1, band), (x, y) -> x = y), true) > 0")
-    pairs = rest.join(other, ["band", "key"]).where((F.col("label") < F.col("label2")) & enough & ~sooner).select(*ordered("id", "id2"))
+    pairs = rest.join(other, ["band", "key", "cell"]).where((F.col("label") < F.col("label2")) & enough & ~sooner).select(*ordered("id", "id2"))
     pairs = table(pairs.join(done, ["a", "b"], "left_anti").distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.unionByName(compared(pairs, held, threshold))
     # Copies hang on the one that stands for them; both kinds of links give the classes.
     found = components(links).withColumnsRenamed({"id": "rep"})
     classes = copies.join(found, copies["id"] == found["rep"], "left").select("c1", "c2", F.coalesce("label", "id").alias("class_id"))
-    out = made.join(classes, ["c1", "c2"], "left").select("doc_id", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    out = made.join(classes, ["c1", "c2"], "left").select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = table(out, "classes")
     sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
     return out.join(small(table(sizes, "sizes"), broadcast_rows), "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
