@@ -5,9 +5,13 @@ L are learned by expectation-maximisation on the counts of a held-out tenth of t
 the other nine; the final model takes its counts from all training texts.
 
 Texts are held as chunks: word hashes of about CHUNK_TOKENS tokens of whole texts. Each chunk sends every distinct n-gram
-once, with its counts, to the n-gram's shard; a shard adds up what all chunks sent and replies to each chunk, in the
-chunk's own order, with the totals. So one shuffle both counts the corpus and looks the counts up, each n-gram counts as
-one entry for each chunk however frequent it is, and no model is broadcast or held whole anywhere.
+once, with its counts, to the n-gram's shard (a range of hashes); a shard adds up what all chunks sent and replies to each
+chunk, in the chunk's own order, with the totals. So one exchange both counts the corpus and looks the counts up, each n-gram
+counts as one entry for each chunk however frequent it is, and no model is broadcast or held whole anywhere.
+
+A sender cuts its n-grams into FAN ranges, however large the corpus is. Where that isn't enough shards, senders are grouped:
+a group adds up one range of about FAN senders and sends the sums on, again cut into FAN ranges, and hands the replies down
+the same way. So the rows exchanged grow with the chunks, times the number of levels (FAN ** levels shards).
 """
 
 from __future__ import annotations
@@ -22,16 +26,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mixed, slices, table, word_hashes
+from scriptorium.llm.common import id_type, mixed, slices, table, word_hashes
 
 CHUNK_TOKENS = 1_000_000
 SHARD_TOKENS = 1_000_000
-MIN_SHARDS = 64
+#: A power of two.
+FAN = 256
 BUCKETS = 24
 #: No word holds white space, so these are no words' hashes.
 END, START = (xxhash.xxh64_intdigest(x) for x in (b" ", b"\n"))
 KEPT, HELD, OTHER = 0, 1, 2
-CHUNK = "chunk long, n_train long, doc_ids array<long>, lengths array<int>, folds array<int>, n_units long, units binary, tokens binary"
+CHUNK = "chunk long, n_train long, doc_ids array<{}>, lengths array<int>, folds array<int>, n_units long, units binary, tokens binary"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -61,7 +66,7 @@ def uniques(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(docs: DataFrame, training: Column) -> DataFrame:
     """CHUNK rows of docs (doc_id, text), written to the shared folder; training says which rows may be learned from."""
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(10)) == 0
     fold = F.when(~training, OTHER).when(held, HELD).otherwise(KEPT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +79,11 @@ def chunks(docs: DataFrame, training: Column) -> DataFrame:
             n_train = int((sizes + 1)[of != OTHER].sum())
             chunk = int.from_bytes(os.urandom(7))  # the table is written once and then read, so this is stable
             row = [[chunk], [n_train], [pa.concat_arrays(ids).to_pylist()], [sizes], [of], [len(found)], [packed(found)], [packed(index[:-2].astype(np.int32))]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(ids[0].type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], [x.split(" ")[0] for x in CHUNK.split(", ")])
 
         for batch in batches:
-            for a, b in slices(batch.column(2)):
+            for a, b in slices(batch.column(2), 4 * CHUNK_TOKENS):
                 part = batch.slice(a, b - a)
                 words, counts = word_hashes(part.column(2))
                 ids.append(part.column(0))
@@ -92,13 +97,13 @@ def chunks(docs: DataFrame, training: Column) -> DataFrame:
         if ids:
             yield made()
 
-    return table(docs.select(F.col("doc_id").cast("long"), fold.alias("fold"), "text").mapInArrow(cut, CHUNK), "chunks")
+    return table(docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(cut, CHUNK.format(id_type(docs))), "chunks")
 
 
 class Grams(NamedTuple):
     """Of a chunk: for k = 1.. the distinct k-grams and, at each position, which it is. Positions: START, words and END of each text."""
 
-    ids: list[int | None]
+    ids: pa.Array
     folds: np.ndarray  # of each text
     text: np.ndarray  # of each position
     real: np.ndarray  # positions that are tokens
@@ -140,54 +145,117 @@ def grams(row: dict, order: int) -> Grams:
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+            yield {n: batch.column(j)[i].as_py() if n != "doc_ids" else batch.column(j)[i].values for j, n in enumerate(batch.schema.names)}
+
+
+ASK = "group long, part long, child long, k int, n long, grams binary, kept binary, held binary"
+REPLY = "child long, part long, k int, n long, kept binary, held binary, types long"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(v, KINDS[t]) for v, t in zip(columns, kinds, strict=True)], list(names))
 
 
-def requests(made: DataFrame, order: int, shards: int) -> DataFrame:
-    """(shard, chunk, k, n, grams, kept, held): each chunk's distinct k-grams and their counts in both folds, by shard."""
+def asked_of(found: np.ndarray, counts: list[np.ndarray], group: int, part: int, level: int, child: int, k: int, bits: int) -> list[tuple]:
+    """ASK rows of a sender's sorted k-grams, all within the range `part` of the level above, cut into ranges of this level."""
+    first = part << bits
+    edges = np.array([(first + i) << (64 - bits * level) for i in range(1, 1 << bits)], np.uint64)
+    cuts = np.r_[0, np.searchsorted(found, edges), len(found)]
+    return [(group, first + i, child, k, int(b - a), packed(np.diff(found[a:b], prepend=np.uint64(0))), *(packed(c[a:b]) for c in counts)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def requests(made: DataFrame, order: int, groups: int, bits: int) -> DataFrame:
+    """ASK: each chunk's distinct k-grams and their counts in both folds, by range."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             g = grams(row, order)
             fold = g.folds[g.text]
-            edges = (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)).astype(np.uint64)
             for k, (found, of) in enumerate(zip(g.distinct, g.index, strict=True), 1):
-                counts = [np.bincount(of[fold == f], minlength=len(found)).astype(np.uint32) for f in (KEPT, HELD)]
-                cuts = np.r_[0, np.searchsorted(found, edges), len(found)]
-                out = [(s, row["chunk"], k, int(b - a), packed(np.diff(found[a:b], prepend=np.uint64(0))), *(packed(c[a:b]) for c in counts)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], ["shard", "chunk", "k", "n", "grams", "kept", "held"])
+                counts = [np.bincount(of[fold == f], minlength=len(found)).astype(np.uint64) for f in (KEPT, HELD)]
+                yield batch_of(asked_of(found, counts, row["chunk"] % groups, 0, 1, row["chunk"], k, bits), ASK)
+
+    return made.mapInArrow(sent, ASK)
+
+
+def added(group: pa.Table) -> Iterator[tuple[int, list[dict], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Of ASK rows that are one group's and range's, for each k: (k, rows, distinct k-grams, which of them the rows hold, one after the other, their counts added up)."""
+    rows = sorted(group.to_pylist(), key=lambda r: (r["k"], r["child"]))
+    for k in sorted({r["k"] for r in rows}):
+        mine = [r for r in rows if r["k"] == k]
+        found, of = uniques(np.concatenate([np.cumsum(unpacked(r["grams"], np.uint64, r["n"]), dtype=np.uint64) for r in mine]))
+        yield k, mine, found, of, [np.bincount(of, np.concatenate([unpacked(r[f], np.uint64, r["n"]) for r in mine]), len(found)).astype(np.uint64) for f in ("kept", "held")]
 
-    return made.mapInArrow(sent, "shard int, chunk long, k int, n long, grams binary, kept binary, held binary")
+
+def answered(mine: list[dict], of: np.ndarray, counts: list[np.ndarray], types: int) -> list[tuple]:
+    """REPLY rows to all senders of a k."""
+    out, at = [], 0
+    for i, r in enumerate(mine):
+        span = of[at : at + r["n"]]
+        at += r["n"]
+        out.append((r["child"], r["part"], r["k"], r["n"], *(packed(c[span]) for c in counts), 0 if i else types))
+    return out
+
+
+def passed_on(asked: DataFrame, groups: int, level: int, bits: int) -> DataFrame:
+    """ASK rows of the next level: each group's sums of a range."""
+
+    def sums(key: tuple, group: pa.Table) -> pa.Table:
+        own, part = (x.as_py() for x in key)
+        return pa.Table.from_batches([batch_of(asked_of(found, counts, own % groups, part, level, own, k, bits), ASK) for k, _, found, _, counts in added(group)])
+
+    return asked.groupBy("group", "part").applyInArrow(sums, ASK)
 
 
 def replies(asked: DataFrame) -> DataFrame:
-    """(chunk, k, shard, n, kept, held, types): the totals of what each chunk asked for; types: distinct k-grams of the shard that training texts have, on one row of each shard."""
+    """REPLY rows of the last level: the totals of what each sender asked for; types: distinct k-grams of the range that training texts have, on one row of each range and k."""
+
+    def totals(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([batch_of(answered(mine, of, counts, int(((counts[0] + counts[1] > 0) & (found != START)).sum())), REPLY) for _, mine, found, of, counts in added(group)])
+
+    return asked.groupBy("group", "part").applyInArrow(totals, REPLY)
+
+
+def handed_down(asked: DataFrame, above: DataFrame, bits: int) -> DataFrame:
+    """REPLY rows to the senders of `asked` from the replies that their groups got from the level above."""
 
-    def added(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["k"], r["chunk"]))
+    def totals(group: pa.Table, got: pa.Table) -> pa.Table:
+        said = sorted(got.to_pylist(), key=lambda r: r["part"])
         out = []
-        for k in sorted({r["k"] for r in rows}):
-            mine = [r for r in rows if r["k"] == k]
-            found, of = uniques(np.concatenate([np.cumsum(unpacked(r["grams"], np.uint64, r["n"]), dtype=np.uint64) for r in mine]))
-            totals = [np.bincount(of, np.concatenate([unpacked(r[f], np.uint32, r["n"]) for r in mine]), len(found)).astype(np.uint64) for f in ("kept", "held")]
-            real = (totals[0] + totals[1] > 0) & (found != START)
-            at = 0
-            for i, r in enumerate(mine):
-                span = of[at : at + r["n"]]
-                at += r["n"]
-                out.append((r["chunk"], k, r["shard"], r["n"], *(packed(t[span]) for t in totals), 0 if i else int(real.sum())))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.table([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "k", "shard", "n", "kept", "held", "types"])
-
-    return asked.groupBy("shard").applyInArrow(added, "chunk long, k int, shard int, n long, kept binary, held binary, types long")
+        for k, mine, _, of, _ in added(group):
+            counts = [np.concatenate([unpacked(r[f], np.uint64, r["n"]) for r in said if r["k"] == k]) for f in ("kept", "held")]
+            out.append(batch_of(answered(mine, of, counts, 0), REPLY))
+        return pa.Table.from_batches(out)
+
+    keyed = above.withColumns({"group": F.col("child"), "range": F.shiftright("part", bits)})
+    return asked.groupBy("group", "part").cogroup(keyed.groupBy("group", "range")).applyInArrow(totals, REPLY)
+
+
+def exchange(made: DataFrame, order: int, chunks: int, tokens: int, fan: int) -> tuple[DataFrame, int]:
+    """(REPLY rows to each chunk, number of distinct words of the training texts)."""
+    bits = fan.bit_length() - 1
+    levels = 1
+    while fan**levels * SHARD_TOKENS < tokens:
+        levels += 1
+    groups = [-(-chunks // fan**level) for level in range(1, levels)] + [1]
+    asked = [requests(made, order, groups[0], bits)]
+    for level in range(1, levels):
+        asked[-1] = table(asked[-1], "requests")
+        asked.append(passed_on(asked[-1], groups[level], level + 1, bits))
+    out = last = table(replies(asked[-1]), "replies")
+    for rows in reversed(asked[:-1]):
+        out = table(handed_down(rows, out, bits), "replies")
+    return out, int(last.where("k = 1").agg(F.sum("types").alias("v")).first()["v"] or 0)
 
 
 def totals(row: dict, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each k, counts of the chunk's distinct k-grams in the kept and the held-out fold."""
     out: tuple[list, list] = ([], [])
     for k in range(1, order + 1):
-        mine = sorted((r for r in row["replies"] if r["k"] == k), key=lambda r: r["shard"])
+        mine = sorted((r for r in row["replies"] if r["k"] == k), key=lambda r: r["part"])
         for x, name in zip(out, ("kept", "held"), strict=True):
             x.append(np.concatenate([unpacked(r[name], np.uint64, r["n"]) for r in mine]).astype(np.float64))
     return out
@@ -257,7 +325,7 @@ def learn(known: DataFrame, order: int, n_kept: int, floor: float, rounds: int)
     return weights
 
 
-def score(docs: DataFrame, training: Column, order: int = 2, rounds: int = 12) -> DataFrame:
+def score(docs: DataFrame, training: Column, order: int = 2, rounds: int = 12, fan: int = FAN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text), learned from its rows where training holds.
 
     Tokens are words ([^\\x20\\x09-\\x0D]+ after lower-casing A-Z) and one end for each text; null counts as empty, which
@@ -266,16 +334,11 @@ def score(docs: DataFrame, training: Column, order: int = 2, rounds: int = 12) -
     own, a null doc_id returns as null. Without any training text N and V are 0 and both scores are those of one class.
     """
     made = chunks(docs, training)
-    sized = made.selectExpr("sum(n_train) n", "coalesce(sum(aggregate(lengths, 0L, (a, x) -> a + x) + size(lengths)), 0) total").first()
-    n, shards = int(sized["n"] or 0), MIN_SHARDS
-    while shards * SHARD_TOKENS < sized["total"]:
-        shards *= 2
-    asked = requests(made, order, shards)
-    replied = table(replies(asked), "replies")
-    facts = replied.where("k = 1").agg(F.sum("types").alias("v")).first()
-    v = int(facts["v"] or 0)
+    sized = made.selectExpr("sum(n_train) n", "coalesce(sum(aggregate(lengths, 0L, (a, x) -> a + x) + size(lengths)), 0) total", "count(*) chunks").first()
+    n = int(sized["n"] or 0)
+    replied, v = exchange(made, order, sized["chunks"], sized["total"], fan)
     floor = 1 / (v + 1)
-    by_chunk = replied.groupBy("chunk").agg(F.collect_list(F.struct("k", "shard", "n", "kept", "held")).alias("replies"))
+    by_chunk = replied.groupBy(F.col("child").alias("chunk")).agg(F.collect_list(F.struct("k", "part", "n", "kept", "held")).alias("replies"))  # FAN * order rows each
     known = table(made.join(by_chunk, "chunk"), "known")
     n_kept = n - int(made.selectExpr(f"sum(aggregate(arrays_zip(lengths, folds), 0L, (a, x) -> a + if(x.folds = {HELD}, x.lengths + 1, 0))) h").first()["h"] or 0)
     weights = learn(known, order, n_kept, floor, rounds)
@@ -289,7 +352,7 @@ def score(docs: DataFrame, training: Column, order: int = 2, rounds: int = 12) -
             total = lambda x, of=text, m=len(g.ids): np.bincount(of, x, m)
             fs, buckets = estimates(g, counts, n, order, of)
             p = mixture(fs, buckets, weights, floor)[-1]
-            columns = [pa.array(g.ids, pa.int64()), pa.array(total(None)), pa.array(total(single > 0).astype(np.int64)), pa.array(np.full(len(g.ids), n)), pa.array(total(np.log10((single + 1) / (n + v + 1)))), pa.array(total(np.log10(p)))]
+            columns = [g.ids, pa.array(total(None)), pa.array(total(single > 0).astype(np.int64)), pa.array(np.full(len(g.ids), n)), pa.array(total(np.log10((single + 1) / (n + v + 1)))), pa.array(total(np.log10(p)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return known.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return known.mapInArrow(scored, f"doc_id {id_type(docs)}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
