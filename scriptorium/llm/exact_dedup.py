@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BROADCAST_ROWS, small, table
+from scriptorium.llm.common import BROADCAST_ROWS, id_type, small, table
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_812_433_253)
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 CHUNK_BYTES = 1 << 16
 HUGE_BYTES = 8 << 20
-SCHEMA = "doc_id long, n_points long, n_bytes long, f1 long, f2 long, text_sha256 string, huge boolean"
+SCHEMA = "doc_id {}, n_points long, n_bytes long, f1 long, f2 long, text_sha256 string, huge boolean"
 CHUNKS = "part int, n_bytes long, h1 long, h2 long, p1 long, p2 long"
 KEY = ["n_bytes", "f1", "f2"]
 
@@ -60,17 +60,17 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, huge_bytes: in
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
+            for text in batch[1]:
                 text = text.as_py() or ""
                 data = text.encode().translate(None, SPACE)
                 huge = len(data) > huge_bytes
-                out.append((doc_id, len(text), len(data), *((None, None) if huge else fingerprint(data, chunk_bytes)), hashlib.sha256(data).hexdigest(), huge))
+                out.append((len(text), len(data), *((None, None) if huge else fingerprint(data, chunk_bytes)), hashlib.sha256(data).hexdigest(), huge))
             names = ["doc_id", "n_points", "n_bytes", "f1", "f2", "text_sha256", "huge"]
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names)
 
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    found = table(base.mapInArrow(rows, SCHEMA), "fingerprints")
+    base = docs.select("doc_id", "text")
+    found = table(base.mapInArrow(rows, SCHEMA.format(id_type(docs))), "fingerprints")
     if found.where("huge").isEmpty():
         return found
     huge = base.select("text", normalised("text").alias("data")).where(F.octet_length("data") > huge_bytes)
@@ -106,10 +106,10 @@ def with_prints(found: DataFrame, huge: DataFrame, chunk_bytes: int) -> DataFram
 
 
 def unequal_keys(docs: DataFrame, members: DataFrame, chunk_bytes: int = CHUNK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Keys of members (doc_id, *KEY) whose texts are not all equal."""
-    texts = docs.select(F.col("doc_id").cast("long"), normalised("text").alias("data"))
-    texts = texts.join(small(members, broadcast_rows), "doc_id").where(F.octet_length("data") == F.col("n_bytes"))
-    chunks = with_chunks(texts.drop("doc_id"), chunk_bytes)
+    """Keys of members (text_sha256, *KEY) whose texts are not all equal. Texts meet their key by SHA-256, so that null and repeated ids count."""
+    texts = docs.select(normalised("text").alias("data")).withColumn("text_sha256", F.sha2("data", 256))
+    texts = texts.join(small(members, broadcast_rows), "text_sha256")
+    chunks = with_chunks(texts.drop("text_sha256"), chunk_bytes)
     return chunks.groupBy(*KEY, "part").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most").select(*KEY).distinct()
 
 
@@ -124,7 +124,7 @@ def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, huge_bytes: int
     best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").alias("id")))
     groups = lambda df, key: df.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     several = table(groups(prints, KEY), "groups")
-    members = table(prints.join(small(several.select(*KEY), broadcast_rows), KEY, "left_semi").select("doc_id", *KEY), "members")
+    members = table(prints.join(small(several.select(*KEY), broadcast_rows), KEY, "left_semi").select("text_sha256", *KEY).distinct(), "members")
     unequal = table(unequal_keys(docs, members, chunk_bytes, broadcast_rows), "unequal")
     key = KEY
     if not unequal.isEmpty():

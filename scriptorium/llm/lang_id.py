@@ -72,7 +72,7 @@ def grams(points: np.ndarray, starts: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def train(labelled: DataFrame, max_cells: int = MAX_CELLS, alpha: float = 0.5) -> Model:
-    """Learns from all rows of labelled (text, lang) whose lang is not null."""
+    """Learns from all rows of labelled (text, lang) whose lang is not null; null texts count as empty. No rows give a model without languages."""
     rows = labelled.select("text", "lang").where(F.col("lang").isNotNull())
     langs = sorted(r.lang for r in rows.groupBy("lang").count().select("lang").limit(max_cells // 64 + 1).collect())
     if len(langs) > max_cells // 64:

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import id_type, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts texts for this vocabulary.
@@ -181,16 +181,19 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
     return spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0]
 
 
-STATE = "doc_id long, text string, sizes array<int>, counts array<int>, n_tokens long"
+STATE = "doc_id {}, text string, sizes array<int>, counts array<int>, n_tokens long"
 
 
 def build(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """STATE and edits (null where docs has none) of each row of docs (doc_id, text and perhaps edits, an array of EDIT).
 
-    sizes and counts hold the leaves of the document's tree one after the other. Null counts as empty: no pre-tokens.
+    sizes and counts hold the leaves of the document's tree one after the other. Null counts as empty: no pre-tokens. A
+    column edits of another type is not read. Repeated rows each give a row, no rows give none; ids may be null and of any
+    type. A text is cut and encoded whole within a task, with about 20 bytes for each of its pre-tokens.
     """
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
-    edits = F.col("edits").cast(f"array<{EDIT}>") if "edits" in docs.columns else F.lit(None).cast(f"array<{EDIT}>")
+    given = "edits" in docs.columns and docs.schema["edits"].dataType.simpleString() == f"array<{EDIT}>"
+    edits = F.col("edits") if given else F.lit(None).cast(f"array<{EDIT}>")
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(data.value, pattern)
@@ -205,14 +208,15 @@ def build(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFra
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sizes, kind), pa.array(counts, kind), pa.array([int(c.sum()) for c in counts], pa.int64()), part.column(2)], ["doc_id", "text", "sizes", "counts", "n_tokens", "edits"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), edits.alias("edits"))
-    return rows.mapInArrow(built, f"{STATE}, edits array<{EDIT}>")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), edits.alias("edits"))
+    return rows.mapInArrow(built, f"{STATE.format(id_type(docs))}, edits array<{EDIT}>")
 
 
 def apply_edits(state: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """STATE after each row's edits, in order, with n_before, n_edits and n_encoded (pre-tokens encoded anew).
 
-    Null or empty edits leave a row as it is; of an edit, null places count as 0 and null text as empty.
+    Null or empty edits leave a row as it is; of an edit, null places count as 0 and null text as empty. Repeated rows are
+    edited each for itself, no rows give none; a text of any length is edited within one task.
     """
     data = state.sparkSession.sparkContext.broadcast(read_ranks(state.sparkSession, path))
 
@@ -222,21 +226,21 @@ def apply_edits(state: DataFrame, path: str = RANKS, pattern: str = PATTERN) ->
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
                 out = []
-                for doc_id, text, sizes, counts, n, edits in zip(*(part.column(c) for c in ("doc_id", "text", "sizes", "counts", "n_tokens", "edits")), strict=True):
+                for text, sizes, counts, n, edits in zip(*(part.column(c) for c in ("text", "sizes", "counts", "n_tokens", "edits")), strict=True):
                     text, n, edits = text.as_py(), n.as_py(), edits.as_py() or []
                     if not edits:
-                        out.append((doc_id.as_py(), text, sizes.as_py(), counts.as_py(), n, n, 0, 0))
+                        out.append((text, sizes.as_py(), counts.as_py(), n, n, 0, 0))
                         continue
                     tree, again = grow(sizes.values.tolist(), counts.values.tolist()), 0
                     for e in edits:
                         tree, text, k = edit(tree, text, e["at"] or 0, e["removed"] or 0, e["added"] or "", encode)
                         again += k
-                    out.append((doc_id.as_py(), text, *flat(tree), tree.tokens[1], n, len(edits), again))
-                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())] + [pa.int64()] * 4
+                    out.append((text, *flat(tree), tree.tokens[1], n, len(edits), again))
+                kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())] + [pa.int64()] * 4
                 names = ["doc_id", "text", "sizes", "counts", "n_tokens", "n_before", "n_edits", "n_encoded"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    return state.mapInArrow(applied, f"{STATE}, n_before long, n_edits long, n_encoded long")
+    return state.mapInArrow(applied, f"{STATE.format(id_type(state))}, n_before long, n_edits long, n_encoded long")
 
 
 def with_edits(state: DataFrame, edits: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from scriptorium.llm.common import crc_mod
 SF = "/root/testdata/sf0.001"
 R = random.Random(11)
 WORDS = ["the", "of", "Éa", "ch", "und", "x1", "THE", "la,", "é", "über", "中文", "a"]
-CLASH = ("row", "pos", "line", "key", "k1", "k2", "n", "id", "fold", "batch", "huge", "words", "label", "score", "lang_pred", "ids", "kept", "part", "chunk", "edits_", "speaker", "host")
+CLASH = ("row", "pos", "line", "key", "k1", "k2", "n", "id", "fold", "batch", "huge", "words", "label", "score", "lang_pred", "ids", "kept", "part", "chunk", "edits", "speaker", "host")
 
 
 def clash(df):
@@ -113,11 +113,18 @@ def test_exact_dedup_survives_collisions(docs, monkeypatch):
 
 
 def test_unequal_keys_finds_a_collision(spark):
-    df = spark.createDataFrame([(1, "abcd"), (2, "abce"), (3, "wxyz"), (4, "w xyz")], "doc_id long, text string")
-    members = spark.createDataFrame([(1, 4, 7, 7), (2, 4, 7, 7), (3, 4, 8, 8), (4, 4, 8, 8)], "doc_id long, n_bytes long, f1 long, f2 long")
+    texts = ["abcd", "abce", "wxyz", "w xyz"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    sha = [hashlib.sha256(strip(t).encode()).hexdigest() for t in texts]
+    members = spark.createDataFrame([(sha[0], 4, 7, 7), (sha[1], 4, 7, 7), (sha[2], 4, 8, 8)], "text_sha256 string, n_bytes long, f1 long, f2 long")
     assert rows(exact_dedup.unequal_keys(df, members, chunk_bytes=3)) == [(4, 7, 7)]
 
 
+def test_exact_dedup_of_string_ids(spark):
+    df = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "z"), ("c", "z z")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df).collect()) == [("None", None, True), ("a", "b", False), ("b", "b", True), ("c", "c", True)]
+
+
 def test_fingerprints_compose():
     data = prose(3000).encode()
     assert len({exact_dedup.fingerprint(data, c) for c in (7, 100, 1 << 16)}) == 1
@@ -203,6 +210,55 @@ def test_lang_id(spark, docs, empty, real):
     assert {(r.lang_pred, r.score) for r in lang_id.identify(docs, none).collect()} == {("und", 0.0)}
 
 
+def lang_brute(train, texts, buckets, alpha=0.5):
+    """Naive Bayes written out with dictionaries: (language, posterior) of each text."""
+    word = (1 << 64) - 1
+
+    def found(text):
+        padded = f" {text.lower()}   "
+        for i in range(len(padded) - 2):
+            h = 0
+            for n in range(3):
+                h = (h + ord(padded[i + n]) + n + 1) * 0x9E3779B97F4A7C15 & word
+                yield ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & word) >> (64 - buckets.bit_length() + 1)
+
+    counts, docs = defaultdict(Counter), Counter(lang for _, lang in train if lang is not None)
+    for text, lang in train:
+        if lang is not None:
+            counts[lang].update(found(text or ""))
+    out = []
+    for text in texts:
+        if not any(map(str.isalpha, text or "")):
+            out.append(("und", 0.0))
+            continue
+        logs = {x: math.log(docs[x] / docs.total()) for x in sorted(docs)}
+        for g in found(text):
+            for x in logs:
+                logs[x] += math.log((counts[x][g] + alpha) / (counts[x].total() + alpha * buckets))
+        best = max(logs, key=logs.get)  # of equal ones the first
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_lang_id_against_brute_force(spark, docs, real):
+    pairs = [(r.text, r.lang) for r in docs.collect()] + [(r.text, r.lang) for r in real.where("doc_id % 9 = 0").collect()]
+    texts = [t for t, _ in pairs if len(t or "") < 3000] + ["a", "été", "the the", "the the"]
+    model = lang_id.train(spark.createDataFrame(pairs, "text string, lang string"), max_cells=1 << 12)
+    want = lang_brute(pairs, texts, len(model.log_probs))
+    asked = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(asked, model).collect()}
+    for i, (lang, score) in enumerate(want):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 2e-3, texts[i]
+
+
+def test_lang_id_ties_and_repeated_rows(spark):
+    """Languages with the same counts tie, and the first by name wins; repeated and null ids each give a row."""
+    train = spark.createDataFrame([("same text", "b"), ("same text", "a"), ("same text", "c"), ("other", None)], "text string, lang string")
+    asked = spark.createDataFrame([(1, "same"), (1, "same"), (None, "zzz"), (None, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in lang_id.identify(asked, lang_id.train(train)).collect())
+    assert got == Counter({(1, "a", 0.333333): 2, (None, "a", 0.333333): 1, (None, "und", 0.0): 1})
+
+
 def test_lang_id_counts_whole_texts_in_pieces():
     text = prose(400)
     whole = Counter(g for p, s, _ in lang_id.blocks([text]) for g in lang_id.grams(p, s, 1 << 12).ravel().tolist())
@@ -293,6 +349,32 @@ def test_darts_estimate_weighted_similarity():
         assert abs((sig[i] == sig[j]).mean() - true) < 4 * math.sqrt(0.25 / dart_minhash.K)
 
 
+def test_near_centres_in_one_bucket(spark):
+    """Texts of several sizes around several centres, none of which is alike the first pivot's, lose no link."""
+    r = random.Random(8)
+    core = [f"w{i}" for i in range(120)]
+    texts = []
+    for c in range(6):
+        centre = [*core[: 104 - c], *(f"c{c}_{i}" for i in range(16 + c))]
+        texts += [" ".join([*centre[:-k], *(f"r{r.randrange(10**6)}" for _ in range(k))]) for k in range(1, 6)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = near_brute([*enumerate(texts)])
+    assert 1 < len(set(want.values())) < len(texts)
+    assert {x.doc_id: x.class_id for x in dart_minhash.near_classes(df).collect()} == want
+
+
+def test_near_classes_of_odd_ids(spark):
+    rows_in = [("b", BASE), ("a", BASE + " end"), ("a", BASE + " end"), (None, BASE), ("z", "x"), ("y", None)]
+    got = Counter(rows(dart_minhash.near_classes(spark.createDataFrame(rows_in, "doc_id string, text string"))))
+    assert got == Counter({("a", "a", 3): 2, ("b", "a", 3): 1, (None, None, 1): 1, ("z", "z", 1): 1, ("y", "y", 1): 1})
+
+
+def test_components_says_when_it_stops_early(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        dart_minhash.components(df, rounds=1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(120, 39)] + [(200, 201)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -350,11 +432,109 @@ def test_deleted_interpolation_formula_and_gain(spark, real, monkeypatch):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_deleted_interpolation_is_a_distribution(spark):
-    """Over one-word texts the probabilities of all words and of an unknown one add up to that of any word and its end."""
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a c", "b a", "a", "c c a", "zz"])], "doc_id long, text string")
-    got = {r.doc_id: r for r in deleted_interpolation.score(df, F.col("doc_id") < 5, order=1).collect()}
-    assert got[5].n_known == 1 and got[5].n_tokens == 2
+def probabilities(df, training, texts, order):
+    """10 to the power of the score of each held-out text."""
+    more = df.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], df.schema)
+    got = {r.doc_id: 10**r.score for r in deleted_interpolation.score(df.unionByName(more), training & (F.col("doc_id") < 1000), order=order).collect()}
+    return [got[1000 + i] for i in range(len(texts))]
+
+
+def test_deleted_interpolation_is_a_distribution(spark, monkeypatch):
+    """Texts score as the product of probabilities that, after any word, add up to one over all words, the end and an unknown word."""
+    train = ["a b", "a c", "b a", "a", "c c a", "b b c a", "", "a a", "c", "b"] * 3
+    words = ["a", "b", "c", "zz"]
+    texts = ["", *words, *(f"{h} {x}" for h in words for x in words)]
+    df = spark.createDataFrame([*enumerate(train), *((1000 + i, t) for i, t in enumerate(texts))], "doc_id long, text string")
+    for order in (1, 2):
+        learned = []
+        learn = deleted_interpolation.learn
+        monkeypatch.setattr(deleted_interpolation, "learn", lambda *a, f=learn, to=learned: to.append(f(*a)) or to[-1])
+        got = {r.doc_id: r.score for r in deleted_interpolation.score(df, F.col("doc_id") < 1000, order=order).collect()}
+        one, two, before = Counter(), Counter(), Counter()
+        for t in train:
+            w = ["<", *t.split(), ">"]
+            one.update(w[1:])
+            before.update(w[:-1])
+            two.update(zip(w, w[1:], strict=False))
+
+        def p(h, x, weights=learned[0], order=order, counts=(one, two, before)):
+            one, two, before = counts
+            low = weights[0][0] * one[x] / one.total() + (1 - weights[0][0]) / (len(one) + 1)
+            w = weights[1][math.ceil(math.log2(before[h] + 1))] if order == 2 else 0
+            return w * two[h, x] / max(1, before[h]) + (1 - w) * low
+
+        for h in ["<", *words]:
+            assert abs(sum(p(h, x) for x in [*words, ">"]) - 1) < 1e-9  # zz is the unknown word
+        for i, t in enumerate(texts):
+            w = ["<", *t.split(), ">"]
+            assert abs(got[1000 + i] - sum(math.log10(p(h, x)) for h, x in zip(w, w[1:], strict=False))) < 1e-6
+        monkeypatch.setattr(deleted_interpolation, "learn", learn)
+
+
+def em_brute(pairs, held, rounds=12):
+    """Bigram weights by expectation-maximisation with dictionaries: (unigram weight, weight of each bucket of contexts)."""
+    kept = [t for i, t in pairs if not held[i]]
+    out = [t for i, t in pairs if held[i]]
+    padded = lambda t: [0, *lower(t).encode().split(), None]
+    one, two, before = Counter(), Counter(), Counter()
+    for t in kept:
+        w = padded(t)
+        one.update(w[1:])
+        before.update(w[:-1])
+        two.update(zip(w, w[1:], strict=False))
+    every = {w for _, t in pairs for w in padded(t)[1:]}
+    n, floor = one.total(), 1 / (len(every) + 1)
+    bucket = lambda h: min(deleted_interpolation.BUCKETS - 1, math.ceil(math.log2(before[h] + 1)))
+    tokens = [(one[x] / n, two[h, x] / max(1, before[h]), bucket(h)) for t in out for h, x in zip(padded(t), padded(t)[1:], strict=False)]
+    low, high = 0.5, defaultdict(lambda: 0.5, {0: 0.0})
+    for _ in range(rounds):
+        got, of, got1, of1 = Counter(), Counter(), 0.0, 0.0
+        for f1, f2, b in tokens:
+            p1 = low * f1 + (1 - low) * floor
+            p2 = high[b] * f2 + (1 - high[b]) * p1
+            post = high[b] * f2 / p2
+            got[b] += post
+            of[b] += 1
+            got1 += (1 - post) * low * f1 / p1
+            of1 += 1 - post
+        new = {b: min(got[b] / of[b], 1 - 1e-6) for b in of}
+        moved = max(abs(got1 / of1 - low), *(abs(new[b] - high[b]) for b in new))
+        low = min(got1 / of1, 1 - 1e-6)
+        high.update(new)
+        if moved < 1e-3:
+            break
+    return low, high, n, one, two, before, floor
+
+
+def test_deleted_interpolation_learns_by_em(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["a", "b", "c", "d", f"x{r.randrange(40)}"], [9, 5, 3, 1, 2], k=r.randrange(1, 30))) for _ in range(120)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    held = {x.doc_id: x.h for x in df.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(10)) == 0).alias("h")).collect()}
+    assert 3 < sum(held.values()) < 30
+    low, high, *_ = em_brute(list(enumerate(texts)), held)
+    learned = []
+    learn = deleted_interpolation.learn
+    monkeypatch.setattr(deleted_interpolation, "learn", lambda *a: learned.append(learn(*a)) or learned[-1])
+    deleted_interpolation.score(df, F.lit(True), order=2).collect()
+    assert abs(learned[0][0][0] - low) < 1e-4
+    assert all(abs(learned[0][1][b] - w) < 1e-4 for b, w in high.items())
+
+
+def test_deleted_interpolation_over_levels(spark, docs, monkeypatch):
+    """Many small chunks through several levels of the exchange score as one chunk does; ids may be null, repeated and strings."""
+    training = crc_mod(F.col("doc_id"), 7) != 2
+    repeated = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(5)).unionByName(spark.createDataFrame([(None, "one the"), (None, None)], "doc_id long, text string"))
+    rounded = lambda df: Counter((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in df.collect())
+    want = rounded(deleted_interpolation.score(repeated, training, order=3))
+    monkeypatch.setattr(deleted_interpolation, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(deleted_interpolation, "SHARD_TOKENS", 500)
+    assert rounded(deleted_interpolation.score(repeated.repartition(3), training, order=3, fan=4)) == want
+    named = repeated.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert rounded(deleted_interpolation.score(named.repartition(2), training, order=3, fan=8)) == want
+    made = deleted_interpolation.chunks(repeated.repartition(2), training)
+    n = made.count()
+    assert n > 5 and deleted_interpolation.requests(made, 2, 1, 3).count() <= n * 2 * 8
 
 
 # Token counts
@@ -377,6 +557,18 @@ def test_token_counts(spark, docs, empty):
     assert token_counts.apply_edits(token_counts.build(empty)).count() == 0
 
 
+def test_token_counts_of_odd_rows(spark):
+    enc = token_counts.encoder(open(token_counts.RANKS, "rb").read(), token_counts.PATTERN)
+    long = prose(40_000)
+    df = spark.createDataFrame([("a", long), ("a", long), (None, "x y"), ("b", None)], "doc_id string, text string")
+    edits = F.when(F.length("text") > 10, token_counts.derived_edits(F.coalesce("doc_id", F.lit("")), F.col("text")))
+    got = token_counts.apply_edits(token_counts.build(df.withColumn("edits", edits))).collect()
+    assert Counter(r.doc_id for r in got) == Counter({"a": 2, None: 1, "b": 1})
+    for r in got:
+        assert r.n_tokens == len(enc.encoding.encode_ordinary(r.text)) and r.n_encoded < 200
+    assert len({(r.doc_id, r.text) for r in got}) == 3
+
+
 def test_edits_reencode_locally():
     enc = token_counts.encoder(open(token_counts.RANKS, "rb").read(), token_counts.PATTERN)
     junk = ["", "a", " ", "  ", "'s", "'", "\n", "1", "don't", "x y z", " \n ", "é", "!!"]
@@ -396,18 +588,54 @@ def test_edits_reencode_locally():
 # Pieces
 
 
+ODD = ["a  b ", " ", "   ", "  x   y  ", "▁a ▁▁", "a▁b", "é😀 \x00 中", "\t \n a", "z" * 3000 + "  " * 40 + "end"]
+
+
 def test_pieces(spark, docs, empty, real):
+    """The ids of the rebuilt tokenizer against those of the sentencepiece library, which the operator uses for parity alone."""
     import sentencepiece
 
     plain = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    for df in (docs, real):
-        for r in pieces.encode(df).collect():
+    odd = spark.createDataFrame([*enumerate(ODD), (None, "null id"), (3, "again"), (3, "again")], "doc_id long, text string")
+    for df in (docs, real, odd):
+        got = pieces.encode(df).collect()
+        assert len(got) == df.count()
+        for r in got:
             assert r.ids == plain.encode(r.text or "") and r.n_ids == len(r.ids) and r.round_trip and r.parity
     back = pieces.decode(pieces.encode(docs)).collect()
     assert all(r.decoded == (r.text or "") for r in back)
     assert pieces.encode(empty).count() == 0
 
 
+def test_pieces_returns_the_tokenizers_ids(monkeypatch):
+    """A sentencepiece library that disagrees changes parity, never the ids."""
+    data = open(pieces.MODEL, "rb").read()
+    spec, fast, plain, _ = pieces.loaded(data)
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[*ids, 7] if "wrong" in t else ids for t, ids in zip(texts, plain.encode(texts), strict=True)]
+
+    texts = pa.array(["all right here", "some wrong word", ""])
+    runs = pieces.Runs(spec, fast, Other())
+    for by_run in (runs, None):
+        monkeypatch.setattr(pieces, "loaded", lambda _, r=by_run: (spec, fast, Other(), r))
+        got = pieces.encode_texts(texts, data, 1).to_pylist()
+        assert [r["ids"] for r in got] == plain.encode(texts.to_pylist()) and [r["parity"] for r in got] == [True, False, True] and all(r["round_trip"] for r in got)
+
+
+def test_pieces_forgets_runs(monkeypatch):
+    data = open(pieces.MODEL, "rb").read()
+    spec, fast, plain, _ = pieces.loaded(data)
+    runs = pieces.Runs(spec, fast, plain)
+    for limit in (6000, 0):
+        monkeypatch.setattr(pieces, "CACHE_BYTES", limit)
+        for _ in range(6):
+            texts = [prose(60) for _ in range(3)] + ["the the"]
+            ids, sizes, same, back = runs.encode(pa.array(texts), 1)
+            assert ids.tolist() == [i for x in plain.encode(texts) for i in x] and sizes.tolist() == [len(x) for x in plain.encode(texts)] and same.all() and back.all()
+
+
 def test_pieces_of_long_texts():
     data = open(pieces.MODEL, "rb").read()
     spec, _, plain, _ = pieces.loaded(data)
