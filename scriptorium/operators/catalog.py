@@ -20,15 +20,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def contained_pairs(left: DataFrame, right: DataFrame, a: str, b: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs of rows where right's text b, not blank, is inside left's text a.
 
-    A small right side is broadcast. A larger one is joined on the q-gram it begins with, which left must hold; texts
-    shorter than a q-gram join on themselves.
+    A small right side is broadcast. A larger one is joined on the one of its q-grams that the fewest of left's texts
+    hold, so that a common beginning or word makes no hot key; a text with a q-gram that none holds matches nothing, and
+    texts shorter than a q-gram join on themselves.
     """
     right = right.where(F.col(b) != "")
     if small(right, rows):
         return left.join(F.broadcast(right), F.col(a).contains(F.col(b)))
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(F.col(c), i, F.lit(n)))
     held = left.withColumn("gram", F.explode(F.array_distinct(F.concat(*(grams(a, n) for n in range(1, GRAM + 1))))))
-    return held.join(right.withColumn("gram", F.substring(b, 1, GRAM)), "gram").where(F.col(a).contains(F.col(b))).drop("gram")
+    seen = held.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    own = right.select(F.col(b).alias("own")).distinct()
+    own = own.select("own", F.explode(F.array_distinct(F.when(F.length("own") <= GRAM, F.array("own")).otherwise(grams("own", GRAM)))).alias("gram"))
+    rarest = own.join(seen, "gram", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")).alias("r"))
+    rarest = rarest.where("r.seen > 0").select("own", "r.gram")
+    keyed = right.join(rarest, F.col(b) == F.col("own")).drop("own")
+    return held.join(keyed, "gram").where(F.col(a).contains(F.col(b))).drop("gram")
 
 
 def first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -185,6 +192,26 @@ def cleanup_interrupted(jobs: DataFrame, note: str = "Interrupted by restart") -
     return jobs.withColumns({"changed": F.coalesce(hit, F.lit(False)), "status": F.when(hit, "failed").otherwise(F.col("status")), "error_message": F.when(hit, note).otherwise(F.col("error_message"))})
 
 
+def reset_interrupted(files: DataFrame, downloads: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after a restart: files under way and downloads under way wait again, jobs under way have failed; error_message says so."""
+
+    def waiting(table: DataFrame, status: str, note: str) -> DataFrame:
+        hit = F.coalesce(F.col("status") == status, F.lit(False))
+        return table.withColumns({"status": F.when(hit, "pending").otherwise(F.col("status")), "error_message": F.when(hit, note).otherwise(F.col("error_message"))})
+
+    return waiting(files, "processing", "Interrupted while processing"), waiting(downloads, "downloading", "Interrupted while downloading"), cleanup_interrupted(jobs).drop("changed")
+
+
+def interrupted_counts(files: DataFrame, downloads: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(label, n): rows that carry the note of an interruption, now or from before."""
+    out = None
+    for label, table, status in (("files", files, "pending"), ("downloads", downloads, "pending"), ("jobs", jobs, "failed")):
+        noted = F.count_if((F.col("status") == status) & F.lower("error_message").contains("interrupted"))
+        part = table.agg(noted.alias("n")).select(F.lit(label).alias("label"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def delete_files(files: DataFrame, downloads: DataFrame, jobs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the files gone (id): their jobs go, their downloads lose the link."""
     ids = gone.select(F.col("id").alias("file_id")).distinct().withColumn("_gone", F.lit(True))

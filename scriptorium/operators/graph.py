@@ -75,9 +75,37 @@ def counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def schema(spark, **tables: DataFrame) -> DataFrame:
-    """(label, property, type) of the tables' columns."""
-    return spark.createDataFrame([(label, f.name, f.dataType.simpleString()) for label, t in tables.items() for f in t.schema.fields], "label string, property string, type string")
+def removed(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(label, removed): how many rows each table has lost."""
+    lost = counts(**before).join(counts(**after).withColumnRenamed("n", "left"), "label")
+    return lost.select("label", (F.col("n") - F.col("left")).alias("removed"))
+
+
+def chunks_of_concept(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks that mention a concept: mentions (document_name, chunk_id, concept_name) with the chunk's text."""
+    return mentions.join(chunks.select("document_name", "chunk_id", "text"), ["document_name", "chunk_id"]).select("document_name", "chunk_id", "concept_name", "text")
+
+
+def related_concepts(relations: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Relations between two concepts (name, document_name) with both ends' documents."""
+    end = lambda side: concepts.select(F.col("name").alias(f"{side}_name"), F.col("document_name").alias(f"{side}_document"))
+    return relations.join(end("from"), "from_name").join(end("to"), "to_name").select("from_name", "relationship_type", "to_name", "from_document", "to_document")
+
+
+def chunk_concept_context(mentions: DataFrame, chunks: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Chunk, mention and concept (name, type, description) rows for a question's context."""
+    return chunks_of_concept(mentions, chunks).join(concepts.select(F.col("name").alias("concept_name"), "type", "description"), "concept_name")
+
+
+def schema(**tables: DataFrame) -> DataFrame:
+    """(label, property, type, n): the tables' columns and how many rows have a value; one scan of each table."""
+    out = None
+    for label, t in tables.items():
+        sums = t.agg(*(F.count(F.col(f"`{f.name}`")).alias(str(i)) for i, f in enumerate(t.schema.fields)))
+        rows = F.array(*(F.struct(F.lit(f.name).alias("property"), F.lit(f.dataType.simpleString()).alias("type"), F.col(str(i)).alias("n")) for i, f in enumerate(t.schema.fields)))
+        part = sums.select(F.lit(label).alias("label"), F.explode(rows).alias("p")).select("label", "p.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:

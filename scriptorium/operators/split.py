@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import token_count
+
 #: Where a text may be cut, best first: after a paragraph, a sentence, white space.
 BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?。！？])\s*|\n"), re.compile(r"\s+"))
 SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？]|\n|[^.!?。！？\n]+")
@@ -70,6 +73,35 @@ def balanced(reply: str | None) -> str:
     return "[]"
 
 
+def count_tokens(text: Column, counter: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """Tokens of texts by a counting function of batches, or by the vocabulary-free count; null counts as empty."""
+    if counter is None:
+        return token_count(text)
+
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series(counter(texts.tolist()), dtype="int32")
+
+    return counted(F.coalesce(text, F.lit("")))
+
+
+def vocabulary_counter(ranks: bytes, pattern: str) -> Callable[[list[str]], list[int]]:
+    """A counting function for a byte-pair vocabulary: lines of a base64 token and its rank, and the pattern that cuts texts."""
+    made: list = []
+
+    def count(texts: list[str]) -> list[int]:
+        if not made:  # built in the task
+            import base64
+
+            import tiktoken
+
+            pairs = (line.split() for line in ranks.splitlines() if line)
+            made.append(tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}))
+        return [len(x) for x in made[0].encode_ordinary_batch(texts, num_threads=1)]
+
+    return count
+
+
 QUESTION = "array<struct<question_text:string,options:array<string>,correct_answer:string,explanation:string>>"
 
 

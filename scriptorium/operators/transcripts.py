@@ -71,6 +71,17 @@ def parse_quiz(files: DataFrame, longer_than: int = 80) -> DataFrame:
     return kept.select("document_name", (F.row_number().over(Window.partitionBy("document_name").orderBy("block")) - 1).alias("idx"), "text")
 
 
+def first_chunks(files: DataFrame, chunks: int = 10, documents: int | None = None) -> DataFrame:
+    """parse_quiz of the first `documents` files by name (all without a number): the first `chunks` kept blocks of each."""
+    picked = files if documents is None else files.orderBy("document_name").limit(documents)
+    return parse_quiz(picked).where(F.col("idx") < chunks)
+
+
+def renumber(chunks: DataFrame) -> DataFrame:
+    """chunks with number: 1, 2, .. within a document in order of pos."""
+    return chunks.withColumn("number", F.row_number().over(Window.partitionBy("document_name").orderBy("pos")))
+
+
 def parse_numbered(files: DataFrame) -> DataFrame:
     """(document_name, number, text): the number is the header's first word, the text is the rest of the block."""
     blocks = files.select("document_name", F.explode(F.slice(F.split(unified(F.col("content")), MARK), 2, 1 << 30)).alias("raw"))

@@ -47,7 +47,7 @@ def sql(name: str) -> str:
 
 def with_entities(query: str, *names: str) -> str:
     """query after the entities it names; a query may begin with further common table expressions."""
-    head = "WITH " + ", ".join(map(sql, names))
+    head = ("WITH RECURSIVE " if " UNION ALL SELECT p.document_name" in query else "WITH ") + ", ".join(map(sql, names))
     return f"{head}, {query[5:]}" if query.startswith("WITH ") else f"{head} {query}"
 
 

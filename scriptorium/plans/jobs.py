@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import blank_errors, build_prompt, clean_choice, concept_text, merge_choice, token_count
 from scriptorium.operators import catalog as cat
 from scriptorium.operators import graph, quiz, split, transcripts
+from scriptorium.sources.scratch import written
 
 TextFn = Callable[[str], str]
 
@@ -24,7 +25,8 @@ def build_graph(files: DataFrame, videos: DataFrame, extract: TextFn, joined: in
     groups = transcripts.pack(texts.drop("pack"), grouped).withColumnRenamed("pack", "grp")
     prompts = groups.groupBy("document_name", "grp").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], "\n---\n").alias("prompt"))
     prompts = prompts.withColumn("key", F.concat_ws("\t", "document_name", "grp"))
-    replies = graph.apply_text_fn(prompts, "key", extract).join(prompts.select("key", "document_name", "grp"), "key")
+    # Written once, as several tables are made of them: the model is asked once for each prompt.
+    replies = written(graph.apply_text_fn(prompts, "key", extract), "replies").join(prompts.select("key", "document_name", "grp"), "key")
     concepts, relations = graph.extract_payload(replies, "document_name", "grp")
     # Positions of the original chunks that a group holds, for concepts that don't say where they come from.
     members = groups.select("document_name", "grp", F.explode("members").alias("pos")).join(chunks.select("document_name", "pos", "text"), ["document_name", "pos"])

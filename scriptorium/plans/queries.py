@@ -99,9 +99,7 @@ def remove_block(s, d):
 
 @query("SELECT document_name, text, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT AS number FROM chunks", "chunks")
 def renumber(s, d):
-    from pyspark.sql.window import Window
-
-    return entity(s, d, "chunks").select("document_name", "text", F.row_number().over(Window.partitionBy("document_name").orderBy("pos")).alias("number"))
+    return tr.renumber(entity(s, d, "chunks")).select("document_name", "text", "number")
 
 
 @query("SELECT document_name, to_json({'pos': pos, 'chunk_id': chunk_id})::VARCHAR AS text, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS index FROM chunks", "chunks")
@@ -202,6 +200,20 @@ def delete_document(s, d):
     return graph.delete_documents(chunks.where("document_name like 'conv_1%'"), chunks)[0].select("document_name", "chunk_id")
 
 
+@query("SELECT 'chunks' AS label, count(*) AS removed FROM chunks WHERE chunk_id % 4 = 3 UNION ALL SELECT 'has_chunk', count(*) FROM chunks WHERE chunk_id % 4 = 3 UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT document_name, chunk_id, split_part(text, ' ', 1) FROM chunks) WHERE chunk_id % 4 = 3", "chunks")
+def delete_chunk_edges(s, d):
+    c = entity(s, d, "chunks")
+    before = {"chunks": c, "has_chunk": c.select("document_name", "chunk_id"), "mentions": c.select("document_name", "chunk_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("concept_name")).distinct()}
+    return graph.removed(before, dict(zip(before, graph.delete_chunks(c.where("chunk_id % 4 = 3"), *before.values()), strict=True)))
+
+
+@query("SELECT 'chunks' AS label, count(*) AS removed FROM chunks WHERE document_name LIKE 'conv_1%' UNION ALL SELECT 'has_chunk', count(*) FROM chunks WHERE document_name LIKE 'conv_1%'", "chunks")
+def delete_document_edges(s, d):
+    c = entity(s, d, "chunks")
+    before = {"chunks": c, "has_chunk": c.select("document_name", "chunk_id")}
+    return graph.removed(before, dict(zip(before, graph.delete_documents(c.where("document_name like 'conv_1%'"), *before.values()), strict=True)))
+
+
 @query("SELECT document_name, chunk_id, CASE WHEN document_name LIKE 'conv_2%' THEN 'again' ELSE text END AS text FROM chunks WHERE document_name NOT LIKE 'conv_2%' OR chunk_id = 0", "chunks")
 def reload_document(s, d):
     chunks = entity(s, d, "chunks")
@@ -243,6 +255,12 @@ def embed_batches(s, d):
     return tr.pack(weighed(s, d), 200_000, 100).groupBy("document_name", "pack").agg(F.count(F.lit(1)).alias("members"), F.min("pos").alias("first"))
 
 
+@query(CUMULATIVE.format(source="(SELECT document_name, pos, length(text) AS tokens FROM chunks)", most=300, rows=1 << 30).replace("WITH RECURSIVE ", "WITH ") + ", i AS (SELECT r.document_name, r.pack, r.pos, c.text, row_number() OVER (PARTITION BY r.document_name, r.pack ORDER BY r.pos) - 1 AS k FROM r JOIN chunks c ON c.document_name = r.document_name AND c.pos = r.pos) SELECT document_name, pack, trim(string_agg(CASE WHEN k = 0 THEN text ELSE 'id ' || k || ': ' || text END, chr(10) || chr(10) ORDER BY k), E' \\n\\t\\r') AS text, string_agg(pos, ',' ORDER BY k) AS members FROM i GROUP BY 1, 2", "chunks")
+def join_small_chunks_text(s, d):
+    packed = tr.pack(entity(s, d, "chunks").select("document_name", "pos", "text", F.length("text").alias("tokens")), 300)
+    return tr.join_packs(packed).select("document_name", "pack", "text", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
 # Filters
 
 
@@ -307,7 +325,8 @@ def question_public(s, d):
 
 @query("SELECT doc_id, CASE WHEN n_chars <= 5000 THEN n_chars END AS embedded FROM documents")
 def skip_oversize(s, d):
-    return documents(s, d).select("doc_id", F.when(F.col("n_chars") <= 5000, F.col("n_chars")).alias("embedded"))
+    docs = graph.embed(documents(s, d).select("doc_id", "text", "n_chars"), "text", most_tokens=5000, tokens="n_chars")
+    return docs.select("doc_id", F.when(F.col("embedding").isNotNull(), F.col("n_chars")).alias("embedded"))
 
 
 @query("SELECT id FROM vectors", "vectors")
@@ -471,10 +490,12 @@ def jobs_with_files(s, d):
     return cat.jobs_with_files(entity(s, d, "jobs"), entity(s, d, "files"), "failed").select("id", "file_id", "filename")
 
 
-@query("SELECT d.id, CASE WHEN file_id % 2 = 0 AND file_id IN (SELECT id FROM files) THEN NULL ELSE file_id END AS file_id FROM downloads d", "downloads", "files")
+@query("SELECT 'file' AS kind, id, NULL::BIGINT AS file_id FROM files WHERE id % 2 <> 0 UNION ALL SELECT 'download', d.id, CASE WHEN file_id % 2 = 0 AND file_id IN (SELECT id FROM files) THEN NULL ELSE file_id END FROM downloads d UNION ALL SELECT 'job', id, file_id FROM jobs WHERE file_id % 2 <> 0 OR file_id NOT IN (SELECT id FROM files)", "files", "downloads", "jobs")
 def delete_file_cascade(s, d):
     f = entity(s, d, "files")
-    return cat.delete_files(f, entity(s, d, "downloads"), entity(s, d, "jobs"), f.where("id % 2 = 0"))[1].select("id", "file_id")
+    kept = cat.delete_files(f, entity(s, d, "downloads"), entity(s, d, "jobs"), f.where("id % 2 = 0"))
+    files, downloads, jobs = (t.select(F.lit(k).alias("kind"), "id", (F.col("file_id") if "file_id" in t.columns else F.lit(None)).cast("long").alias("file_id")) for k, t in zip(("file", "download", "job"), kept, strict=True))
+    return files.unionByName(downloads).unionByName(jobs)
 
 
 @query("SELECT * FROM (SELECT count(*) AS files, count(*) FILTER (status = 'completed') AS files_completed, count(*) FILTER (status = 'pending') AS files_pending FROM files), (SELECT count(*) AS downloads, count(*) FILTER (status = 'completed') AS downloads_completed FROM downloads), (SELECT count(*) AS jobs, count(*) FILTER (status = 'failed') AS jobs_failed FROM jobs)", "files", "downloads", "jobs")
@@ -488,14 +509,24 @@ def cleanup_interrupted(s, d):
     return c.agg(F.count_if("changed").alias("changed"), F.count_if(F.lower("error_message").contains("interrupted")).alias("noted"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+@query("WITH c AS (SELECT status = 'processing' OR (status = 'pending' AND started_at IS NOT NULL) AS hit, status, error_message FROM jobs) SELECT 'files' AS label, count(*) FILTER (status = 'processing') AS n FROM files UNION ALL SELECT 'downloads', count(*) FILTER (status = 'pending') FROM downloads UNION ALL SELECT 'jobs', count(*) FILTER (coalesce(hit, false) OR (status = 'failed' AND lower(error_message) LIKE '%interrupted%')) FROM c", "files", "downloads", "jobs")
+def cleanup_all_tables(s, d):
+    none = F.lit(None).cast("string")
+    files, jobs = entity(s, d, "files").withColumn("error_message", none), entity(s, d, "jobs")
+    downloads = entity(s, d, "downloads").withColumns({"error_message": none, "status": F.when(F.col("status") == "pending", "downloading").otherwise(F.col("status"))})
+    return cat.interrupted_counts(*cat.reset_interrupted(files, downloads, jobs))
+
+
 @query("SELECT id, filename, created_at FROM files ORDER BY created_at DESC, id DESC LIMIT 100", "files")
 def newest_first(s, d):
     return cat.newest(entity(s, d, "files"), "created_at", 100).select("id", "filename", "created_at")
 
 
-@query("SELECT id, status FROM jobs", "jobs")
+@query("SELECT id, file_id, NULL::VARCHAR AS job_type, status, started_at::TIMESTAMP AS started_at, error_message FROM jobs", "jobs")
 def src_tables(s, d):
-    return entity(s, d, "jobs").select("id", "status")
+    path = scratch(s, "tables")
+    tables.write_table(entity(s, d, "jobs"), path, "processing_jobs")
+    return tables.read_table(s, path, "processing_jobs").drop("completed_at")
 
 
 # Graph
@@ -554,16 +585,18 @@ def sample_nodes(s, d):
     return entity(s, d, "chunks").orderBy("document_name", "chunk_id").limit(10).select("document_name", "chunk_id")
 
 
-@query("SELECT r.from_name, r.to_name, a.document_name AS from_document FROM relations r JOIN (SELECT name, min(document_name) AS document_name FROM seen_concepts GROUP BY 1) a ON r.from_name = a.name", "relations", "seen_concepts")
+@query("WITH c AS (SELECT name, min(document_name) AS document_name FROM seen_concepts GROUP BY 1) SELECT r.*, a.document_name AS from_document, b.document_name AS to_document FROM relations r JOIN c a ON r.from_name = a.name JOIN c b ON r.to_name = b.name", "relations", "seen_concepts")
 def related_concepts(s, d):
-    c = entity(s, d, "seen_concepts").groupBy(F.col("name").alias("from_name")).agg(F.min("document_name").alias("from_document"))
-    return entity(s, d, "relations").join(c, "from_name").select("from_name", "to_name", "from_document")
+    c = entity(s, d, "seen_concepts").groupBy("name").agg(F.min("document_name").alias("document_name"))
+    return graph.related_concepts(entity(s, d, "relations"), c)
+
 
+MENTIONS = f"WITH m AS (SELECT document_name, {FIRST_WORD} AS name, unnest([pos, pos + 1]) AS pos FROM chunks), e AS (SELECT DISTINCT c.document_name, c.chunk_id, m.name AS concept_name FROM m JOIN chunks c ON m.document_name = c.document_name AND m.pos = c.pos WHERE contains(lower(c.text), lower(m.name)))"
 
-@query(f"WITH m AS (SELECT document_name, {FIRST_WORD} AS name, pos FROM chunks) SELECT document_name, name, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(*) > 1", "chunks")
+
+@query(f"{MENTIONS} SELECT e.*, c.text FROM e JOIN chunks c ON e.document_name = c.document_name AND e.chunk_id = c.chunk_id WHERE length(concept_name) <= 4", "chunks")
 def chunks_of_concept(s, d):
-    c = entity(s, d, "chunks").select("document_name", F.expr(FIRST_WORD).alias("name"))
-    return c.groupBy("document_name", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return graph.chunks_of_concept(mention_edges(s, d).where(F.length("concept_name") <= 4), entity(s, d, "chunks"))
 
 
 @query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, left(coalesce(text, ''), 500) || ' | ' || left(lang, 300) AS line FROM documents) SELECT source, string_agg(line, chr(10) ORDER BY rn) AS context FROM r WHERE rn <= 50 GROUP BY 1")
@@ -673,9 +706,9 @@ def review_questions(s, d):
     return quiz.review(q, q.where("status = 'pending'").select("id", F.when(F.col("id") % 2 == 0, "approve").otherwise("reject").alias("action"))).select("id", "status")
 
 
-@query("SELECT document_name, idx FROM (SELECT document_name, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS idx FROM chunks WHERE length(trim(regexp_replace(text, '[ \\t]*\\n[ \\t\\n]*', ' ', 'g'), E' \\n\\t\\r')) > 80) WHERE idx < 3", "chunks")
+@query("SELECT document_name, idx FROM (SELECT document_name, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS idx FROM chunks WHERE length(trim(regexp_replace(text, '[ \\t]*\\n[ \\t\\n]*', ' ', 'g'), E' \\n\\t\\r')) > 80) WHERE idx < 3 AND document_name IN (SELECT DISTINCT document_name FROM chunks ORDER BY 1 LIMIT 40)", "chunks")
 def first_n_chunks(s, d):
-    return tr.parse_quiz(transcripts(s, d)).where("idx < 3").select("document_name", "idx")
+    return tr.first_chunks(transcripts(s, d), 3, 40).select("document_name", "idx")
 
 
 # Scalars
@@ -831,9 +864,9 @@ def sink_graph(s, d):
     return graph.counts(**tables.read_graph(s, path, "chunks", "relations"))
 
 
-@query("SELECT * FROM (VALUES ('chunk', 'document_name', 'string'), ('chunk', 'pos', 'int'), ('chunk', 'chunk_id', 'int'), ('chunk', 'text', 'string'), ('chunk', 'start_time', 'double'), ('chunk', 'end_time', 'double'), ('relation', 'from_name', 'string'), ('relation', 'to_name', 'string'), ('relation', 'relationship_type', 'string')) AS t(label, property, type)")
+@query("SELECT 'chunk' AS label, 'document_name' AS property, 'string' AS type, count(document_name) AS n FROM chunks UNION ALL SELECT 'chunk' AS label, 'pos' AS property, 'int' AS type, count(pos) AS n FROM chunks UNION ALL SELECT 'chunk' AS label, 'chunk_id' AS property, 'int' AS type, count(chunk_id) AS n FROM chunks UNION ALL SELECT 'chunk' AS label, 'text' AS property, 'string' AS type, count(text) AS n FROM chunks UNION ALL SELECT 'chunk' AS label, 'start_time' AS property, 'double' AS type, count(start_time) AS n FROM chunks UNION ALL SELECT 'chunk' AS label, 'end_time' AS property, 'double' AS type, count(end_time) AS n FROM chunks UNION ALL SELECT 'relation' AS label, 'from_name' AS property, 'string' AS type, count(from_name) AS n FROM relations UNION ALL SELECT 'relation' AS label, 'to_name' AS property, 'string' AS type, count(to_name) AS n FROM relations UNION ALL SELECT 'relation' AS label, 'relationship_type' AS property, 'string' AS type, count(relationship_type) AS n FROM relations", "chunks", "relations")
 def graph_schema(s, d):
-    return graph.schema(s, chunk=entity(s, d, "chunks"), relation=entity(s, d, "relations"))
+    return graph.schema(chunk=entity(s, d, "chunks"), relation=entity(s, d, "relations"))
 
 
 def conversation_audio(s, d):
@@ -843,6 +876,17 @@ def conversation_audio(s, d):
     return turns.groupBy(F.col("document_name").alias("audio_id")).agg(F.flatten(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"]).alias("samples")).select("audio_id", F.lit(10).alias("sample_rate"), "samples")
 
 
+@query("SELECT document_name || ':' || pos AS audio_id, 16000 AS sample_rate, length(text)::BIGINT AS n, round(list_sum([unicode(x) for x in string_split(text, '')]) / 32768.0, 6) AS total FROM chunks WHERE text SIMILAR TO '(?s)[ -~\\n]+'", "chunks")
+def src_audio(s, d):
+    # WAV files whose 16-bit samples are a text's code units.
+    turns = entity(s, d, "chunks").where(F.col("text").rlike(r"^[ -~\n]+$")).select(F.concat_ws(":", "document_name", "pos").alias("name"), F.encode("text", "UTF-16LE").alias("data"))
+    whole = lambda n: F.unhex(F.regexp_replace(F.lpad(F.hex(n), 8, "0"), "^(..)(..)(..)(..)$", "$4$3$2$1"))
+    size = F.octet_length("data")
+    header = [F.encode(F.lit("RIFF"), "UTF-8"), whole(size + 36), F.encode(F.lit("WAVEfmt "), "UTF-8"), F.unhex(F.lit("10000000" + "0100" + "0100" + "803E0000" + "007D0000" + "0200" + "1000")), F.encode(F.lit("data"), "UTF-8"), whole(size)]
+    got = audio.decode(turns.select("name", F.concat(*header, "data").alias("content")))
+    return got.select("audio_id", "sample_rate", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query()
 def split_silence(s, d):
     return audio.split_silence(conversation_audio(s, d))
@@ -855,10 +899,11 @@ def slice_samples(s, d):
     return a.select("audio_id", F.size("samples").cast("long").alias("n")).join(cut.select("audio_id", F.size("samples").alias("cut")), "audio_id")
 
 
-@query("SELECT c.document_name, c.chunk_id, s.name, s.type FROM chunks c JOIN (SELECT DISTINCT document_name, name, type FROM seen_concepts) s ON 'd' || c.pos = s.document_name", "chunks", "seen_concepts")
+@query(f"{MENTIONS}, k AS (SELECT {FIRST_WORD} AS concept_name, count(*) || ' chunks' AS type, min(document_name) AS description FROM chunks GROUP BY 1) SELECT e.*, c.text, k.type, k.description FROM e JOIN chunks c ON e.document_name = c.document_name AND e.chunk_id = c.chunk_id JOIN k ON e.concept_name = k.concept_name", "chunks")
 def chunk_concept_context(s, d):
-    concepts = entity(s, d, "seen_concepts").select(F.col("document_name").alias("of"), "name", "type").distinct()
-    return entity(s, d, "chunks").withColumn("of", F.concat(F.lit("d"), "pos")).join(concepts, "of").select("document_name", "chunk_id", "name", "type")
+    c = entity(s, d, "chunks")
+    concepts = c.groupBy(F.expr(FIRST_WORD).alias("name")).agg(F.concat(F.count(F.lit(1)), F.lit(" chunks")).alias("type"), F.min("document_name").alias("description"))
+    return graph.chunk_concept_context(mention_edges(s, d), c, concepts)
 
 
 @query("SELECT seq AS id, \"user\", document_name, NULL::VARCHAR AS old_text, new_text FROM edits UNION ALL SELECT seq + 1000000000, \"user\", document_name, CASE WHEN seq % 2 = 0 THEN 'was' END, new_text FROM edits", "edits")

@@ -27,6 +27,12 @@ def samples_of(data: bytes, rate: int = RATE) -> np.ndarray:
 
 def read_audio(spark: SparkSession, folder: str, rate: int = RATE) -> DataFrame:
     """(audio_id, sample_rate, samples) of the WAV files of a folder."""
+    files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.wav")
+    return decode(files.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("name"), "content"), rate)
+
+
+def decode(files: DataFrame, rate: int = RATE) -> DataFrame:
+    """(audio_id, sample_rate, samples) of WAV files (name, content)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,8 +40,7 @@ def read_audio(spark: SparkSession, folder: str, rate: int = RATE) -> DataFrame:
                 values = pa.array([samples_of(data.as_py(), rate)], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rate], pa.int32()), values], ["audio_id", "sample_rate", "samples"])
 
-    files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.wav").select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("name"), "content")
-    return files.mapInArrow(rows, "audio_id string, sample_rate int, samples array<float>")
+    return files.select("name", "content").mapInArrow(rows, "audio_id string, sample_rate int, samples array<float>")
 
 
 def silences(x: np.ndarray, rate: int, threshold: float, least: float) -> list[tuple[float, float]]:

@@ -33,6 +33,31 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row_no"), *rows.columns)  # a multi-line file is one partition, in order
 
 
+#: The tables of the pipeline, the history and the quiz.
+TABLES = {
+    "files": "id long, filename string, file_path string, file_type string, status string, created_at timestamp_ntz, updated_at timestamp_ntz, file_size long, duration double, transcription_path string, error_message string",
+    "downloads": "id long, url string, title string, status string, created_at timestamp_ntz, updated_at timestamp_ntz, file_id long, error_message string",
+    "processing_jobs": "id long, file_id long, job_type string, status string, started_at timestamp_ntz, completed_at timestamp_ntz, error_message string",
+    "edit_history": "id long, user string, document_name string, chunk_id int, old_text string, new_text string, created_at timestamp_ntz",
+    "query_history": "id long, user_id long, query_type string, query_text string, result_count long, created_at timestamp_ntz",
+    "questions": "id long, type string, difficulty string, question_text string, options string, correct_answer string, explanation string, source_doc string, source_chunk int, status string, created_by long, created_at timestamp_ntz",
+    "user_question_stats": "user_id long, question_id long, attempt_count long, correct_count long, last_answered timestamp_ntz",
+    "question_attempts": "id long, user_id long, question_id long, is_correct int, answered_at timestamp_ntz",
+}
+
+
+def write_table(rows: DataFrame, path: str, name: str, append: bool = False) -> None:
+    """rows as one of TABLES; columns that they lack are null, others are left out."""
+    columns = [x.strip().split(" ") for x in TABLES[name].split(",")]
+    made = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns))
+    made.write.mode("append" if append else "overwrite").parquet(f"{path}/{name}")
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of TABLES, by its declared schema."""
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+
+
 def write_catalog(rows: DataFrame, path: str) -> None:
     rows.select("title", "url", "status", "upload_date").write.mode("overwrite").csv(path, header=True, escape='"')
 

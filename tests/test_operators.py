@@ -304,9 +304,47 @@ def test_build_graph(spark):
     assert {r.url for r in made["chunks"].collect()} == {"u"} and made["documents"].count() == 1
 
 
+def test_build_graph_asks_the_model_once(spark, tmp_path):
+    text = "".join(f"=== Chunk {i} ===\nword{i} and more of it\n" for i in range(1, 40))
+    videos = spark.createDataFrame([(0, "t", "u")], "row_no long, title string, url string")
+
+    def model(prompt, folder=str(tmp_path)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").write(prompt)
+        return json.dumps({"concepts": [{"name": w, "type": "x", "description": "", "origin_chunks": []} for w in prompt.split() if w.startswith("word")], "relationships": []})
+
+    made = jobs.build_graph(files(spark, text, "t_combined.txt").withColumn("title", F.lit("t")), videos, model, 40, 60)
+    assert {r.name for r in made["concepts"].collect()} == {f"word{i}" for i in range(1, 40)}
+    assert made["mentions"].count() >= 39 and made["concept_relation"].count() == 0
+    asked = [p.read_text() for p in tmp_path.iterdir()]
+    assert len(asked) == len(set(asked)) > 3
+
+
+def test_token_counters(spark):
+    df = spark.createDataFrame([("a bb ccc",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(split.count_tokens(F.col("t"))).collect()] == [3, 0, 0]
+    assert [r[0] for r in df.select(split.count_tokens(F.col("t"), lambda texts: [len(t) for t in texts])).collect()] == [8, 0, 0]
+    import base64
+
+    ranks = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)) + b"\n" + base64.b64encode(b"bb") + b" 256"
+    assert [r[0] for r in df.select(split.count_tokens(F.col("t"), split.vocabulary_counter(ranks, r"\S+|\s+"))).collect()] == [7, 0, 0]
+
+
+def test_random_questions_against_a_dictionary(spark):
+    import zlib
+
+    from scriptorium.plans.inputs import entity
+
+    questions = entity(spark, "/root/testdata/sf0.001", "questions")
+    active = [r.id for r in questions.collect() if r.status == "active"]
+    want = sorted(active, key=lambda i: (zlib.crc32(f"{i}:7".encode()), i))[:30]
+    assert [r.id for r in quiz.random_questions(questions, 30, 7).collect()] == want
+
+
 def test_write_and_read_graph(spark, tmp_path):
     nodes = spark.createDataFrame([("a",)], "name string")
     tables.write_graph(str(tmp_path), nodes=nodes)
     tables.write_graph(str(tmp_path), append=True, nodes=nodes)
     assert tables.read_graph(spark, str(tmp_path), "nodes")["nodes"].count() == 2
-    assert {r.property for r in graph.schema(spark, nodes=nodes).collect()} == {"name"}
+    assert {r.property for r in graph.schema(nodes=nodes).collect()} == {"name"}
