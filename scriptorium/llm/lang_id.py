@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 MAX_CELLS = 1 << 21
 MAX_BUCKETS = 1 << 16
-PIECE = 1 << 19
+PIECE = 1 << 17
 ORDERS = 3
 UND = "und"
 

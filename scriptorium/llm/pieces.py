@@ -34,9 +34,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECE_CHARS = 1 << 18
-BATCH_BYTES = 2 << 20
-#: Bytes that one worker's remembered runs may take, about.
-CACHE_BYTES = 64 << 20
+BATCH_BYTES = 1 << 20
+#: Bytes that the remembered runs of one task may take, about.
+CACHE_BYTES = 32 << 20
 ENTRY_BYTES = 220
 #: Runs that are encoded as one text.
 BLOCK = 64
@@ -142,6 +142,9 @@ class Runs:
     def __init__(self, spec: Spec, fast: Tokenizer, plain: sentencepiece.SentencePieceProcessor):
         self.fast, self.plain = fast, plain
         self.begins = np.array([p.startswith(MARK) for p, *_ in spec.pieces])
+        self.clear()
+
+    def clear(self) -> None:
         self.hold([], np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool))
 
     def hold(self, runs: list[str], ids: np.ndarray, ends: np.ndarray, same: np.ndarray, back: np.ndarray) -> None:
@@ -301,9 +304,14 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
     @F.arrow_udf(f"struct<{','.join(f'{n}:{t}' for n, t in OWN.items())}>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ |= {"TOKENIZERS_PARALLELISM": "true", "RAYON_NUM_THREADS": str(threads)}
-        for texts in batches:
-            texts = pc.fill_null(texts, "")
-            yield pa.concat_arrays([pa.array([], OWN_TYPE), *(encode_texts(texts.slice(a, b - a), data.value, threads) for a, b in slices(texts, BATCH_BYTES))])
+        try:
+            for texts in batches:
+                texts = pc.fill_null(texts, "")
+                yield pa.concat_arrays([pa.array([], OWN_TYPE), *(encode_texts(texts.slice(a, b - a), data.value, threads) for a, b in slices(texts, BATCH_BYTES))])
+        finally:  # workers are used again, by other stages too
+            if runs := loaded(data.value)[3]:
+                runs.clear()
+            pa.default_memory_pool().release_unused()
 
     rows = docs.drop(*OWN)
     out = rows.select("*", encoded(F.col("text")).alias("own columns of encode"))
