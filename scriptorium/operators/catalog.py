@@ -219,6 +219,24 @@ def delete_files(files: DataFrame, downloads: DataFrame, jobs: DataFrame, gone:
     return files.join(gone.select("id").distinct(), "id", "left_anti"), kept, jobs.join(ids, "file_id", "left_anti")
 
 
+def search(videos: DataFrame, text: str = "", status: str | None = None) -> DataFrame:
+    """Videos whose title holds the text in any case, of one status if it is given."""
+    hit = F.lower("title").contains(text.lower())
+    return videos.where(hit if status is None else hit & (F.col("status") == status))
+
+
+def listing_order() -> list[Column]:
+    """Latest upload date first, the title in its place where there is none; of equal ones the catalog's order."""
+    return [F.coalesce(F.nullif("upload_date", F.lit("")), "title").desc(), F.col("row_no")]
+
+
+def append_history(history: DataFrame, fresh: DataFrame, most: int = 65_535) -> DataFrame:
+    """History with fresh edits: empty old texts become null, texts are cut to what a history column holds."""
+    cut = lambda c: F.substring(c, 1, most)
+    rows = fresh.withColumns({"old_text": cut(F.nullif("old_text", F.lit(""))), "new_text": cut("new_text")})
+    return history.unionByName(rows.select(*history.columns))
+
+
 def newest(table: DataFrame, time: str, n: int, key: str | None = None, tie: str = "id", cap: int = 500) -> DataFrame:
     """The newest n rows (at most cap), or the newest n of each key."""
     n = min(n, cap)

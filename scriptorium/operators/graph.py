@@ -119,48 +119,54 @@ def question_context(records: DataFrame, key: str, order: str, rows: int = 50, t
     return ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("rn", line.alias("line"))))["line"], "\n").alias("context"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block_queries: int = 5000, block: int = 4096) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block_queries: int = 5000, block_vectors: int = 50_000) -> DataFrame:
     """(query_id, rank, id, score): for each query (id, embedding) the k nearest vectors (id, embedding) by cosine, ties to the smaller id.
 
-    Queries go to the tasks in blocks of about block_queries; each task keeps its own best k of each, so at most k rows for
-    each query leave a task. Null or zero vectors have no direction and are left out.
+    Both sides are dealt to blocks of about so many rows; a task compares one block of queries with one of vectors and sends on
+    at most k rows for each query. Rows without an id, and null or zero vectors, which have no direction, are left out.
     """
-    queries = queries.select(F.col("id").cast("long"), "embedding").where("id is not null and embedding is not null")
-    blocks = max(1, -(-queries.count() // block_queries))
-    out = None
-    for b in range(blocks):
-        part = _topk(vectors, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect(), k, block)
-        out = part if out is None else out.unionByName(part)
-    return out
-
 
-def _topk(vectors: DataFrame, rows: list, k: int, block: int) -> DataFrame:
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    ids = np.array([r.id for r in rows], np.int64)
-    sent = vectors.sparkSession.sparkContext.broadcast(unit(np.array([r.embedding for r in rows], np.float64)) if rows else np.zeros((0, 0)))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = sent.value
-        top_ids, top = np.zeros((len(of), 0), np.int64), np.zeros((len(of), 0))
-        for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                matrix = np.stack([np.asarray(v.values, np.float64) for v in part.column(1)]) if part.num_rows else None
-                if matrix is None or not len(of):
-                    continue
-                ok = np.linalg.norm(matrix, axis=1) > 0
-                mine, scores = np.asarray(part.column(0))[ok], of @ unit(matrix[ok]).T
-                top_ids, top = np.hstack([top_ids, np.tile(mine, (len(of), 1))]), np.hstack([top, scores])
-                order = np.stack([np.lexsort((i, -s))[:k] for i, s in zip(top_ids, np.round(top, 9), strict=True)])
-                top_ids, top = np.take_along_axis(top_ids, order, 1), np.take_along_axis(top, order, 1)
-        n = top.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(top_ids.ravel()), pa.array(np.round(top.ravel(), 9))], ["query_id", "id", "score"])
-
-    found = vectors.select(F.col("id").cast("long"), "embedding").where("embedding is not null").mapInArrow(best, "query_id long, id long, score double")
+    def dealt(df: DataFrame, column: str, rows: int) -> tuple[DataFrame, int]:
+        df = df.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and embedding is not null")
+        blocks = max(1, -(-df.count() // rows))
+        return df.withColumn(column, F.pmod(F.xxhash64("id", "embedding"), F.lit(blocks))), blocks
+
+    asked, n_asked = dealt(queries, "query_block", block_queries)
+    held, n_held = dealt(vectors, "vector_block", block_vectors)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    keys = ["query_block", "vector_block"]
+    pairs = asked.withColumn("vector_block", each(n_held)).groupBy(*keys).cogroup(held.withColumn("query_block", each(n_asked)).groupBy(*keys))
+    found = pairs.applyInArrow(lambda q, v: _nearest(q, v, k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the rows whose vector has a direction."""
+    rows = table.column("embedding").combine_chunks()
+    matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    ok = norms[:, 0] > 0
+    return table.column("id").to_numpy()[ok], matrix[ok] / norms[ok]
+
+
+def _nearest(queries: pa.Table, vectors: pa.Table, k: int, step: int = 1024) -> pa.Table:
+    """(query_id, id, score): the k nearest vectors of each query within one block of each."""
+    (asked, of), (ids, units) = _units(queries), _units(vectors)
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # row of the query, id, score
+    for a in range(0, len(ids) if len(asked) else 0, step):
+        scores = np.round(of @ units[a : a + step].T, 9)
+        least = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else -np.inf
+        row, at = np.nonzero(scores >= least)
+        row, near, score = (np.concatenate(x) for x in zip(best, (row, ids[a + at], scores[row, at]), strict=True))
+        order = np.lexsort((near, -score, row))
+        row = row[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+        best = row[keep], near[order][keep], score[order][keep]
+    return pa.table({"query_id": asked[best[0]], "id": best[1], "score": best[2]})
+
+
 def hash_embed(texts: list[str], size: int = 64) -> list[list[float]]:
     """The default embedder, deterministic: signed counts of hashed words, of unit length."""
     out = []

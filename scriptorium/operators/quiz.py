@@ -69,6 +69,12 @@ def user_breakdown(stats: DataFrame, questions: DataFrame) -> DataFrame:
     return stats.join(bank, "question_id").rollup("user_id", "type", "difficulty").agg(F.sum("attempt_count").alias("attempts"), F.sum("correct_count").alias("correct")).where("user_id is not null")
 
 
+def add_questions(bank: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The bank with fresh questions, whose options (an array) are stored as JSON and which wait for review."""
+    rows = fresh.withColumns({"options": F.to_json("options"), "status": F.lit("pending")})
+    return bank.unionByName(rows.select(*bank.columns))
+
+
 def review(questions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Questions with decisions (id, action): approve makes active, reject rejected, anything else nothing."""
     state = F.when(F.col("action") == "approve", "active").when(F.col("action") == "reject", "rejected")

@@ -126,6 +126,19 @@ def apply_edits(chunks: DataFrame, edits: DataFrame) -> DataFrame:
     return chunks.join(latest, ["document_name", "pos"], "left").withColumn("text", F.coalesce("new_text", "text")).select(*chunks.columns)
 
 
+def merge_edit_logs(log: DataFrame, *more: DataFrame) -> DataFrame:
+    """All edits of logs in the columns of the first; a column that another log lacks is null there."""
+    for other in more:
+        log = log.unionByName(other.select(*(c for c in log.columns if c in other.columns)), allowMissingColumns=True)
+    return log
+
+
+def split_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """(document_name, text, index): each row's columns as JSON, numbered from 0 within its document in order of pos."""
+    index = F.row_number().over(Window.partitionBy("document_name").orderBy("pos")) - 1
+    return rows.select("document_name", F.to_json(F.struct(*columns)).alias("text"), index.alias("index"))
+
+
 def effective_source(files: DataFrame, order: tuple[str, ...] = ("edit", "combined")) -> DataFrame:
     """(title, kind, content): of each title (title, kind, content) the kind that stands first in order."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))

@@ -104,9 +104,7 @@ def renumber(s, d):
 
 @query("SELECT document_name, to_json({'pos': pos, 'chunk_id': chunk_id})::VARCHAR AS text, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS index FROM chunks", "chunks")
 def row_splitter(s, d):
-    from pyspark.sql.window import Window
-
-    return entity(s, d, "chunks").select("document_name", F.to_json(F.struct("pos", "chunk_id")).alias("text"), (F.row_number().over(Window.partitionBy("document_name").orderBy("pos")) - 1).alias("index"))
+    return tr.split_rows(entity(s, d, "chunks"), "pos", "chunk_id")
 
 
 @query()
@@ -224,7 +222,7 @@ def reload_document(s, d):
 @query('SELECT seq, "user", new_text FROM edits UNION ALL SELECT seq, \'old\', new_text FROM edits WHERE seq % 10 = 0', "edits")
 def merge_edit_logs(s, d):
     e = entity(s, d, "edits")
-    return e.unionByName(e.where("seq % 10 = 0").withColumn("user", F.lit("old"))).select("seq", "user", "new_text")
+    return tr.merge_edit_logs(e, e.where("seq % 10 = 0").withColumn("user", F.lit("old")).drop("old_text")).select("seq", "user", "new_text")
 
 
 # Packing
@@ -292,7 +290,7 @@ def by_status(s, d):
 
 @query("SELECT row_no, title, status FROM catalog WHERE status = 'completed' AND lower(title) LIKE '%live%'", "catalog")
 def catalog_search(s, d):
-    return entity(s, d, "catalog").where((F.col("status") == "completed") & F.lower("title").contains("LIVE".lower())).select("row_no", "title", "status")
+    return cat.search(entity(s, d, "catalog"), "LIVE", "completed").select("row_no", "title", "status")
 
 
 @query("SELECT DISTINCT name FROM seen_concepts WHERE name LIKE '%#1%' ORDER BY name LIMIT 10", "seen_concepts")
@@ -455,7 +453,7 @@ def best_source(s, d):
 
 @query("SELECT row_no, title, upload_date FROM catalog ORDER BY coalesce(nullif(upload_date, ''), title) DESC, row_no", "catalog")
 def listing_sort(s, d):
-    return entity(s, d, "catalog").orderBy(F.coalesce(F.nullif("upload_date", F.lit("")), "title").desc(), "row_no").select("row_no", "title", "upload_date")
+    return entity(s, d, "catalog").orderBy(*cat.listing_order()).select("row_no", "title", "upload_date")
 
 
 @query("SELECT row_no FROM catalog WHERE status = 'pending' ORDER BY row_no LIMIT 20", "catalog")
@@ -773,22 +771,26 @@ def strip_think(s, d):
     return documents(s, d).select("doc_id", fn.strip_think(F.concat(F.lit("<think>so\n"), "text", F.lit("</think>\n a"), "doc_id")).alias("text"))
 
 
-@query("SELECT doc_id, '{\"id\": ' || doc_id || '}' AS json FROM documents")
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def clean_json(s, d):
-    return documents(s, d).select("doc_id", fn.clean_json(F.concat(F.lit('Sure:\n```json\n{"id": '), "doc_id", F.lit("}\n```\nDone."))).alias("json"))
+    reply = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct("doc_id", "text")), F.lit("\n```\nDone."))
+    return documents(s, d).select("doc_id", F.from_json(fn.clean_json(reply), "text string")["text"].alias("text"))
 
 
-@query("SELECT doc_id, 'n' || doc_id AS name, doc_id % 3 AS size FROM labels")
+@query("SELECT doc_id, coalesce(text, '') AS name, lang AS type, greatest(1, doc_id % 3)::BIGINT AS size FROM documents")
 def extract_payload(s, d):
-    reply = F.concat(F.lit('```json\n{"concepts":[{"name":"n'), "doc_id", F.lit('","type":"t","origin_chunks":['), F.array_join(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("doc_id") % 3).cast("int"))).cast("array<string>"), ","), F.lit(']}],"relationships":[]}\n```'))
-    concepts, _ = graph.extract_payload(read(s, d, "labels").select("doc_id", reply.alias("response")), "doc_id")
-    return concepts.select("doc_id", "name", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.size("origin_chunks")).cast("long").alias("size"))
+    chunks = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("doc_id") % 3).cast("int")))
+    concept = F.struct(F.col("text").alias("name"), F.col("lang").alias("type"), chunks.alias("origin_chunks"))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(concept).alias("concepts"), F.array().cast("array<string>").alias("relationships"))), F.lit("\n```"))
+    concepts, _ = graph.extract_payload(documents(s, d).select("doc_id", reply.alias("response")), "doc_id")
+    return concepts.select("doc_id", "name", "type", F.size("origin_chunks").cast("long").alias("size"))
 
 
-@query("SELECT doc_id, 'q' || doc_id AS question_text, 'b' AS correct_answer FROM labels WHERE doc_id % 7 <> 0")
+@query("SELECT doc_id, coalesce(text, '') AS question_text, source AS correct_answer FROM documents WHERE doc_id % 7 <> 0")
 def parse_llm_json(s, d):
-    reply = F.when(F.col("doc_id") % 7 == 0, "no json").otherwise(F.concat(F.lit('<think>[1]</think> Here: [{"question_text": "q'), "doc_id", F.lit('", "options": ["a]", "b"], "correct_answer": "b"}] and [2]')))
-    return split.parse_llm_json(read(s, d, "labels").select("doc_id", reply.alias("response"))).select("doc_id", "question_text", "correct_answer")
+    question = F.struct(F.col("text").alias("question_text"), F.array(F.lit("a]"), "source").alias("options"), F.col("source").alias("correct_answer"))
+    reply = F.when(F.col("doc_id") % 7 == 0, "no json").otherwise(F.concat(F.lit("<think>[1]</think> Here: "), F.to_json(F.array(question)), F.lit(" and [2]")))
+    return split.parse_llm_json(documents(s, d).select("doc_id", reply.alias("response"))).select("doc_id", "question_text", "correct_answer")
 
 
 @query("SELECT doc_id, '[\"a\",\"' || source || '\"]' AS options FROM documents")
@@ -812,15 +814,18 @@ def token_count(s, d):
     return documents(s, d).select("doc_id", fn.token_count(F.col("text")).alias("tokens"))
 
 
-@query("SELECT document_name, pos, CASE WHEN pos % 3 = 0 THEN 'second' WHEN pos % 3 = 1 THEN 'merged' ELSE 'first' END AS text FROM chunks", "chunks")
+@query("SELECT document_name, pos, CASE WHEN pos % 3 = 0 THEN trim(coalesce(text, '') || ' again', E' \\n\\t\\r\\f\\v') WHEN pos % 3 = 2 OR trim(coalesce(text, ''), E' \\n\\t\\r\\f\\v') = '' THEN trim(coalesce(text, '') || CASE WHEN pos % 3 = 1 THEN ' again' ELSE '' END, E' \\n\\t\\r\\f\\v') ELSE trim(document_name || ': ' || text, E' \\n\\t\\r\\f\\v') END AS text FROM chunks", "chunks")
 def merge_choice(s, d):
-    p = F.col("pos") % 3
-    return entity(s, d, "chunks").select("document_name", "pos", fn.merge_choice(F.when(p == 0, " ").otherwise("first"), F.when(p == 2, F.lit(None).cast("string")).otherwise("second"), F.lit("<think>x</think> merged ")).alias("text"))
+    p, text = F.col("pos") % 3, F.coalesce("text", F.lit(""))
+    first, second = F.when(p == 0, " ").otherwise(text), F.when(p != 2, F.concat(text, F.lit(" again")))
+    merged = F.concat(F.lit("<think>x</think> "), "document_name", F.lit(": "), text, F.lit(" "))
+    return entity(s, d, "chunks").select("document_name", "pos", fn.merge_choice(first, second, merged).alias("text"))
 
 
-@query("SELECT document_name, pos, CASE WHEN pos % 2 = 0 THEN 'reply' ELSE 'plain' END AS text FROM chunks", "chunks")
+@query("SELECT document_name, pos, trim(CASE WHEN pos % 2 = 0 AND trim(text, E' \\n\\t\\r\\f\\v') <> '' THEN 'reply ' ELSE '' END || coalesce(text, ''), E' \\n\\t\\r\\f\\v') AS text FROM chunks", "chunks")
 def clean_choice(s, d):
-    return entity(s, d, "chunks").select("document_name", "pos", fn.clean_choice(F.lit(" plain "), F.when(F.col("pos") % 2 == 0, "reply").otherwise("<think>only</think>")).alias("text"))
+    reply = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("reply "), "text")).otherwise("<think>only</think>")
+    return entity(s, d, "chunks").select("document_name", "pos", fn.clean_choice(F.concat(F.lit(" "), "text", F.lit("\n")), reply).alias("text"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a,b' ELSE 'a,b,' || p_brand END AS docs FROM part")
@@ -909,14 +914,14 @@ def chunk_concept_context(s, d):
 @query("SELECT seq AS id, \"user\", document_name, NULL::VARCHAR AS old_text, new_text FROM edits UNION ALL SELECT seq + 1000000000, \"user\", document_name, CASE WHEN seq % 2 = 0 THEN 'was' END, new_text FROM edits", "edits")
 def append_history(s, d):
     e = entity(s, d, "edits").withColumnRenamed("seq", "id")
-    fresh = e.withColumns({"id": F.col("id") + 1_000_000_000, "old_text": F.nullif(F.when(F.col("id") % 2 == 0, "was").otherwise(""), F.lit(""))})
-    return e.unionByName(fresh).select("id", "user", "document_name", "old_text", F.substring("new_text", 1, 65_535).alias("new_text"))
+    fresh = e.withColumns({"id": F.col("id") + 1_000_000_000, "old_text": F.when(F.col("id") % 2 == 0, "was").otherwise("")})
+    return cat.append_history(e, fresh).select("id", "user", "document_name", "old_text", "new_text")
 
 
 @query("SELECT id, '[\"' || correct_answer || '\",\"no\"]' AS options, status FROM (SELECT id, correct_answer, status FROM questions UNION ALL SELECT id + 1000000000, correct_answer, 'pending' FROM questions)", "questions")
 def add_questions(s, d):
-    q = entity(s, d, "questions").select("id", F.to_json(F.array("correct_answer", F.lit("no"))).alias("options"), "status")
-    return q.unionByName(q.withColumns({"id": F.col("id") + 1_000_000_000, "status": F.lit("pending")}))
+    fresh = entity(s, d, "questions").select("id", F.array("correct_answer", F.lit("no")).alias("options"), "status")
+    return quiz.add_questions(fresh.withColumn("options", F.to_json("options")), fresh.withColumn("id", F.col("id") + 1_000_000_000))
 
 
 def streamed(s, df, function, mode="update", keys=()):
@@ -960,15 +965,15 @@ def stream_transcripts(s, d):
 # Whole jobs
 
 
-@query("SELECT document_name AS title, pos, CASE WHEN pos % 3 = 1 OR text = '' THEN trim(text, E' \\n\\t\\r\\f\\v') ELSE 'both' END AS text FROM chunks", "chunks")
+@query("SELECT document_name AS title, pos, CASE WHEN pos % 3 = 1 OR text = '' THEN trim(text, E' \\n\\t\\r\\f\\v') ELSE trim('both ' || left(text, 2000) || chr(10) || left(text, 2000), E' \\n\\t\\r\\f\\v') END AS text FROM chunks", "chunks")
 def job_merge_asr(s, d):
     c = entity(s, d, "chunks").withColumnRenamed("document_name", "title").select("title", "pos", "start_time", "end_time", "text")
-    return jobs.merge_asr(c, c.where("pos % 3 <> 1"), lambda prompt: "both").select("title", "pos", "text")
+    return jobs.merge_asr(c, c.where("pos % 3 <> 1"), lambda prompt: "both " + prompt).select("title", "pos", "text")
 
 
-@query("SELECT document_name, pos, trim(text, E' \\n\\t\\r\\f\\v') AS text FROM chunks", "chunks")
+@query("SELECT document_name, pos, CASE WHEN trim(text, E' \\n\\t\\r\\f\\v') = '' THEN '' ELSE trim('ok ' || left(text, 3000), E' \\n\\t\\r\\f\\v') END AS text FROM chunks", "chunks")
 def job_postprocess(s, d):
-    return jobs.postprocess(entity(s, d, "chunks"), lambda prompt: "").select("document_name", "pos", "text")
+    return jobs.postprocess(entity(s, d, "chunks"), lambda prompt: "ok " + prompt).select("document_name", "pos", "text")
 
 
 @query(f"WITH e AS (SELECT * REPLACE (concat('conv_', seq % 50, '_combined.txt') AS document_name) FROM edits), {LATEST.replace('FROM edits', 'FROM e')}, c AS (SELECT c.*, coalesce(l.new_text, trim(c.text, E' \\n\\t\\r')) AS t, row_number() OVER (PARTITION BY c.document_name ORDER BY pos) AS n FROM chunks c LEFT JOIN latest l ON c.document_name = l.document_name AND c.pos = l.chunk_id) SELECT document_name, string_agg('=== Chunk ' || n || ' [' || printf('%.2f', start_time) || 's - ' || printf('%.2f', end_time) || 's] ===' || chr(10) || t || chr(10), chr(10) ORDER BY pos) AS content FROM c GROUP BY 1", "edits", "chunks")

@@ -26,9 +26,17 @@ def each_batch(stream: DataFrame, function, path: str, checkpoint: str) -> Strea
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_stats(attempts: DataFrame) -> DataFrame:
-    """Counts for each user and question, for update mode; late rows are simply added."""
-    return attempts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("attempt_count"), F.sum("is_correct").alias("correct_count"), F.max("answered_at").alias("last_answered"))
+def running_stats(attempts: DataFrame, late: str | None = None, every: str = "1 day") -> DataFrame:
+    """Counts for each user and question, for update mode; late rows are simply added.
+
+    With late (such as "2 days") counts are kept for each span of time (column span), to be added up where they are read.
+    State then holds open spans only, and rows that come later than that are left out.
+    """
+    keys = [F.col(c) for c in KEY]
+    if late:
+        timed = attempts.withColumn("answered_at", F.col("answered_at").cast("timestamp"))  # watermarks take no other type
+        attempts, keys = timed.withWatermark("answered_at", late), [*keys, F.window("answered_at", every).alias("span")]
+    return attempts.groupBy(*keys).agg(F.count(F.lit(1)).alias("attempt_count"), F.sum("is_correct").alias("correct_count"), F.max("answered_at").alias("last_answered"))
 
 
 def current_texts(edits: DataFrame) -> DataFrame:
@@ -37,8 +45,15 @@ def current_texts(edits: DataFrame) -> DataFrame:
     return edits.groupBy("document_name", "chunk_id").agg(F.max_by("new_text", order).alias("new_text"))
 
 
-def unseen_videos(listing: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Polled videos not in the catalog, each once; the state is one key for each video."""
+def unseen_videos(listing: DataFrame, catalog: DataFrame, time: str = "polled_at", late: str | None = None) -> DataFrame:
+    """Polled videos not in the catalog, each once; the state is one key for each video.
+
+    With late (such as "2 days") keys are forgotten so long after their time, so a video polled again after that comes again.
+    """
     known = catalog.select(norm_url(F.col("url")).alias("k")).distinct()
-    polled = listing.withColumn("k", norm_url(F.col("url"))).dropDuplicates(["k"])
+    polled = listing.withColumn("k", norm_url(F.col("url")))
+    if late:
+        polled = polled.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(["k"])
+    else:
+        polled = polled.dropDuplicates(["k"])
     return polled.join(known, "k", "left_anti").drop("k")

@@ -207,22 +207,46 @@ def test_graph(spark):
     assert {(r.from_name, r.to_name, r.relationship_type) for r in graph.relation_edges(edges, names).collect()} == {("A", "B", "IS_A")}
 
 
-@pytest.mark.parametrize("block_queries", [1000, 3])
-def test_vector_topk(spark, block_queries):
+@pytest.mark.parametrize(("block_queries", "block_vectors"), [(1000, 1000), (3, 1000), (1000, 7), (2, 4)])
+def test_vector_topk(spark, block_queries, block_vectors):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(60, 8)).round(3)
     vectors[7] = vectors[8]
     vectors[9] = 0
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(99, None)], "id long, embedding array<float>")
-    got = graph.vector_topk(df, df.where("id % 10 = 7"), 5, block_queries).orderBy("query_id", "rank").collect()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(99, None), (None, vectors[1].tolist())], "id long, embedding array<float>")
+    got = graph.vector_topk(df, df.where("id % 10 = 7 or id = 9"), 5, block_queries, block_vectors).orderBy("query_id", "rank").collect()
     x = np.float32(vectors).astype(float)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    assert {r.query_id for r in got} == set(range(7, 60, 10))
     for q in range(7, 60, 10):
         scores = unit @ unit[q]
         want = sorted((i for i in range(60) if i != 9), key=lambda i: (-round(scores[i], 9), i))[:5]
         assert [r.id for r in got if r.query_id == q] == want
 
 
+def test_vector_topk_with_many_ties_and_empty_sides(spark):
+    same = spark.range(3000).select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
+    got = graph.vector_topk(same, same.where("id < 2"), 4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(q, i) for q in range(2) for i in range(4)]
+    assert graph.vector_topk(same, same.where("id < 0"), 4).count() == 0
+    assert graph.vector_topk(same.where("id < 0"), same, 4).count() == 0
+
+
+def test_searches_logs_and_banks(spark):
+    videos = spark.createDataFrame([(0, "A live show", "completed", ""), (1, "b", "completed", "20240102"), (2, "LIVE", "failed", None)], "row_no long, title string, status string, upload_date string")
+    assert [r.row_no for r in cat.search(videos, "Live").orderBy("row_no").collect()] == [0, 2]
+    assert [r.row_no for r in cat.search(videos, "live", "failed").collect()] == [2]
+    assert [r.row_no for r in videos.orderBy(*cat.listing_order()).collect()] == [2, 0, 1]
+    log = spark.createDataFrame([(1, "d", "", "x" * 9)], "id long, document_name string, old_text string, new_text string")
+    assert [tuple(r) for r in cat.append_history(log.limit(0), log, 4).collect()] == [(1, "d", None, "xxxx")]
+    assert [tuple(r) for r in tr.merge_edit_logs(log, log.drop("old_text")).orderBy("old_text").collect()] == [(1, "d", None, "x" * 9), (1, "d", "", "x" * 9)]
+    rows = spark.createDataFrame([("d", 1, "x"), ("d", 0, "y"), ("e", 5, None)], "document_name string, pos int, a string")
+    assert sorted(tuple(r) for r in tr.split_rows(rows, "pos", "a").collect()) == [("d", '{"pos":0,"a":"y"}', 0), ("d", '{"pos":1,"a":"x"}', 1), ("e", '{"pos":5}', 0)]
+    fresh = spark.createDataFrame([(1, ["a", "b"])], "id long, options array<string>")
+    bank = spark.createDataFrame([], "id long, options string, status string")
+    assert [tuple(r) for r in quiz.add_questions(bank, fresh).collect()] == [(1, '["a","b"]', "pending")]
+
+
 def test_models_are_called_in_batches_and_fail_by_row(spark):
     df = spark.createDataFrame([(1, "a b", 2), (2, "boom", 1), (3, None, 900)], "key long, text string, tokens int")
     got = {r.key: r.embedding for r in graph.embed(df, "text", most_tokens=800).collect()}

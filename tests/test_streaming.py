@@ -61,3 +61,19 @@ def test_unseen_videos(spark, tmp_path):
     got = streams.unseen_videos(stream, catalog)
     run(got.writeStream.format("memory").queryName("videos").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     assert [r.url.split("?")[0] for r in spark.table("videos").collect()] == ["https://youtu.be/new"]
+
+
+def test_bounded_state(spark, tmp_path):
+    attempts = entity(spark, SF, "attempts").withColumn("answered_at", F.col("answered_at").cast("timestamp"))
+    stream = streams.running_stats(parts(attempts, str(tmp_path / "a"), "user_id"), "400 days")
+    spans = update(spark, stream, "spans", str(tmp_path / "state_a"))
+    last = spans.groupBy("user_id", "question_id", "span").agg(F.max("attempt_count").alias("attempt_count"), F.max("correct_count").alias("correct_count"), F.max("last_answered").alias("last_answered"))
+    columns = ["user_id", "question_id", "attempt_count", "correct_count", "last_answered"]
+    assert rows(quiz.add_stats(last.select(*columns).limit(0), last.select(*columns)).select(*columns)) == rows(quiz.attempts_to_stats(attempts).select(*columns))
+
+    polled = spark.createDataFrame([(1, "https://youtu.be/a", "2024-01-01"), (2, "https://youtu.be/a", "2024-01-02"), (3, "https://youtu.be/b", "2024-01-02")], "n long, url string, at string").withColumn("polled_at", F.to_timestamp("at"))
+    known = spark.createDataFrame([("https://youtu.be/b",)], "url string")
+    polled.coalesce(1).write.parquet(str(tmp_path / "p"))
+    stream = streams.unseen_videos(spark.readStream.schema(polled.schema).parquet(str(tmp_path / "p")), known, late="2 days")
+    run(stream.writeStream.format("memory").queryName("polled").option("checkpointLocation", str(tmp_path / "state_p")).trigger(availableNow=True).start())
+    assert [r.url for r in spark.table("polled").collect()] == ["https://youtu.be/a"]
