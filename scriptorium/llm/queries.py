@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat_rotation, dart_minhash, decontaminate, deleted_interpolation, exact_dedup, lang_id, line_dedup, pieces, token_counts, url_filter
+from scriptorium.llm import chat_rotation, dart_minhash, decontaminate, deleted_interpolation, divergence, exact_dedup, hard_negatives, lang_id, line_dedup, maxscore, pieces, token_counts, url_filter
 from scriptorium.llm.common import crc_mod, small_batches
+from scriptorium.llm.vectors import scaled
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
@@ -67,7 +68,21 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, held_out.alias("held_out"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op2_chat_rotation, op3_decontaminate, op4_url_filter, op5_token_counts, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), scaled(F.col("embedding"), 256).alias("v"))
+    return hard_negatives.mine(rows, vec_id % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op2_chat_rotation, op3_decontaminate, op4_url_filter, op5_token_counts, op6_pieces, op7_exact_dedup, op8_dart_minhash, op9_line_dedup, op10_lang_id, op11_hard_negatives, op12_maxscore, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {
     "op2_chat_rotation": r"""
@@ -116,4 +131,33 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op11_hard_negatives": r"""
+        WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+             n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+                   FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op12_maxscore": r"""
+        WITH e AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+             t AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+             kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 10),
+             c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+             v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY 1, 2),
+             p AS (SELECT kept.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gn.n + 2 * v.v) AS p
+                   FROM kept JOIN v USING (lang) JOIN gn USING (lang) LEFT JOIN c ON c.lang = kept.lang AND c.source = gn.source AND c.term = kept.term),
+             q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS q
+                   FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM gn GROUP BY 1) USING (lang) GROUP BY 1, 2),
+             sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+             both_parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                     FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                     UNION ALL SELECT p.lang, p.source, 'term', p.term, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts QUALIFY part = 'pair' OR rank <= 10""",
 }
