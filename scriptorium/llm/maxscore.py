@@ -36,8 +36,8 @@ class Postings:
         first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | ((w[1:] < 0) != (w[:-1] < 0))]) if len(w) else np.zeros(0, np.int64)
         self.start, self.end = first, np.r_[first[1:], len(w)].astype(np.int64)
         self.largest = float(np.abs(w).max(initial=0))
-        self.most, self.least = (f.reduceat(w, first) if len(w) else w for f in (np.maximum, np.minimum))
         self.weight = np.array([int(x) for x in w], object) if whole else w
+        self.most, self.least = (f.reduceat(self.weight, first) if len(w) else w for f in (np.maximum, np.minimum))
         self.lists: dict[int, list[int]] = {}
         for i, t in enumerate(flat[first].tolist()):
             self.lists.setdefault(t, []).append(i)
@@ -59,7 +59,7 @@ class Postings:
         """(rows, scores) of all rows but `own` that can be among the k best: all that reach the k-th score of the block."""
         lists = [(max(0, w * (self.most[i] if w > 0 else self.least[i])), i, w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True) for i in self.lists.get(t, ())]
         lists.sort(key=lambda x: (x[0], abs(x[2])))
-        bound = np.cumsum([0, *(x[0] for x in lists)])  # bound[i]: the most that the i weakest lists can give together
+        bound = np.cumsum(np.array([0, *(x[0] for x in lists)], self.weight.dtype))  # bound[i]: the most that the i weakest lists can give together
         least = self.seed(lists, k, own)
         # The weakest lists whose bounds together stay below the score to beat are not essential: a row in no other can't win.
         others = max(0, int(np.searchsorted(bound, least, "left")) - 1)
