@@ -184,7 +184,7 @@ def emitted(batches: Iterator[pa.RecordBatch], groups: dict[str, tuple[list[str]
 
 EMITTED = "lang string, source string, part string, item string, value long"
 #: The same in SQL, for more groups than may meet in a task.
-SHARE = f"1 + (cast({ONE} as decimal(20, 0)) * ({{c}} + 2)) div ({{n}} + 2 * {{v}})"
+SHARE = f"1 + (cast({ONE} as decimal(20, 0)) * ({{c}} + 2)) div greatest({{n}} + 2 * {{v}}, 1)"  # 1: languages without kept terms
 GAP = "(({p}) - ({q})) * (({p}) - ({q})) div (({p}) + ({q}))"
 
 
