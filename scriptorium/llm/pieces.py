@@ -50,6 +50,7 @@ class Spec(NamedTuple):
     dummy_prefix: bool
     squeeze: bool
     escape: bool
+    suffix: bool = False
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -87,7 +88,7 @@ def parse(data: bytes) -> Spec:
             trainer = dict(fields(value))
         elif number == 3:
             normaliser = dict(fields(value))
-    return Spec(pieces, trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)), normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)))
+    return Spec(pieces, trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)), normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)), bool(trainer.get(24, 0)))
 
 
 def merges(spec: Spec) -> list[tuple[str, str]]:
@@ -214,7 +215,15 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def build(spec: Spec) -> Tokenizer:
-    """The tokenizer of a model."""
+    """The tokenizer of a model; a ValueError for models that the library can't rebuild with the same ids.
+
+    Those are models with user-defined pieces, which sentencepiece takes out of a text before anything else, and models
+    whose marker stands after a word.
+    """
+    if any(kind == USER for *_, kind in spec.pieces):
+        raise ValueError("models with user-defined pieces are not supported")
+    if spec.suffix:
+        raise ValueError("models that treat white space as a suffix are not supported")
     unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), None)
     if spec.kind == UNIGRAM:
         out = Tokenizer(models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback))
@@ -297,9 +306,11 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
     ids are those of the rebuilt tokenizer; null and empty texts have none. parity: the sentencepiece library gives the same
     ids. round_trip: decoding gives the text back (the marker itself reads as a space, and a normaliser may change texts).
     Whole texts are encoded, very long ones in pieces that give the same ids. Repeated rows each give a row, no rows give
-    none. `threads` encode a batch within a task.
+    none. `threads` encode a batch within a task. Models that can't be rebuilt are a ValueError at once.
     """
-    data = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, path))
+    model = read_model(docs.sparkSession, path)
+    build(parse(model))
+    data = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(f"struct<{','.join(f'{n}:{t}' for n, t in OWN.items())}>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -319,7 +330,10 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """The columns of encoded (which have ids, an array of int) and decoded, the text; null ids give null."""
+    """The columns of encoded (which have ids, an array of int) and decoded, the text; null ids give null.
+
+    Repeated rows each give a row, no rows give none; a column decoded that is there gives way.
+    """
     data = encoded.sparkSession.sparkContext.broadcast(read_model(encoded.sparkSession, path))
     rows = encoded.drop("decoded")
     at = rows.columns.index("ids")

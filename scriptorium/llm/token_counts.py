@@ -31,7 +31,10 @@ EDIT = "struct<at:int,removed:int,added:string>"
 
 
 class Encoder:
-    """Token counts of pre-tokens, remembered for up to CACHE of them."""
+    """Token counts of pre-tokens, remembered for up to CACHE of them.
+
+    A pre-token is merged by the ranks as it stands, without the pattern, which can't take very long runs of white space.
+    """
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN):
         pairs = (line.split() for line in ranks.splitlines() if line)
@@ -47,7 +50,7 @@ class Encoder:
         for piece in pieces:
             n = known.get(piece)
             if n is None:
-                n = len(self.encoding.encode_ordinary(piece))
+                n = len(self.encoding._encode_single_piece(piece))
                 if len(piece) < 64:
                     known[piece] = n
             out.append(n)

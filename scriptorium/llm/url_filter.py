@@ -23,7 +23,7 @@ class Rule(NamedTuple):
 
 
 def build(rules: Iterable[Rule]) -> dict:
-    """A node holds host labels under "h", path segments under "p", open last segments under "o" and a rule under "r".
+    """A node holds host labels under "h", path segments under "p", open last segments under "o" and their greatest length under "n".
 
     A rule's path ends at a segment ("/en/"), or in the middle of one ("/en"), which then is a prefix of any segment.
     Of two rules with the same host and path the first counts.
@@ -37,6 +37,7 @@ def build(rules: Iterable[Rule]) -> dict:
         for segment in whole:
             node = node.setdefault("p", {}).setdefault(segment, {})
         node.setdefault("o", {}).setdefault(last, rule)
+        node["n"] = max(len(last), node.get("n", 0))
     return root
 
 
@@ -51,7 +52,7 @@ def match(trie: dict, host: str, path: str) -> Rule | None:
                 break
         at, found = node, None
         for segment in segments:
-            for cut in range(len(segment), -1, -1):  # an open last segment, the longest prefix first
+            for cut in range(min(len(segment), at.get("n", -1)), -1, -1):  # an open last segment, the longest prefix that a rule has first
                 if (rule := at.get("o", {}).get(segment[:cut])) is not None:
                     found = rule
                     break
@@ -76,7 +77,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", key
 
     A rule fits its host and all subdomains if the path starts with the rule's. Where none fits, rule is null and the
     verdict is `default`. Null, empty and malformed urls have an empty host and path; only a rule with an empty host and
-    an empty path fits them. Repeated rows each give a row.
+    an empty path fits them. Repeated rows each give a row. A path of any length is walked once, with no more prefixes of a
+    segment than the longest rule has.
     """
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast, use rules_table()")

@@ -3,8 +3,10 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +169,30 @@ def test_line_runs_incremental(spark, docs):
         assert new == mine - seen
         seen |= mine
     assert len(runs.runs()) == 1 and {tuple(r) for r in runs.frequent(1).collect()} == seen
+    runs.close()
+    assert runs.runs() == [] and runs.frequent(1).collect() == []  # no batch, no hashes
+
+
+def test_line_runs_stay_where_they_lie(spark):
+    """A batch is dealt once; runs are neither dealt nor sorted again; runs that were compacted are deleted."""
+    hashed = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n_docs"))
+    runs = line_dedup.LineRuns(spark, fanout=4)
+    for a in (0, 500, 1000):
+        assert runs.add(hashed(a, a + 1000)).count() == (1000 if a == 0 else 500)
+    with line_dedup.sorted_buckets(spark):
+        again = runs.unseen(hashed(1900, 2100).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")))
+        again.collect()
+        plan = again._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert len(re.findall(r"\bExchange ", final)) == 1 and final.count("Scan parquet") == 3, plan
+    assert len(re.findall(r"\bSort \[", final)) == 1, plan  # the batch's
+    assert again.count() == 100
+    held = [f for r in runs.runs() for f in spark.table(r).inputFiles()]
+    assert runs.add(hashed(1900, 2100)).count() == 100
+    assert len(runs.runs()) == 1 and spark.table(runs.runs()[0]).count() == 2100
+    assert not any(os.path.exists(f.split("://")[-1].replace("file:", "")) for f in held)
+    assert runs.frequent(2).count() == 1100
+    runs.close()
 
 
 # URLs
@@ -194,6 +220,16 @@ def test_url_filter(spark, empty):
         url_filter.filter_urls(df, rules, max_rules=3)
 
 
+def test_url_filter_of_long_paths():
+    """One long segment takes no longer than its length tells."""
+    trie = url_filter.build([url_filter.Rule("block", "net", "/en"), url_filter.Rule("allow", "net", "/en/x"), url_filter.Rule("block", "", "/very/")])
+    long = "y" * 2_000_000
+    for path, want in ((f"/en{long}", "/en"), (f"/en/x{long}", "/en/x"), (f"/{long}", None), (f"/{'a/' * 100_000}", None)):
+        start = time.time()
+        found = url_filter.match(trie, "a.net", path)
+        assert (found and found.path) == want and time.time() - start < 1
+
+
 # Language
 
 
@@ -569,6 +605,23 @@ def test_token_counts_of_odd_rows(spark):
     assert len({(r.doc_id, r.text) for r in got}) == 3
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, " \t\n" * 300_000 + "end", "x" * 300_000, "a " * 200_000], ids=["spaces", "lines", "mixed", "letters", "words"])
+def test_token_counts_of_long_runs(spark, text):
+    state = token_counts.build(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").withColumn("edits", token_counts.derived_edits(F.col("doc_id"), F.coalesce("text", F.lit("")))))
+    first = state.where("doc_id = 1").first()
+    assert sum(first.sizes) == len(text) and sum(first.counts) == first.n_tokens > 0
+    whole = {r.doc_id: r.n_tokens for r in token_counts.build(token_counts.apply_edits(state).select("doc_id", "text")).collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.apply_edits(state).collect()} == whole
+
+
+def test_counts_of_pre_tokens_are_the_encoders():
+    """What stands as one pre-token encodes alone as the whole encoder does."""
+    encode = token_counts.encoder(open(token_counts.RANKS, "rb").read(), token_counts.PATTERN)
+    for text in [t for t in TEXTS if t] + [" " * 3000 + "a", "a   \n\n  b's"]:
+        pieces = encode.pattern.findall(text)
+        assert sum(encode.counts(pieces)) == len(encode.encoding.encode_ordinary(text))
+
+
 def test_edits_reencode_locally():
     enc = token_counts.encoder(open(token_counts.RANKS, "rb").read(), token_counts.PATTERN)
     junk = ["", "a", " ", "  ", "'s", "'", "\n", "1", "don't", "x y z", " \n ", "é", "!!"]
@@ -645,6 +698,30 @@ def test_pieces_of_long_texts():
     assert [i for p in parts for i in plain.encode(p)] == plain.encode(text)
 
 
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_models_that_cannot_be_rebuilt_are_refused(spark, tmp_path, kind):
+    """Plain trained models give sentencepiece's ids; those with user-defined pieces or white space as a suffix are an error, not wrong ids."""
+    import sentencepiece
+
+    lines = [prose(12) for _ in range(400)]
+    (tmp_path / "lines.txt").write_text("\n".join(lines))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines[:40])], "doc_id long, text string")
+    for name, more in (("plain", {}), ("user", {"user_defined_symbols": ["the"]}), ("suffix", {"treat_whitespace_as_suffix": True})):
+        sentencepiece.SentencePieceTrainer.train(input=str(tmp_path / "lines.txt"), model_prefix=str(tmp_path / name), model_type=kind, vocab_size=60, hard_vocab_limit=False, minloglevel=2, **more)
+        if name == "plain":
+            assert {r.parity for r in pieces.encode(df, str(tmp_path / "plain.model")).collect()} == {True}
+        else:
+            with pytest.raises(ValueError, match="not supported"):
+                pieces.encode(df, str(tmp_path / f"{name}.model"))
+
+
+def test_decode_of_odd_rows(spark):
+    df = pieces.encode(spark.createDataFrame([(1, "One two"), (1, "One two"), (2, None), (3, "")], "doc_id long, text string"))
+    assert sorted(rows(pieces.decode(df.withColumn("decoded", F.lit(9))).select("doc_id", "decoded"))) == [(1, "One two"), (1, "One two"), (2, ""), (3, "")]
+    assert pieces.decode(df.where("false")).collect() == []
+    assert pieces.decode(df.limit(1).withColumn("ids", F.lit(None).cast("array<int>"))).first().decoded is None
+
+
 def test_unigram_model_is_rebuilt():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
