@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from scriptorium.sources.scratch import discard
 from scriptorium.sources.scratch import written as table
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "crc_mod", "discard", "id_type", "mixed", "slices", "small", "small_batches", "table", "word_hashes"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "crc_mod", "discard", "id_type", "mixed", "release", "released", "slices", "small", "small_batches", "table", "word_hashes"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a few fixed-width columns that may be broadcast (at most about 80 MB as a hashed relation); larger sides are shuffled.
@@ -63,6 +65,25 @@ def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers stay, and later stages use them again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text): A-Z lower-cased, cut at [\\x20\\x09-\\x0D]; null is empty."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))

@@ -6,11 +6,12 @@ text that holds the element throws the same darts in the same order, and stops a
 K (ln K + 5) darts in all: the work is one dart an element and K log K more. A text keeps the earliest dart of each
 coordinate. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Texts of one signature content (equal shingles and weights) are joined first and stand for one another. The others meet
-where a band of the signature agrees. Texts with too few shingles that any other candidate has are set aside; in each
-bucket the others are compared, exactly, with the most central text (and `stars` - 1 others). Then texts that share a
-bucket, still are in different classes and may still be similar enough by size and overlap are compared as well: a bucket is
-cut by size first, as texts that differ more than the threshold allows are not alike.
+Texts of one content (equal shingles and weights, by a 128-bit name) are joined first and stand for one another; within this
+module that name is a text's id, whatever its doc_id. The others meet where a band of the signature agrees. Texts with too
+few shingles that any other candidate has are set aside; in each bucket the others are compared, exactly, with the most
+central text (and `stars` - 1 others). Texts of buckets that still hold different classes which may be similar enough are
+joined by a prefix filter: shingles in order of rarity, where two similar texts must share one of the rarest few. So texts
+that lie just below the threshold of one another, and differ in what only they have, never meet in pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scriptorium.llm.common import BROADCAST_ROWS, discard, id_type, mixed, slices, small, table, word_hashes
+from scriptorium.llm.common import BROADCAST_ROWS, discard, id_type, mixed, released, slices, small, table, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 21, 6
 K = BANDS * ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The name of a text's content.
+ID = "struct<c1:bigint,c2:bigint>"
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +97,17 @@ def throw(region: np.ndarray, text: np.ndarray, bound: np.ndarray) -> list[tuple
     return out
 
 
+def named(of: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two 64-bit names of all shingles with weights of each of n texts."""
+    names = []
+    with np.errstate(over="ignore"):
+        for salt in (np.uint64(3), np.uint64(5)):
+            name = np.zeros(n, np.uint64)
+            np.add.at(name, of, mixed(elements * salt + mixed(weights.astype(np.uint64) + salt)))
+            names.append(name.view(np.int64))
+    return names
+
+
 def signed(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, c1, c2, bands): the number of shingle places, a 128-bit name of all shingles with weights, and K / ROWS band keys."""
 
@@ -103,12 +118,8 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 of, elements, weights = shingles(part.column(1), words)
                 sig = signatures(of, elements, weights, len(part))
                 size = np.bincount(of, weights, len(part)).astype(np.int64)
-                names = []
+                names = named(of, elements, weights, len(part))
                 with np.errstate(over="ignore"):
-                    for salt in (np.uint64(3), np.uint64(5)):
-                        name = np.zeros(len(part), np.uint64)
-                        np.add.at(name, of, mixed(elements * salt + mixed(weights.astype(np.uint64) + salt)))
-                        names.append(name.view(np.int64))
                     key = np.zeros((len(part), BANDS), np.uint64)
                     for r in range(ROWS):
                         key = mixed(key * GOLDEN + sig[:, r::ROWS])
@@ -116,23 +127,25 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(names[0]), pa.array(names[1]), bands], ["doc_id", "n", "c1", "c2", "bands"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"doc_id {id_type(docs)}, n long, c1 long, c2 long, bands array<long>")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(rows), f"doc_id {id_type(docs)}, n long, c1 long, c2 long, bands array<long>")
 
 
 def contents(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
-    """(id, shingles array<long> in order, weights array<int>) of the wanted (id): one text for each id."""
+    """(id, shingles array<long> in order, weights array<int>) of the wanted (id, first: a doc_id with that content)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 19):
+            for a, b in slices(batch.column(0), 1 << 19):
                 part = batch.slice(a, b - a)
-                of, elements, weights = shingles(part.column(1), words)
+                of, elements, weights = shingles(part.column(0), words)
+                ids = pa.StructArray.from_arrays([pa.array(x) for x in named(of, elements, weights, len(part))], ["c1", "c2"])
                 edges = pa.array(np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (elements.view(np.int64), weights.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["id", "shingles", "weights"])
+                yield pa.RecordBatch.from_arrays([ids, *lists], ["id", "shingles", "weights"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(small(wanted, broadcast_rows), "id", "left_semi").mapInArrow(rows, f"id {id_type(docs)}, shingles array<long>, weights array<int>").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").alias("first"), F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(small(wanted.select("first").distinct(), broadcast_rows), "first", "left_semi").select("text").mapInArrow(released(rows), f"id {ID}, shingles array<long>, weights array<int>")
+    return found.join(small(wanted.select("id"), broadcast_rows), "id", "left_semi").dropDuplicates(["id"])  # other texts may have the same doc_id
 
 
 def shared(held: DataFrame, labels: DataFrame) -> DataFrame:
@@ -156,6 +169,27 @@ def hopeful(rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return table(kept.join(open_buckets, ["band", "key"], "left_semi"), "open")
 
 
+def prefix_pairs(rest: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of texts of rest (id, n, label) with different labels that may be as similar as the threshold; none that is gets lost.
+
+    Of two texts the smaller must overlap by 2 t / (1 + t) of its own weight and the larger by t of its own. So in any one
+    order of shingles their first common one stands within what that leaves of either: the order by rarity makes it rare.
+    """
+    texts = rest.select("id", "n", "label").distinct()
+    places = held.join(texts, "id").select("id", "n", "label", F.explode(F.arrays_zip("shingles", "weights")).alias("x")).select("id", "n", "label", F.col("x.shingles").alias("s"), F.col("x.weights").alias("w"))
+    seen = places.groupBy("s").agg(F.count(F.lit(1)).alias("seen"), F.min("label").alias("least"), F.max("label").alias("most"))
+    before = F.sum("w").over(Window.partitionBy("id").orderBy("seen", "s").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = places.join(seen, "s").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.col("n") * (1 - threshold) + 1e-6)
+    prefix = table(prefix.where("least < most").select("id", "n", "label", "s", "w", "before"), "prefixes")
+    less = prefix.where(F.col("before") <= F.col("n") * (1 - 2 * threshold / (1 + threshold)) + 1e-6)
+    more = prefix.select("s", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "w", "before")))
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    overlap = F.least("w", "w2") + F.least(F.col("n") - F.col("before") - F.col("w"), F.col("n2") - F.col("before2") - F.col("w2"))  # at most, from their first common one
+    enough = overlap >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-6
+    met = less.join(more, "s").where(ordered & (F.col("label") != F.col("label2")) & enough & (F.col("n") >= threshold * F.col("n2") - 1e-6))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def compared(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact weighted Jaccard similarity is at least the threshold."""
     side = lambda x: held.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}"))
@@ -170,7 +204,7 @@ def compared(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
                 keep.append(both >= threshold * (int(p.sum()) + int(q.sum()) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(alike, f"a {id_type(held, 'id')}, b {id_type(held, 'id')}"), "alike")
+    return table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(alike), f"a {id_type(held, 'id')}, b {id_type(held, 'id')}"), "alike")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -200,23 +234,22 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, stars: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, class_id, class_size for each row of docs (doc_id, text; other columns are ignored).
+    """doc_id, class_id, class_size, class_key for each row of docs (doc_id, text; other columns are ignored).
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; the similarity is the Jaccard similarity of `words`-word shingles
     weighted by how often each occurs. class_id is the least doc_id of the documents that links of at least the threshold
     connect. Null, empty and wordless texts have no shingles: each is a class of its own, as is a null doc_id. Rows that
-    repeat one doc_id should hold one text; they share a class. No rows give none; ids may be of any type that can be
-    ordered. Links at the threshold itself are found with probability
+    repeat one doc_id are texts of their own: unlike ones don't share a class. As both classes may then have the same least
+    doc_id, class_key (null where there are no shingles) tells classes apart, and sizes count by it. No rows give none; ids may be of any type that can be ordered. A text's darts are thrown within one task. Links at the threshold itself are found with probability
     0.998 (BANDS, ROWS), more similar ones more surely.
     """
     made = table(signed(docs, words), "signatures")
     full = made.where("n > 0 and doc_id is not null")
-    copies = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "contents")
-    reps = full.join(copies.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
+    reps = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select(F.struct("c1", "c2").alias("id"), "first", "n", "bands"), "contents")
+    keys = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     several = table(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key"), "buckets")
     members = table(keys.join(small(several, broadcast_rows), ["band", "key"]).withColumn("label", F.col("id")), "members")
-    held = table(contents(docs, table(members.select("id").distinct(), "candidates"), words, broadcast_rows), "contents")
+    held = table(contents(docs, table(reps.select("id", "first").join(members.select("id").distinct(), "id", "left_semi"), "candidates"), words, broadcast_rows), "contents")
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     done = links = None
     rest = hopeful(members, held, threshold)
@@ -231,24 +264,18 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
         links = found if links is None else links.unionByName(found)
         labelled = rest.drop("label", "u").join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
         rest = hopeful(table(labelled, "labelled"), held, threshold)
-    # A pivot may not be similar enough where another member of the bucket is: pairs of different classes that still may
-    # be, each in the first band that they share.
-    rest = rest.join(made.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), "id")
-    # Similar texts lie in the same cell of sizes or in the next one.
-    cell = lambda n: F.floor(F.log(n) / float(np.log(1 / threshold) * 1.000001)) if threshold < 1 else F.col(n)
-    rest = rest.withColumn("cell", cell("n"))
-    other = rest.withColumn("cell", F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))))
-    other = other.select("band", "key", "cell", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "u", "bands")))
-    enough = F.least("u", "u2") >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-6
-    sooner = F.expr("array_position(zip_with(slice(bands, 1, band), slice(bands2, 1, band), (x, y) -> x = y), true) > 0")
-    pairs = rest.join(other, ["band", "key", "cell"]).where((F.col("label") < F.col("label2")) & enough & ~sooner).select(*ordered("id", "id2"))
-    pairs = table(pairs.join(done, ["a", "b"], "left_anti").distinct(), "pairs")
+    # A pivot may not be similar enough where another member of the bucket is.
+    pairs = table(prefix_pairs(rest, held, threshold).join(done, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = links.unionByName(compared(pairs, held, threshold))
-    # Copies hang on the one that stands for them; both kinds of links give the classes.
-    found = components(links).withColumnsRenamed({"id": "rep"})
-    classes = copies.join(found, copies["id"] == found["rep"], "left").select("c1", "c2", F.coalesce("label", "id").alias("class_id"))
-    out = made.join(classes, ["c1", "c2"], "left").select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    # Copies hang on the one that stands for them; both kinds of links give the classes, each named after its least doc_id.
+    labelled = table(reps.select("id", "first").join(components(links), "id", "left").select("id", "first", "label"), "labelled")
+    least = labelled.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
+    name = F.coalesce("label", "id")
+    key = F.concat(*(F.lower(F.lpad(F.hex(name[c]), 16, "0")) for c in ("c1", "c2")))
+    classes = labelled.join(least, "label", "left").select("id.c1", "id.c2", F.coalesce("least", "first").alias("named"), key.alias("key"))
+    of_one = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = made.join(classes, ["c1", "c2"], "left").select("doc_id", F.when(of_one, F.coalesce("named", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(of_one, F.col("key")).alias("class_key"))
     out = table(out, "classes")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
-    return out.join(small(table(sizes, "sizes"), broadcast_rows), "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    sizes = out.where("class_key is not null").groupBy("class_key").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    return out.join(small(table(sizes, "sizes"), broadcast_rows), "class_key", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "class_key")

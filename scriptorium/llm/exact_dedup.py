@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BROADCAST_ROWS, id_type, small, table
+from scriptorium.llm.common import BROADCAST_ROWS, id_type, released, small, table
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_812_433_253)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, huge_bytes: in
             yield pa.RecordBatch.from_arrays([batch[0], *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names)
 
     base = docs.select("doc_id", "text")
-    found = table(base.mapInArrow(rows, SCHEMA.format(id_type(docs))), "fingerprints")
+    found = table(base.mapInArrow(released(rows), SCHEMA.format(id_type(docs))), "fingerprints")
     if found.where("huge").isEmpty():
         return found
     huge = base.select("text", normalised("text").alias("data")).where(F.octet_length("data") > huge_bytes)
@@ -98,7 +98,7 @@ def with_prints(found: DataFrame, huge: DataFrame, chunk_bytes: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("text_sha256"), batch.column("part"), *made], ["text_sha256", "part", "h1", "h2", "p1", "p2"])
 
     chunks = with_chunks(huge.select(F.sha2("data", 256).alias("text_sha256"), "data"), chunk_bytes)
-    hashed = chunks.repartition("text_sha256", "part").mapInArrow(rows, "text_sha256 string, part int, h1 long, h2 long, p1 long, p2 long")
+    hashed = chunks.repartition("text_sha256", "part").mapInArrow(released(rows), "text_sha256 string, part int, h1 long, h2 long, p1 long, p2 long")
     ordered = F.sort_array(F.collect_set(F.struct("part", "h1", "h2", "p1", "p2")))  # narrow: 40 bytes for each 64 KB of a text
     fold = lambda k: F.aggregate("parts", F.lit(0).cast("long"), lambda h, x: (h * x[f"p{k}"] + x[f"h{k}"]) % PRIMES[k - 1])
     prints = hashed.groupBy("text_sha256").agg(ordered.alias("parts")).select("text_sha256", fold(1).alias("f1"), fold(2).alias("f2"))

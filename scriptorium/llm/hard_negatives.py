@@ -16,7 +16,7 @@ from scriptorium.llm.common import table
 from scriptorium.llm.vectors import blocks_for, dealt, inner, matrix, meet
 
 #: Rows of one tree, trees of one shard, most children of a node, most rows of a node that isn't split any further.
-TREE_ROWS, TREES, FANOUT, LEAF = 4096, 16, 64, 32
+TREE_ROWS, TREES, FANOUT, LEAF = 4096, 4, 64, 32
 ANY = np.iinfo(np.int64).min
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: the marker for a space, kinds of pieces and kinds of models.
@@ -322,7 +322,7 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
         finally:  # workers are used again, by other stages too
             if runs := loaded(data.value)[3]:
                 runs.clear()
-            pa.default_memory_pool().release_unused()
+            release()
 
     rows = docs.drop(*OWN)
     out = rows.select("*", encoded(F.col("text")).alias("own columns of encode"))

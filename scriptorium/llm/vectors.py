@@ -52,10 +52,14 @@ def meet(queries: DataFrame, key: str, held: DataFrame, blocks: int, function: C
     """function(queries, held) for each block of queries, about so many, with each block of held (column block, 0 to blocks - 1).
 
     A task sees one block of each side: the sides are copied for every block of the other, and nothing goes through the driver.
+    Pairs of blocks are dealt to some more partitions than there are pairs (up to 10,000, or to as many as there are
+    pairs), as a pair is much work for its few bytes and should not share a task.
     """
     n = blocks_for(queries, query_rows)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.withColumn("query_block", dealt(key, n)).withColumn("block", each(blocks))
     there = held.withColumn("query_block", each(n))
-    keys = ["query_block", "block"]
-    return asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(function, schema)
+    keys, pairs = ["query_block", "block"], n * blocks
+    parts = max(pairs, min(4 * pairs, 10_000))
+    sides = (df.repartition(parts, *keys).groupBy(*keys) for df in (asked, there))
+    return next(sides).cogroup(next(sides)).applyInArrow(function, schema)

@@ -401,10 +401,39 @@ def test_near_centres_in_one_bucket(spark):
 
 def test_near_classes_of_odd_ids(spark):
     rows_in = [("b", BASE), ("a", BASE + " end"), ("a", BASE + " end"), (None, BASE), ("z", "x"), ("y", None)]
-    got = Counter(rows(dart_minhash.near_classes(spark.createDataFrame(rows_in, "doc_id string, text string"))))
+    got = Counter(rows(dart_minhash.near_classes(spark.createDataFrame(rows_in, "doc_id string, text string")).drop("class_key")))
     assert got == Counter({("a", "a", 3): 2, ("b", "a", 3): 1, (None, None, 1): 1, ("z", "z", 1): 1, ("y", "y", 1): 1})
 
 
+def test_near_unlike_texts_of_one_id(spark):
+    """A document that stands for two texts doesn't join what is like the one with what is like the other."""
+    a, b = prose(80), prose(80)
+    got = dart_minhash.near_classes(spark.createDataFrame([(1, a), (1, b), (2, b), (3, a + " end"), (4, b + " x")], "doc_id long, text string")).collect()
+    keys = {(r.doc_id, r.class_key) for r in got}
+    assert len({k for i, k in keys if i == 1}) == 2 and {k for i, k in keys if i in (2, 4)}.isdisjoint(k for i, k in keys if i == 3)
+    assert sorted(r.class_size for r in got) == [2, 2, 3, 3, 3] and {r.class_id for r in got} == {1}
+
+
+def test_near_texts_just_below_the_threshold(spark, monkeypatch):
+    """Texts that nearly link one another but don't are not compared in pairs; the few that do link are found."""
+    r, sizes = random.Random(3), {}
+    common = [f"w{i}" for i in range(130)]
+
+    def text():
+        own = iter(f"z{r.randrange(10**9)}" for _ in range(20))
+        return " ".join([*common[:60], *(next(own) for _ in range(10)), *common[60:], *(next(own) for _ in range(10))])
+
+    compared = dart_minhash.compared
+    monkeypatch.setattr(dart_minhash, "compared", lambda pairs, *a: (sizes.setdefault(n, []).append(pairs.count()), compared(pairs, *a))[1])
+    for n in (300, 1200):
+        texts = [text() for _ in range(n)]
+        texts += [t + " tail" for t in texts[:5]]
+        got = {x.doc_id: x.class_id for x in dart_minhash.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got == {**{i: i for i in range(n)}, **{n + i: i for i in range(5)}}
+        assert near_brute(list(enumerate(texts[:40]))) == {i: i for i in range(40)}
+    assert sum(sizes[1200]) < 6 * sum(sizes[300]), sizes  # all pairs would be 16 times as many
+
+
 def test_components_says_when_it_stops_early(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="rounds"):
@@ -796,6 +825,25 @@ def test_pipeline_stages(spark, docs, real, tmp_path):
     assert json.dumps(sorted(now.columns))
 
 
+def test_pipeline_rejects_what_is_in_no_language(spark, real):
+    """Foreign scripts and noise go, whatever language they are nearest to; clean documents stay."""
+    from scriptorium.llm import pipeline
+
+    odd = ["这是中文文本内容测试一二三", "Съешь ещё этих мягких французских булок да выпей чаю", "xqzjkv wqxz zzkqj vvxq kjqz " * 5, "k3j4h5 QmFzZTY0IGVuY29kZWQgdGV4dA== 9x9X//+q " * 30, "x9 " * 10 + "\u4e2d" * 400, "1234 5678", "", None]
+    made = real.unionByName(spark.createDataFrame([(-1 - i, t, None, "odd", 1) for i, t in enumerate(odd)], real.schema))
+    kept = {r.doc_id for r in pipeline.language(spark, made, SF).collect()}
+    assert not any(i < 0 for i in kept)
+    assert kept == {r.doc_id for r in real.collect() if any(map(str.isalpha, r.text or ""))}
+
+
+def test_pipeline_keys_are_unique_and_stay(spark, tmp_path):
+    from scriptorium.llm import pipeline
+
+    spark.range(5000).withColumn("path", F.lit("clash")).repartition(9).write.parquet(f"{tmp_path}/rows")
+    keys = lambda: {(r[0], r[1]) for r in pipeline.keyed(spark.read.parquet(f"{tmp_path}/rows")).select("id", pipeline.KEY).collect()}
+    assert keys() == keys() and len({k for _, k in keys()}) == 5000
+
+
 @pytest.mark.parametrize("written", [False, True])
 def test_pipeline_null_and_repeated_ids(spark, tmp_path, written):
     from scriptorium.llm import pipeline
