@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import clean_json, rel_type
+from scriptorium.sources.store import Store
 
 PAYLOAD = "struct<concepts:array<struct<name:string,type:string,description:string,origin_chunks:array<int>>>,relationships:array<struct<`from`:string,`to`:string,type:string,description:string>>>"
 
@@ -24,15 +25,52 @@ def extract_payload(replies: DataFrame, *key: str) -> tuple[DataFrame, DataFrame
     return concepts, parsed.select(*key, F.explode("p.relationships").alias("r")).select(*key, "r.*")
 
 
-def merge_concepts(seen: DataFrame) -> DataFrame:
-    """Upsert of (name, type, description, document_name, url, seq) by name in order of seq: last values win, sets grow in first-seen order.
+def concept_rows(seen: DataFrame) -> DataFrame:
+    """(name, type, description, latest): the last values of each name of seen (name, type, description, .., seq)."""
+    return seen.groupBy("name").agg(F.max_by(F.struct("type", "description"), "seq").alias("l"), F.max("seq").alias("latest")).select("name", "l.type", "l.description", "latest")
 
-    A name's documents are first reduced to one row each, so a popular name moves as many rows as it has documents.
+
+def concept_sources(seen: DataFrame) -> DataFrame:
+    """(name, kind, value, first): each document and url in which a name was seen, and when first; blank ones are left out."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("document", "document_name"), ("url", "url")))))
+    rows = seen.select("name", "seq", each.alias("s")).select("name", "s.kind", "s.value", "seq").where(F.coalesce("value", F.lit("")) != "")
+    return rows.groupBy("name", "kind", "value").agg(F.min("seq").alias("first"))
+
+
+def add_concepts(concepts: DataFrame, more: DataFrame) -> DataFrame:
+    """concept_rows of all that both have seen."""
+    last = F.max_by(F.struct("type", "description", "latest"), "latest")
+    return concepts.unionByName(more).groupBy("name").agg(last.alias("l")).select("name", "l.*")
+
+
+def add_sources(sources: DataFrame, more: DataFrame) -> DataFrame:
+    """concept_sources of all that both have seen."""
+    return sources.unionByName(more).groupBy("name", "kind", "value").agg(F.min("first").alias("first"))
+
+
+def concept_view(concepts: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
+    """(name, type, description, document_name, url, n_documents): with the first `most` documents and urls, comma-joined in first-seen order.
+
+    What a name was seen in stays one row each in sources; only `most` of them meet in a row here, and the count tells of all.
     """
-    by_document = seen.groupBy("name", "document_name", "url").agg(F.min("seq").alias("first"), F.max_by(F.struct("type", "description"), "seq").alias("last"), F.max("seq").alias("latest"))
-    ordered = lambda c: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("first", F.col(c).alias("v"))))), lambda x: x["v"]))
-    out = by_document.groupBy("name").agg(F.max_by("last", "latest").alias("l"), ordered("document_name").alias("documents"), ordered("url").alias("urls"))
-    return out.select("name", "l.type", "l.description", F.array_join("documents", ",").alias("document_name"), F.array_join("urls", ",").alias("url"))
+    rank = F.row_number().over(Window.partitionBy("name", "kind").orderBy("first", "value"))
+    head = sources.withColumn("rank", rank).where(F.col("rank") <= most)
+    listed = lambda k: F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value"))))["value"], ",")
+    joined = head.groupBy("name").agg(listed("document").alias("document_name"), listed("url").alias("url"))
+    counted = sources.groupBy("name").agg(F.count_if(F.col("kind") == "document").alias("n_documents"))
+    out = concepts.join(joined, "name", "left").join(counted, "name", "left")
+    return out.select("name", "type", "description", F.coalesce("document_name", F.lit("")).alias("document_name"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+def merge_concepts(seen: DataFrame, most: int = 1000) -> DataFrame:
+    """concept_view of one batch of (name, type, description, document_name, url, seq): last values win, sets grow in first-seen order."""
+    return concept_view(concept_rows(seen), concept_sources(seen), most)
+
+
+def store_concepts(concepts: Store, sources: Store, seen: DataFrame) -> None:
+    """Merges a batch into two stores by name (concept_rows and concept_sources); a batch that comes twice changes nothing."""
+    concepts.apply(concept_rows(seen), add_concepts)
+    sources.apply(concept_sources(seen), add_sources)
 
 
 def relation_edges(relations: DataFrame, concepts: DataFrame) -> DataFrame:

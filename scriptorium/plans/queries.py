@@ -15,6 +15,7 @@ from scriptorium.plans import jobs
 from scriptorium.plans.inputs import NAMES_SQL, documents, entity, names, transcripts, with_entities
 from scriptorium.sources import audio, tables
 from scriptorium.sources.scratch import new_path as scratch
+from scriptorium.sources.store import Store
 from scriptorium.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,24 +179,34 @@ def effective_source(s, d):
     return tr.effective_source(files)
 
 
+def chunk_store(s, chunks):
+    return Store(s, scratch(s, "chunks"), "document_name").create(chunks, 16)
+
+
 @query("SELECT document_name, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN 'up ' || text ELSE text END AS text FROM chunks UNION ALL SELECT DISTINCT document_name, 999, 'new' FROM chunks", "chunks")
 def update_chunk(s, d):
     chunks = entity(s, d, "chunks").withColumn("embedding", F.lit(None).cast("array<float>"))
+    store = chunk_store(s, chunks)
     updates = chunks.where("chunk_id % 2 = 0").select("document_name", "chunk_id", F.concat(F.lit("up "), "text").alias("text"), "embedding")
     more = chunks.select("document_name").distinct().select("document_name", F.lit(999).alias("chunk_id"), F.lit("new").alias("text"), F.lit(None).cast("array<float>").alias("embedding"))
-    return tr.update_chunks(chunks, updates.unionByName(more)).select("document_name", "chunk_id", "text")
+    store.apply(updates.unionByName(more), tr.update_chunks)
+    return store.read().select("document_name", "chunk_id", "text")
 
 
 @query("SELECT document_name, chunk_id, text FROM chunks WHERE chunk_id % 4 <> 3", "chunks")
 def delete_chunk(s, d):
     chunks = entity(s, d, "chunks")
-    return graph.delete_chunks(chunks.where("chunk_id % 4 = 3"), chunks)[0].select("document_name", "chunk_id", "text")
+    store = chunk_store(s, chunks)
+    store.apply(chunks.where("chunk_id % 4 = 3").select("document_name", "chunk_id"), lambda held, gone: graph.delete_chunks(gone, held)[0])
+    return store.read().select("document_name", "chunk_id", "text")
 
 
 @query("SELECT document_name, chunk_id FROM chunks WHERE document_name NOT LIKE 'conv_1%'", "chunks")
 def delete_document(s, d):
     chunks = entity(s, d, "chunks")
-    return graph.delete_documents(chunks.where("document_name like 'conv_1%'"), chunks)[0].select("document_name", "chunk_id")
+    store = chunk_store(s, chunks)
+    store.apply(chunks.where("document_name like 'conv_1%'").select("document_name").distinct(), lambda held, gone: graph.delete_documents(gone, held)[0])
+    return store.read().select("document_name", "chunk_id")
 
 
 @query("SELECT 'chunks' AS label, count(*) AS removed FROM chunks WHERE chunk_id % 4 = 3 UNION ALL SELECT 'has_chunk', count(*) FROM chunks WHERE chunk_id % 4 = 3 UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT document_name, chunk_id, split_part(text, ' ', 1) FROM chunks) WHERE chunk_id % 4 = 3", "chunks")
@@ -216,7 +227,9 @@ def delete_document_edges(s, d):
 def reload_document(s, d):
     chunks = entity(s, d, "chunks")
     fresh = chunks.where("document_name like 'conv_2%' and chunk_id = 0").withColumn("text", F.lit("again"))
-    return tr.reload_documents(chunks, fresh).select("document_name", "chunk_id", "text")
+    store = chunk_store(s, chunks)
+    store.apply(fresh, tr.reload_documents)
+    return store.read().select("document_name", "chunk_id", "text")
 
 
 @query('SELECT seq, "user", new_text FROM edits UNION ALL SELECT seq, \'old\', new_text FROM edits WHERE seq % 10 = 0', "edits")
@@ -530,11 +543,25 @@ def src_tables(s, d):
 # Graph
 
 
-@query("WITH o AS (SELECT name, document_name, min(seq) AS first FROM seen_concepts GROUP BY 1, 2), u AS (SELECT name, url, min(seq) AS first FROM seen_concepts GROUP BY 1, 2), l AS (SELECT name, max_by(type, seq) AS type, max_by(description, seq) AS description FROM seen_concepts GROUP BY 1) SELECT name, type, description, (SELECT string_agg(document_name, ',' ORDER BY first) FROM o WHERE o.name = l.name) AS document_name, (SELECT string_agg(url, ',' ORDER BY first) FROM u WHERE u.name = l.name) AS url FROM l", "seen_concepts")
+CONCEPTS = "WITH o AS (SELECT name, document_name, min(seq) AS first FROM seen_concepts GROUP BY 1, 2), u AS (SELECT name, url, min(seq) AS first FROM seen_concepts GROUP BY 1, 2), l AS (SELECT name, max_by(type, seq) AS type, max_by(description, seq) AS description FROM seen_concepts GROUP BY 1) SELECT name, type, description, (SELECT string_agg(document_name, ',' ORDER BY first) FROM o WHERE o.name = l.name) AS document_name, (SELECT string_agg(url, ',' ORDER BY first) FROM u WHERE u.name = l.name) AS url, (SELECT count(*) FROM o WHERE o.name = l.name) AS n_documents FROM l"
+
+
+@query(CONCEPTS, "seen_concepts")
 def merge_concepts(s, d):
     return graph.merge_concepts(entity(s, d, "seen_concepts"))
 
 
+@query(CONCEPTS, "seen_concepts")
+def merge_concepts_in_batches(s, d):
+    # A first batch makes the stores; a second, which knows some of the names, is merged into the buckets that it touches.
+    seen = entity(s, d, "seen_concepts")
+    first = seen.where("seq % 3 <> 0")
+    concepts = Store(s, scratch(s, "concepts"), "name").create(graph.concept_rows(first), 8)
+    sources = Store(s, scratch(s, "sources"), "name").create(graph.concept_sources(first), 8)
+    graph.store_concepts(concepts, sources, seen.where("seq % 3 = 0"))
+    return graph.concept_view(concepts.read(), sources.read())
+
+
 @query("SELECT DISTINCT from_name, to_name, replace(upper(relationship_type), ' ', '_') AS relationship_type FROM relations WHERE from_name IN (SELECT name FROM seen_concepts) AND to_name IN (SELECT name FROM seen_concepts)", "relations", "seen_concepts")
 def relation_edges(s, d):
     return graph.relation_edges(entity(s, d, "relations"), entity(s, d, "seen_concepts")).select("from_name", "to_name", "relationship_type")
