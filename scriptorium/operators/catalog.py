@@ -7,35 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import HIGHLIGHT, norm_title_a, norm_title_b, norm_url, should_update_status
-
-#: Rows of a side of a containment join that may be broadcast; a larger side is met through shared q-grams.
-BROADCAST_ROWS = 100_000
-GRAM = 4
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.count() <= rows
-
-
-def contained_pairs(left: DataFrame, right: DataFrame, a: str, b: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pairs of rows where right's text b, not blank, is inside left's text a.
-
-    A small right side is broadcast. A larger one is joined on the one of its q-grams that the fewest of left's texts
-    hold, so that a common beginning or word makes no hot key; a text with a q-gram that none holds matches nothing, and
-    texts shorter than a q-gram join on themselves.
-    """
-    right = right.where(F.col(b) != "")
-    if small(right, rows):
-        return left.join(F.broadcast(right), F.col(a).contains(F.col(b)))
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(F.col(c), i, F.lit(n)))
-    held = left.withColumn("gram", F.explode(F.array_distinct(F.concat(*(grams(a, n) for n in range(1, GRAM + 1))))))
-    seen = held.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    own = right.select(F.col(b).alias("own")).distinct()
-    own = own.select("own", F.explode(F.array_distinct(F.when(F.length("own") <= GRAM, F.array("own")).otherwise(grams("own", GRAM)))).alias("gram"))
-    rarest = own.join(seen, "gram", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")).alias("r"))
-    rarest = rarest.where("r.seen > 0").select("own", "r.gram")
-    keyed = right.join(rarest, F.col(b) == F.col("own")).drop("own")
-    return held.join(keyed, "gram").where(F.col(a).contains(F.col(b))).drop("gram")
+from scriptorium.operators.contain import contained_pairs
 
 
 def first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -95,9 +67,8 @@ def match_ratio(catalog: DataFrame, files: DataFrame, least: float = 0.8) -> Dat
     names = files.select(norm_title_a(F.col("name")).alias("f"), tidy(F.col("name")).alias("ff")).distinct()
     equal = titles.join(names, F.col("t") == F.col("f"), "left_semi").select("row_no")
     rest = titles.join(equal, "row_no", "left_anti").select("row_no", "tt")
-    pairs = contained_pairs(rest, names.select("ff"), "tt", "ff").unionByName(contained_pairs(names.select("ff"), rest, "ff", "tt"))
-    ratio = F.least(F.length("tt"), F.length("ff")) / F.greatest(F.length("tt"), F.length("ff"))
-    hits = equal.unionByName(pairs.where(ratio > least).select("row_no")).distinct().withColumn("hit", F.lit(True))
+    pairs = contained_pairs(rest, names.select("ff"), "tt", "ff", least).unionByName(contained_pairs(names.select("ff"), rest, "ff", "tt", least))
+    hits = equal.unionByName(pairs.select("row_no")).distinct().withColumn("hit", F.lit(True))
     return catalog.select("row_no").join(hits, "row_no", "left").select("row_no", F.coalesce("hit", F.lit(False)).alias("matched"))
 
 

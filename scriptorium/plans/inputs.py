@@ -10,7 +10,7 @@ K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
 #: Name -> (table, select list), in words that Spark and DuckDB both know.
 ENTITIES: dict[str, tuple[str, str]] = {
     "chunks": ("conversations", "concat('conv_', conv_id, '_combined.txt') as document_name, cast(turn as int) as pos, cast(turn as int) as chunk_id, text, cast(turn * 30 as double) as start_time, cast(turn * 30 + 30 as double) as end_time"),
-    "catalog": ("pages", "page_id as row_no, concat('show ', page_id % 40, case when page_id % 3 = 0 then ' [live]' else '' end) as title, concat('https://www.youtube.com/watch?v=', page_id % 90, '&t=', page_id) as url, case page_id % 5 when 0 then 'pending' when 1 then 'downloaded' when 2 then 'completed' when 3 then 'failed' else 'skipped' end as status, concat('202401', lpad(cast(page_id % 28 + 1 as varchar(9)), 2, '0')) as upload_date"),
+    "catalog": ("pages", "page_id as row_no, concat('show ', cast(floor(page_id / 3) as bigint), case when page_id % 3 = 0 then ' [live]' else '' end) as title, concat('https://www.youtube.com/watch?v=', cast(floor(page_id / 2) as bigint), '&t=', page_id) as url, case page_id % 5 when 0 then 'pending' when 1 then 'downloaded' when 2 then 'completed' when 3 then 'failed' else 'skipped' end as status, concat('202401', lpad(cast(page_id % 28 + 1 as varchar(9)), 2, '0')) as upload_date"),
     "edits": ("events", f"event_id as seq, concat('u', user_id) as user, event_type as document_name, {K} % 10 as chunk_id, cast(null as varchar(9)) as old_text, concat('v', event_id) as new_text, ts"),
     "attempts": ("events", f"user_id, {K} as question_id, case when event_type in ('purchase', 'click') then 1 else 0 end as is_correct, ts as answered_at"),
     "questions": ("labels", "doc_id as id, case quality when 1 then 'choice' else 'boolean' end as type, case when toxic = 1 then 'hard' when doc_id % 2 = 0 then 'easy' else 'normal' end as difficulty, case doc_id % 5 when 0 then 'pending' else 'active' end as status, concat('doc', doc_id % 20) as source_doc, concat('a', doc_id % 4) as correct_answer"),
@@ -56,7 +56,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(NAMES).distinct()
 
 
-NAMES = "concat('show ', s_suppkey % 60, case s_suppkey % 4 when 1 then ' [live]' when 2 then ' part 2' when 3 then '  [LIVE]' else '' end) as name"
+NAMES = "concat('show ', s_suppkey, case s_suppkey % 4 when 1 then ' [live]' when 2 then ' part 2' when 3 then '  [LIVE]' else '' end) as name"
 NAMES_SQL = f"names AS (SELECT DISTINCT {NAMES} FROM supplier)"
 
 

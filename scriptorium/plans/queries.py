@@ -428,22 +428,22 @@ def match_summary(s, d):
     return cat.match_summary(cat.join_listing(names(s, d).withColumnRenamed("name", "title"), entity(s, d, "catalog")).withColumn("url", F.nullif("url", F.lit(""))))
 
 
-@query("SELECT page_id AS id FROM pages WHERE page_id % 120 NOT IN (SELECT row_no % 90 FROM catalog)", "catalog")
+@query("SELECT page_id AS id FROM pages WHERE page_id NOT IN (SELECT row_no // 2 FROM catalog)", "catalog")
 def new_videos(s, d):
-    listing = read(s, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("https://youtu.be/"), F.col("page_id") % 120, F.lit("?t=1")).alias("url"))
+    listing = read(s, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("https://youtu.be/"), "page_id", F.lit("?t=1")).alias("url"))
     return cat.new_videos(listing, entity(s, d, "catalog")).select("id")
 
 
-@query("SELECT row_no % 60 AS id, min_by(title, row_no) AS title FROM catalog GROUP BY 1", "catalog")
+@query("SELECT row_no // 2 AS id, min_by(title, row_no) AS title FROM catalog GROUP BY 1", "catalog")
 def union_listings(s, d):
-    c = entity(s, d, "catalog").select((F.col("row_no") % 60).alias("id"), "title", F.col("row_no").alias("pos"))
+    c = entity(s, d, "catalog").select(F.expr("row_no div 2").alias("id"), "title", F.col("row_no").alias("pos"))
     return cat.union_listings(c, c.withColumn("title", F.lit("later"))).select("id", "title")
 
 
-@query("SELECT 'https://www.youtube.com/watch?v=' || row_no % 90 AS url, CASE WHEN row_no % 90 < 30 THEN 'new' ELSE min_by(title, row_no) END AS title, min_by(status, row_no) AS status FROM catalog GROUP BY row_no % 90", "catalog")
+@query("SELECT 'https://www.youtube.com/watch?v=' || row_no // 2 AS url, CASE WHEN row_no // 2 % 3 = 0 THEN 'new' ELSE min_by(title, row_no) END AS title, min_by(status, row_no) AS status FROM catalog GROUP BY row_no // 2", "catalog")
 def upsert_video(s, d):
     c = entity(s, d, "catalog")
-    fresh = c.where("row_no % 90 < 30").select("row_no", "url", F.lit("new").alias("title"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("upload_date"))
+    fresh = c.where("row_no div 2 % 3 = 0").select("row_no", "url", F.lit("new").alias("title"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("upload_date"))
     return cat.upsert_videos(c, fresh).select("url", "title", "status")
 
 
@@ -973,9 +973,9 @@ def stream_edits(s, d):
     return streamed(s, entity(s, d, "edits"), streams.current_texts, keys=["document_name", "chunk_id"])
 
 
-@query("SELECT DISTINCT 'https://www.youtube.com/watch?v=' || (page_id % 120) AS url FROM pages WHERE page_id % 120 NOT IN (SELECT row_no % 90 FROM catalog)", "catalog")
+@query("SELECT DISTINCT 'https://www.youtube.com/watch?v=' || page_id AS url FROM pages WHERE page_id NOT IN (SELECT row_no // 2 FROM catalog)", "catalog")
 def stream_catalog(s, d):
-    listing = read(s, d, "pages").select(F.concat(F.lit("https://youtu.be/"), F.col("page_id") % 120).alias("url"))
+    listing = read(s, d, "pages").select(F.concat(F.lit("https://youtu.be/"), "page_id").alias("url"))
     known = entity(s, d, "catalog")
     return streamed(s, listing, lambda stream: streams.unseen_videos(stream, known), "append").select(fn.norm_url(F.col("url")).alias("url"))
 
@@ -1032,7 +1032,7 @@ def job_make_questions(s, d):
     return jobs.make_questions(transcripts(s, d), ask, none, [("choice", "easy"), ("boolean", "hard")], 3).select("document_name", "idx", "type", "difficulty", "question_text")
 
 
-@query("SELECT 'show ' || page_id % 40 || CASE WHEN page_id % 3 = 0 THEN ' [live]' ELSE '' END || '_combined.txt' AS filename, title, min_by(catalog.url, row_no) AS url FROM pages JOIN catalog ON page_id = row_no GROUP BY 1, 2", "catalog")
+@query("SELECT title || '_combined.txt' AS filename, title, min_by(url, row_no) AS url FROM catalog GROUP BY 1, 2", "catalog")
 def job_rerun_list(s, d):
     titles = entity(s, d, "catalog").select("title").distinct()
     files = titles.select(F.concat("title", F.lit("_combined.txt")).alias("document_name"), "title", F.lit("=== Chunk 1 ===\nx").alias("content"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import re
 import wave
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as fn
 from scriptorium.operators import catalog as cat
-from scriptorium.operators import graph, quiz, split
+from scriptorium.operators import contain, graph, quiz, split
 from scriptorium.operators import transcripts as tr
 from scriptorium.plans import jobs
 from scriptorium.sources import audio, tables
@@ -177,8 +178,41 @@ def test_matching(spark):
 def test_containment_join_is_the_same_when_shuffled(spark):
     left = spark.createDataFrame([("alpha beta",), ("ab",), ("b",), ("",), (None,)], "a string")
     right = spark.createDataFrame([("beta",), ("a",), ("ab",), ("alpha beta gamma",), ("",), (None,)], "b string")
-    want = sorted(rows(cat.contained_pairs(left, right, "a", "b")))
-    assert want == [("ab", "a"), ("ab", "ab"), ("alpha beta", "a"), ("alpha beta", "beta")] and sorted(rows(cat.contained_pairs(left, right, "a", "b", rows=0))) == want
+    want = sorted(rows(contain.contained_pairs(left, right, "a", "b")))
+    assert want == [("ab", "a"), ("ab", "ab"), ("alpha beta", "a"), ("alpha beta", "beta")] and sorted(rows(contain.contained_pairs(left, right, "a", "b", work=-1))) == want
+
+
+@pytest.mark.parametrize("least", [None, 0.8, 0.5])
+def test_gram_join_equals_the_nested_loop(spark, least):
+    """Random titles with common beginnings, repeats, blanks, nulls and texts shorter than a q-gram."""
+    r = random.Random(4)
+    title = lambda: "".join(r.choice(["show ", "live", "12", "a", "é", "中文", " "]) for _ in range(r.randrange(9)))
+    names = [title() for _ in range(250)]
+    left = [*names, None, "", "abc", "show live"]
+    right = [*(n[r.randrange(3) : len(n) - r.randrange(3)] for n in names[:150]), *(title() for _ in range(60)), None, "", "a", "live"]
+    a = spark.createDataFrame([(i, x) for i, x in enumerate(left)], "i int, a string")
+    b = spark.createDataFrame([(j, x) for j, x in enumerate(right)], "j int, b string")
+    want = sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x is not None and y and y in x and (least is None or len(y) > least * len(x)))
+    looped = contain.contained_pairs(a, b, "a", "b", least)
+    met = contain.contained_pairs(a, b, "a", "b", least, work=-1)
+    assert len(want) > 50 and sorted(rows(looped.select("i", "j"))) == want == sorted(rows(met.select("i", "j")))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_gram_join_of_a_common_beginning_stays_narrow(spark, monkeypatch):
+    """Texts that all begin alike meet through what tells them apart, and texts don't travel with their q-grams."""
+    a = spark.range(3000).select(F.concat(F.lit("show number "), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" of the season")).alias("a"))
+    b = spark.range(0, 3000, 3).select(F.concat(F.lit("show number "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("b"))
+    kept, write = {}, contain.written
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(contain, "written", keep)
+    assert contain.contained_pairs(a, b, "a", "b", work=-1).count() == 1000
+    assert kept["chosen"].join(kept["seen"], "gram").agg(F.sum("seen")).first()[0] < 40_000  # pairs to check; 3,000,000 in a loop
 
 
 def test_catalog_file(spark, tmp_path):
