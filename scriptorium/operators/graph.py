@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import clean_json, rel_type
@@ -152,9 +153,10 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
 
 def question_context(records: DataFrame, key: str, order: str, rows: int = 50, text: int = 500) -> DataFrame:
     """(key, context): the first records of each key, their text cut, joined line by line."""
-    ranked = records.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rn") <= rows)
     line = F.concat(F.substring("text", 1, text), F.lit(" | "), F.substring("meta", 1, 300))
-    return ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("rn", line.alias("line"))))["line"], "\n").alias("context"))
+    records = records.select(key, order, line.alias("line"))  # cut before they are dealt and ranked
+    ranked = records.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rn") <= rows)
+    return ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("rn", "line")))["line"], "\n").alias("context"))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block_queries: int = 5000, block_vectors: int = 50_000) -> DataFrame:
@@ -232,20 +234,43 @@ def embed(rows: DataFrame, text: str, column: str = "embedding", model: Callable
     return rows.withColumn(column, made if most_tokens is None else F.when(F.col(tokens) <= most_tokens, made))
 
 
-def apply_text_fn(prompts: DataFrame, key: str, function: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
-    """(key, response, error): the function's reply to each prompt; an exception gives null and its message."""
+def embed_in_batches(packed: DataFrame, model: Callable[[list[str]], list[list[float]]] = hash_embed, text: str = "text") -> DataFrame:
+    """packed (document_name, pos, pack, ..) with embedding: the model is called once for each pack, with its texts in order of pos."""
+    schema = T.StructType([*packed.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def embedded(pack: pa.Table) -> pa.Table:
+        pack = pack.sort_by("pos")
+        made = model([x or "" for x in pack[text].to_pylist()])
+        return pack.append_column("embedding", pa.array(made, pa.list_(pa.float32())))
+
+    return packed.groupBy("document_name", "pack").applyInArrow(embedded, schema)
+
+
+def answered(rows: DataFrame, function: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
+    """rows with the function's response to each prompt, and error; all other columns are carried, so that nothing is joined back.
+
+    A null prompt is not asked and gives nulls; an exception gives null and its message.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+    at = rows.columns.index(prompt)
 
     def replied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, errors = [], []
-            for text in batch.column(1).to_pylist():
-                try:
-                    out.append(function(text))
-                    errors.append(None)
-                except Exception as e:  # a model's failure is data here
-                    out.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], [key, "response", "error"])
-
-    kind = dict(prompts.dtypes)[key]
-    return prompts.select(key, prompt).mapInArrow(replied, f"`{key}` {kind}, response string, error string")
+            for text in batch.column(at).to_pylist():
+                reply = error = None
+                if text is not None:
+                    try:
+                        reply = function(text)
+                    except Exception as e:  # a model's failure is data here
+                        error = str(e)
+                out.append(reply)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, "response", "error"])
+
+    return rows.mapInArrow(replied, schema)
+
+
+def apply_text_fn(prompts: DataFrame, key: str, function: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
+    """(key, response, error): the function's reply to each prompt, as in answered()."""
+    return answered(prompts.select(key, prompt), function, prompt).drop(prompt)

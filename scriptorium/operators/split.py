@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import token_count
@@ -18,17 +18,17 @@ SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？]|\n|[^.!?。！？\n]+")
 
 def cut(text: str, size: int) -> list[str]:
     """Pieces of at most `size` characters, each the longest that ends at the best kind of break; they join to the text."""
-    out = []
-    while len(text) > size:
-        at = size
+    out, start = [], 0
+    while len(text) - start > size:
+        at = start + size
         for kind in BREAKS:
-            ends = [m.end() for m in kind.finditer(text, 0, size) if 0 < m.end() <= size]
+            ends = [m.end() for m in kind.finditer(text, start, start + size) if m.end() > start]
             if ends:
                 at = ends[-1]
                 break
-        out.append(text[:at])
-        text = text[at:]
-    return [*out, text] if text else out
+        out.append(text[start:at])
+        start = at
+    return [*out, text[start:]] if start < len(text) else out
 
 
 def overlapped(pieces: list[str], overlap: int) -> list[str]:
@@ -56,21 +56,32 @@ def semantic_split(rows: DataFrame, tokens: Column, text: str = "text", size: in
 
 
 def balanced(reply: str | None) -> str:
-    """The first balanced array of a reply, or its first balanced object in an array, whichever bracket comes first; else an empty array."""
+    """The first balanced array of a reply, or its first balanced object in an array, whichever bracket comes first; else an empty array.
+
+    A bracket that never closes is passed over: of what closes after it, the first that is in nothing else that closes counts.
+    """
     text = re.sub(r"(?s)<think>.*?</think>|```(json)?", "", reply or "")
-    start = next((i for i, c in enumerate(text) if c in "[{"), None)
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)) if start is not None else ():
-        c = text[i]
+    opened: list[int] = []
+    closed: list[tuple[int, int]] = []
+    quoted = escaped = False
+    for i, c in enumerate(text):
         if quoted:
             quoted, escaped = escaped or c != '"', not escaped and c == "\\"
-            continue
-        quoted = c == '"'
-        depth += (c in "[{") - (c in "]}")
-        if not depth and c in "]}":
-            found = text[start : i + 1]
-            return found if found[0] == "[" else f"[{found}]"
-    return "[]"
+        elif c in "[{":
+            opened.append(i)
+        elif opened and c == '"':
+            quoted = True
+        elif opened and c in "]}":
+            start = opened.pop()
+            while closed and closed[-1][0] > start:
+                closed.pop()
+            closed.append((start, i + 1))
+            if not opened:
+                break
+    if not closed:
+        return "[]"
+    found = text[slice(*closed[0])]
+    return found if found[0] == "[" else f"[{found}]"
 
 
 def count_tokens(text: Column, counter: Callable[[list[str]], list[int]] | None = None) -> Column:
@@ -85,23 +96,44 @@ def count_tokens(text: Column, counter: Callable[[list[str]], list[int]] | None
     return counted(F.coalesce(text, F.lit("")))
 
 
-def vocabulary_counter(ranks: bytes, pattern: str) -> Callable[[list[str]], list[int]]:
-    """A counting function for a byte-pair vocabulary: lines of a base64 token and its rank, and the pattern that cuts texts."""
+def vocabulary_counter(ranks: bytes, pattern: str, most: int = 200_000) -> Callable[[list[str]], list[int]]:
+    """A counting function for a byte-pair vocabulary: lines of a base64 token and its rank, and the pattern that cuts texts.
+
+    Each distinct pre-token is merged by the ranks once and remembered, up to `most` of them in a task. A text counts the sum
+    over its pre-tokens, as the encoder never joins two of them; the pattern runs outside the encoder, which can't take
+    very long runs of white space.
+    """
     made: list = []
 
     def count(texts: list[str]) -> list[int]:
         if not made:  # built in the task
             import base64
 
+            import regex
             import tiktoken
 
             pairs = (line.split() for line in ranks.splitlines() if line)
-            made.append(tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}))
-        return [len(x) for x in made[0].encode_ordinary_batch(texts, num_threads=1)]
+            made.extend((tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}), regex.compile(pattern), {}))
+        encoding, cutter, known = made
+        out = []
+        for text in texts:
+            if len(known) > most:
+                known.clear()
+            pieces = cutter.findall(text)
+            for piece in set(pieces) - known.keys():
+                known[piece] = len(encoding._encode_single_piece(piece))
+            out.append(sum(map(known.__getitem__, pieces)))
+        return out
 
     return count
 
 
+def read_counter(spark: SparkSession, path: str, pattern: str) -> Callable[[list[str]], list[int]]:
+    """vocabulary_counter of a file of ranks that Spark can read."""
+    data = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0]
+    return vocabulary_counter(bytes(data), pattern)
+
+
 QUESTION = "array<struct<question_text:string,options:array<string>,correct_answer:string,explanation:string>>"
 
 

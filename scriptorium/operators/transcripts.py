@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,34 +28,64 @@ def clean_residue(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"^[0-9.]+s\]\s*===\s*", ""), "^={2,3}\\s*", ""))
 
 
-def parse_chunks(files: DataFrame) -> DataFrame:
+#: Places of one document that may meet in a task when they are counted or numbered.
+SPAN = 100_000
+
+
+def running(rows: DataFrame, key: str, at: str, hit: Column, long: Column, name: str = "count", span: int = SPAN) -> DataFrame:
+    """rows with `name`: how many hits a key has up to this row in order of at, a whole number from 0 on.
+
+    Two levels: each span of places of a key is counted by itself, the counts of a key's spans are added up (one row each), and
+    a span's rows go on from there. So no task holds more than a span's places of one key. Only keys that are long (a
+    column of rows, true wherever a key may have places beyond a span) take part in the first two steps.
+    """
+    start = F.coalesce(F.floor(F.col(at) / span), F.lit(-(1 << 62)))  # places that are null come first
+    rows = rows.withColumns({"own hit": F.when(hit, 1).otherwise(0), "own span": start, "own carried": F.lit(False)})
+    counts = rows.where(long).groupBy(key, "own span").agg(F.sum("own hit").alias("own hit"))
+    before = F.sum("own hit").over(Window.partitionBy(key).orderBy("own span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = counts.select(key, "own span", F.coalesce(before, F.lit(0)).alias("own hit"), F.lit(True).alias("own carried"))
+    order = Window.partitionBy(key, "own span").orderBy(F.col("own carried").desc(), at)
+    every = rows.unionByName(carried, allowMissingColumns=True).withColumn(name, F.sum("own hit").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return every.where(~F.col("own carried")).drop("own hit", "own span", "own carried")
+
+
+def parse_chunks(files: DataFrame, span: int = SPAN) -> DataFrame:
     """(document_name, pos, chunk_id, text, start_time, end_time) of files (document_name, content).
 
     Blocks without a header line and a body are dropped; chunk_id is the header's number less one, pos counts what is left.
     """
-    blocks = files.select("document_name", F.posexplode(F.slice(F.split(unified(F.col("content")), MARK), 2, 1 << 30)).alias("block", "raw"))
+    blocks = files.select("document_name", (F.length("content") > span).alias("long"), F.posexplode(F.slice(F.split(unified(F.col("content")), MARK), 2, 1 << 30)).alias("block", "raw"))
+    kept = parsed_blocks(blocks, "document_name", "block", "long")
+    return running(kept, "document_name", "block", F.lit(True), F.col("long"), "pos", span).select("document_name", (F.col("pos") - 1).cast("int").alias("pos"), *PARSED)
+
+
+PARSED = ("chunk_id", "text", "start_time", "end_time")
+
+
+def parsed_blocks(blocks: DataFrame, *carry: str) -> DataFrame:
+    """(carry.., chunk_id, text, start_time, end_time) of blocks (raw: what stands after a mark) that have a numbered header line and a body."""
     body = strip(F.col("raw"))
-    parts = blocks.select("document_name", "block", F.substring_index(body, "\n", 1).alias("header"), strip(F.regexp_extract(body, r"(?s)^[^\n]*\n(.*)$", 1)).alias("body"))
+    parts = blocks.select(*carry, F.substring_index(body, "\n", 1).alias("header"), strip(F.regexp_extract(body, r"(?s)^[^\n]*\n(.*)$", 1)).alias("body"))
     number = F.regexp_extract("header", r"([0-9]+)", 1).try_cast("int")
     time = lambda i: F.nullif(F.regexp_extract("header", r"\[([0-9.]+)s - ([0-9.]+)s\]", i), F.lit("")).try_cast("double")
     kept = parts.where((F.col("body") != "") & number.isNotNull())
-    pos = F.row_number().over(Window.partitionBy("document_name").orderBy("block")) - 1
-    return kept.select("document_name", pos.alias("pos"), (number - 1).alias("chunk_id"), clean_residue(F.col("body")).alias("text"), time(1).alias("start_time"), time(2).alias("end_time"))
+    return kept.select(*carry, (number - 1).alias("chunk_id"), clean_residue(F.col("body")).alias("text"), time(1).alias("start_time"), time(2).alias("end_time"))
 
 
-def _line_blocks(files: DataFrame, is_header: Column) -> DataFrame:
+def _line_blocks(files: DataFrame, is_header: Column, span: int) -> DataFrame:
     """Lines of files with the running number of their block; 0 is what stands before the first header."""
-    lines = files.select("document_name", F.posexplode(F.split(unified(F.col("content")), LINES)).alias("line_no", "line"))
-    return lines.withColumn("block", F.sum(F.when(is_header, 1).otherwise(0)).over(Window.partitionBy("document_name").orderBy("line_no")))
+    lines = files.select("document_name", (F.length("content") > span).alias("long"), F.posexplode(F.split(unified(F.col("content")), LINES)).alias("line_no", "line"))
+    return running(lines, "document_name", "line_no", is_header, F.col("long"), "block", span)
 
 
-def parse_timed(files: DataFrame, joiner: str = " ", blank: bool = True) -> DataFrame:
+def parse_timed(files: DataFrame, joiner: str = " ", blank: bool = True, span: int = SPAN) -> DataFrame:
     """(document_name, pos, start_time, end_time, text): only timed headers open a block; other header lines are text.
 
-    Body lines are stripped and blank ones dropped; texts that look like errors become empty if `blank`.
+    Body lines are stripped and blank ones dropped; texts that look like errors become empty if `blank`. Headers are counted
+    in spans of lines, so that no task holds all lines of a long document.
     """
     timed = F.col("line").rlike(TIMED)
-    lines = _line_blocks(files, timed).where("block > 0")
+    lines = _line_blocks(files, timed, span).where("block > 0")
     line = F.when(~timed & (strip(F.col("line")) != ""), F.struct("line_no", strip(F.col("line")).alias("line")))
     time = lambda i: F.max(F.when(timed, F.regexp_extract("line", TIMED, i).try_cast("double")))
     blocks = lines.groupBy("document_name", "block").agg(F.sort_array(F.collect_list(line)).alias("ls"), time(1).alias("start_time"), time(2).alias("end_time"))
@@ -62,13 +93,13 @@ def parse_timed(files: DataFrame, joiner: str = " ", blank: bool = True) -> Data
     return blocks.select("document_name", (F.col("block") - 1).cast("int").alias("pos"), "start_time", "end_time", (blank_errors(text) if blank else text).alias("text"))
 
 
-def parse_quiz(files: DataFrame, longer_than: int = 80) -> DataFrame:
+def parse_quiz(files: DataFrame, longer_than: int = 80, span: int = SPAN) -> DataFrame:
     """(document_name, idx, text): blocks under any chunk header, also what stands before the first, longer than so many characters."""
     header = F.col("line").rlike("^=== Chunk [0-9]+")
     line = F.when(~header & (strip(F.col("line")) != ""), F.struct("line_no", strip(F.col("line")).alias("line")))
-    texts = _line_blocks(files, header).groupBy("document_name", "block").agg(F.array_join(F.sort_array(F.collect_list(line))["line"], " ").alias("text"))
+    texts = _line_blocks(files, header, span).groupBy("document_name", "block").agg(F.array_join(F.sort_array(F.collect_list(line))["line"], " ").alias("text"), F.first("long").alias("long"))
     kept = texts.where(F.length("text") > longer_than)
-    return kept.select("document_name", (F.row_number().over(Window.partitionBy("document_name").orderBy("block")) - 1).alias("idx"), "text")
+    return running(kept, "document_name", "block", F.lit(True), F.col("long"), "idx", span).select("document_name", (F.col("idx") - 1).cast("int").alias("idx"), "text")
 
 
 def first_chunks(files: DataFrame, chunks: int = 10, documents: int | None = None) -> DataFrame:
@@ -77,9 +108,14 @@ def first_chunks(files: DataFrame, chunks: int = 10, documents: int | None = Non
     return parse_quiz(picked).where(F.col("idx") < chunks)
 
 
+def numbers(chunks: DataFrame, name: str, span: int = SPAN) -> DataFrame:
+    """chunks with `name`: 1, 2, .. within a document in order of pos, counted in spans of pos."""
+    return running(chunks, "document_name", "pos", F.lit(True), F.lit(True), name, span)
+
+
 def renumber(chunks: DataFrame) -> DataFrame:
     """chunks with number: 1, 2, .. within a document in order of pos."""
-    return chunks.withColumn("number", F.row_number().over(Window.partitionBy("document_name").orderBy("pos")))
+    return numbers(chunks, "number").withColumn("number", F.col("number").cast("int"))
 
 
 def parse_numbered(files: DataFrame) -> DataFrame:
@@ -92,8 +128,8 @@ def parse_numbered(files: DataFrame) -> DataFrame:
 
 def serialize(chunks: DataFrame, renumber: bool = True) -> DataFrame:
     """(document_name, content): blocks in order of pos, numbered from 1, or by chunk_id + 1."""
-    number = F.row_number().over(Window.partitionBy("document_name").orderBy("pos")) if renumber else F.col("chunk_id") + 1
-    block = F.concat(fmt_header(number, F.col("start_time"), F.col("end_time")), F.lit("\n"), "text", F.lit("\n"))
+    chunks = numbers(chunks, "number") if renumber else chunks.withColumn("number", F.col("chunk_id") + 1)
+    block = F.concat(fmt_header(F.col("number"), F.col("start_time"), F.col("end_time")), F.lit("\n"), "text", F.lit("\n"))
     blocks = chunks.select("document_name", "pos", block.alias("block"))
     return blocks.groupBy("document_name").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "block")))["block"], "\n").alias("content"))
 
@@ -190,37 +226,87 @@ def block_exits(tokens: np.ndarray, most: int, rows: int) -> tuple[np.ndarray, l
     return sums, last[:entries], packs[:entries]
 
 
-def pack(chunks: DataFrame, most: int, rows: int | None = None, block_rows: int = 50_000) -> DataFrame:
+def runs_of(values: pa.ChunkedArray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    codes = values.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    return np.r_[np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]), len(codes)] if len(codes) else np.zeros(1, np.int64)
+
+
+def numbered(block: pa.Table, begun: dict, most: int, rows: int) -> pa.Table:
+    """(document_name, pos, pack) of a block in order. begun: document that goes on from before -> (row of its first start here, number of the pack that is open)."""
+    edges, weight = runs_of(block["document_name"]), block["weight"].to_numpy()
+    sums, at = np.r_[0, np.cumsum(weight)], np.arange(len(weight))
+    ends = np.repeat(edges[1:], np.diff(edges))
+    after = np.minimum(np.maximum(np.minimum(np.searchsorted(sums, sums[:-1] + most, "right") - 1, at + rows), at + 1), ends).tolist()
+    starts, base = np.zeros(len(weight), np.int64), np.full(len(edges) - 1, -1)
+    for i, (first, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        row = first
+        if begun and i in (0, len(edges) - 2):  # no other document crosses the block's border
+            skipped, base[i] = begun.get(block["document_name"][first].as_py(), (0, -1))
+            row += skipped
+        while row < end:
+            starts[row], row = 1, after[row]
+    count = np.cumsum(starts)
+    before = (count - starts)[edges[:-1]] if len(weight) else count
+    pack = count - np.repeat(before - base, np.diff(edges))
+    return pa.table([block["document_name"], block["pos"], pa.array(pack.astype(np.int32))], ["document_name", "pos", "pack"])
+
+
+def pack(chunks: DataFrame, most: int, rows: int | None = None, block_rows: int = 200_000) -> DataFrame:
     """chunks (document_name, pos, tokens, ..) with pack: consecutive chunks together as long as they stay within the limits.
 
     A chunk that is too large, or whose tokens are null, stands alone. Tokens are not negative, pos tells the chunks of a
     document apart, and a null document_name is a document of its own. Narrow rows are dealt in order to blocks of about
-    block_rows, whatever documents they hold. Each block tells where packing would leave it for each row at which a pack
-    from before may end (no more than one pack's rows); one step for each block of a document then gives the block's first
-    start, and the blocks number their packs. So no task holds more than a block's rows, or one row for each block of a
-    document with the entries of that block.
+    block_rows, whatever documents they hold, and each block numbers the packs of its documents at once. Where there are
+    several blocks, only their first and last documents can cross a border: for these, each block tells where packing would
+    leave it for each row at which a pack from before may end (no more than one pack's rows), and one step for each
+    block of such a document then gives the block's first start. So no task holds more than a block's rows, or one row for
+    each block of a document with the entries of that block.
     """
     limit = 1 << 60 if rows is None else rows
     weight = F.coalesce(F.col("tokens").cast("long"), F.lit(most + 1).cast("long"))
     narrow = chunks.select("document_name", "pos", weight.alias("weight"))
     n = max(1, -(-narrow.count() // block_rows))
-    dealt = written(narrow.repartitionByRange(n, "document_name", "pos").withColumn("block", F.spark_partition_id()), "blocks")
     name, pos = (f"{c} {chunks.schema[c].dataType.simpleString()}" for c in ("document_name", "pos"))
+    out = f"{name}, {pos}, pack int"
+    if n == 1:
+        packed = narrow.repartition(1).sortWithinPartitions("document_name", "pos").mapInArrow(lambda batches: _one_block(batches, most, limit), out)
+    else:
+        packed = _over_blocks(narrow, n, most, limit, name).applyInArrow(lambda block, begun: numbered(block.sort_by("row"), _begun(begun), most, limit), out)
+    packed = packed.withColumnsRenamed({"document_name": "of", "pos": "at"})
+    return chunks.join(packed, F.col("document_name").eqNullSafe(F.col("of")) & F.col("pos").eqNullSafe(F.col("at"))).drop("of", "at")
+
+
+def _one_block(batches: Iterator[pa.RecordBatch], most: int, rows: int) -> Iterator[pa.RecordBatch]:
+    if held := [b for b in batches if b.num_rows]:
+        yield from numbered(pa.Table.from_batches(held), {}, most, rows).to_batches(max_chunksize=10_000)
+
 
-    def in_order(block: pa.Table) -> pa.Table:
-        return block.take(pc.sort_indices(block, [("pos", "ascending")], null_placement="at_start"))
+def _begun(rows: pa.Table) -> dict:
+    return {n: (f, b) for n, f, b in zip(*(rows[c].to_pylist() for c in ("document_name", "first", "base")), strict=True)}
+
+
+def _over_blocks(narrow: DataFrame, n: int, most: int, limit: int, name: str):
+    """Blocks (document_name, pos, weight, row) cogrouped with the starts of documents that cross their borders."""
+    ordered = narrow.repartitionByRange(n, "document_name", "pos").sortWithinPartitions("document_name", "pos")
+    dealt = written(ordered.withColumns({"block": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "blocks")
 
     def exits(block: pa.Table) -> pa.Table:
-        block = in_order(block)
-        sums, last, packs = block_exits(block["weight"].to_numpy(), most, limit)
-        size = len(block)
-        listed = [pa.array([x], pa.list_(pa.int64())) for x in (sums[: len(last)], sums[size] - sums[last], size - np.array(last), packs)]
-        return pa.table([block["document_name"].slice(0, 1), block["block"].slice(0, 1), pa.array([int(sums[size])]), pa.array([size]), *listed], ["document_name", "block", "total", "size", "before", "open_sum", "open_rows", "packs"])
+        """A row for the first and the last document of a block."""
+        block = block.sort_by("row")
+        edges, out = runs_of(block["document_name"]), []
+        for i in sorted({0, len(edges) - 2}):
+            part = block.slice(edges[i], edges[i + 1] - edges[i])
+            sums, last, packs = block_exits(part["weight"].to_numpy(), most, limit)
+            size = len(part)
+            listed = [pa.array([x], pa.list_(pa.int64())) for x in (sums[: len(last)], sums[size] - sums[last], size - np.array(last), packs)]
+            out.append(pa.table([part["document_name"].slice(0, 1), part["block"].slice(0, 1), pa.array([int(sums[size])]), pa.array([size]), *listed], ["document_name", "block", "total", "size", "before", "open_sum", "open_rows", "packs"]))
+        return pa.concat_tables(out)
 
     def walk(blocks: pa.Table) -> pa.Table:
         total = held = 0
         no, first, base = -1, [], []
-        blocks = blocks.take(pc.sort_indices(blocks, [("block", "ascending")]))
+        blocks = blocks.sort_by("block")
         for i in range(len(blocks)):
             size, before = blocks["size"][i].as_py(), blocks["before"][i].values.to_numpy()
             start = 0 if no < 0 else min(max(int(np.searchsorted(before, most - total, "right")) - 1, 0), limit - held)
@@ -234,28 +320,28 @@ def pack(chunks: DataFrame, most: int, rows: int | None = None, block_rows: int
                 no += blocks["packs"][i].values[start].as_py()
         return pa.table([blocks["document_name"], blocks["block"], pa.array(first, pa.int64()), pa.array(base, pa.int64())], ["document_name", "block", "first", "base"])
 
-    def numbered(block: pa.Table) -> pa.Table:
-        block = in_order(block)
-        sums = np.r_[0, np.cumsum(block["weight"].to_numpy())]
-        after, starts, at = next_starts(sums, most, limit).tolist(), np.zeros(len(block), np.int64), block["first"][0].as_py()
-        while at < len(block):
-            starts[at], at = 1, after[at]
-        return pa.table([block["document_name"], block["pos"], pa.array((block["base"][0].as_py() + np.cumsum(starts)).astype(np.int32))], ["document_name", "pos", "pack"])
-
     lists = ", ".join(f"{c} array<long>" for c in ("before", "open_sum", "open_rows", "packs"))
-    told = written(dealt.groupBy("document_name", "block").applyInArrow(exits, f"{name}, block int, total long, size long, {lists}"), "exits")
-    begun = told.groupBy("document_name").applyInArrow(walk, f"{name}, block int, first long, base long").withColumnsRenamed({"document_name": "of", "block": "in"})
-    entered = dealt.join(begun, F.col("document_name").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in"))).drop("of", "in")
-    packed = entered.groupBy("document_name", "block").applyInArrow(numbered, f"{name}, {pos}, pack int")
-    packed = packed.withColumnsRenamed({"document_name": "of", "pos": "at"})
-    return chunks.join(packed, F.col("document_name").eqNullSafe(F.col("of")) & F.col("pos").eqNullSafe(F.col("at"))).drop("of", "at")
+    told = written(dealt.groupBy("block").applyInArrow(exits, f"{name}, block int, total long, size long, {lists}"), "exits")
+    begun = told.groupBy("document_name").applyInArrow(walk, f"{name}, block int, first long, base long")
+    return dealt.groupBy("block").cogroup(begun.groupBy("block"))
 
 
 def join_packs(packed: DataFrame, separator: str = "\n\n", prefix: str = "id ") -> DataFrame:
-    """(document_name, pack, text, members): the first piece bare, later ones after `id {i}: `, i counting within the pack."""
+    """(document_name, pack, text, members, tokens): the first piece bare, later ones after `id {i}: `, i counting within the pack.
+
+    members are the positions of a pack's pieces in order, tokens their sum (of a column tokens, if there is one).
+    """
+    tokens = F.sum("tokens") if "tokens" in packed.columns else F.lit(None).cast("long")
     parts = F.sort_array(F.collect_list(F.struct("pos", "text")))
     joined = F.array_join(F.transform("parts", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(F.lit(prefix), i.cast("string"), F.lit(": "), x["text"]))), separator)
-    return packed.groupBy("document_name", "pack").agg(parts.alias("parts")).select("document_name", "pack", strip(joined).alias("text"), F.col("parts.pos").alias("members"))
+    return packed.groupBy("document_name", "pack").agg(parts.alias("parts"), tokens.alias("tokens")).select("document_name", "pack", strip(joined).alias("text"), F.col("parts.pos").alias("members"), "tokens")
+
+
+def join_groups(groups: DataFrame, separator: str = "\n---\n") -> DataFrame:
+    """(document_name, grp, text, packs, members, tokens) of groups (document_name, grp, pos: the pack, text, members, tokens): packs in order."""
+    parts = F.sort_array(F.collect_list(F.struct("pos", "text", "members")))
+    held = groups.groupBy("document_name", "grp").agg(parts.alias("parts"), F.sum("tokens").alias("tokens"))
+    return held.select("document_name", "grp", F.array_join("parts.text", separator).alias("text"), F.col("parts.pos").alias("packs"), F.flatten("parts.members").alias("members"), "tokens")
 
 
 def fixed_windows(audio: DataFrame, seconds: int = 30) -> DataFrame:

@@ -70,3 +70,13 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
+
+
+#: Lines of the documents as chunks, the same in SQL.
+LINES_SQL = "lines AS (SELECT *, length(text)::INT AS tokens FROM (SELECT concat('doc', doc_id) AS document_name, (generate_subscripts(parts, 1) - 1)::INT AS pos, unnest(parts) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_name, pos, text, tokens): the lines of each document; tokens are characters here."""
+    docs = documents(spark, sf_dir).select(F.concat(F.lit("doc"), "doc_id").alias("document_name"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    return docs.withColumn("tokens", F.length("text"))

@@ -7,26 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import blank_errors, build_prompt, clean_choice, concept_text, merge_choice, token_count
+from scriptorium.functions.text import blank_errors, build_prompt, clean_choice, concept_text, merge_choice
 from scriptorium.operators import catalog as cat
 from scriptorium.operators import graph, quiz, split, transcripts
 from scriptorium.sources.scratch import written
 
 TextFn = Callable[[str], str]
+Counter = Callable[[list[str]], list[int]]
 
 
-def build_graph(files: DataFrame, videos: DataFrame, extract: TextFn, joined: int = 10_000, grouped: int = 40_000) -> dict[str, DataFrame]:
-    """Documents, chunks, concepts, mentions and relations of transcripts (document_name, title, content)."""
-    chunks = transcripts.parse_chunks(files).withColumn("tokens", token_count(F.col("text")))
+def build_graph(files: DataFrame, videos: DataFrame, extract: TextFn, joined: int = 10_000, grouped: int = 40_000, counter: Counter | None = None) -> dict[str, DataFrame]:
+    """Documents, chunks, concepts, mentions and relations of transcripts (document_name, title, content).
+
+    counter: a counting function of batches of texts, such as that of a vocabulary (split.read_counter); else a count without one.
+    """
+    tokens = lambda c: split.count_tokens(F.col(c), counter)
+    chunks = transcripts.parse_chunks(files).withColumn("tokens", tokens("text"))
     urls = cat.join_url(files.select(F.col("title").alias("name")), videos).join(files.select(F.col("title").alias("name"), "document_name"), "name")
     chunks = chunks.join(urls.select("document_name", "url"), "document_name", "left")
     packs = transcripts.pack(chunks, joined)
-    texts = transcripts.join_packs(packs).withColumns({"tokens": token_count(F.col("text")), "pos": F.col("pack")})
-    groups = transcripts.pack(texts.drop("pack"), grouped).withColumnRenamed("pack", "grp")
-    prompts = groups.groupBy("document_name", "grp").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], "\n---\n").alias("prompt"))
-    prompts = prompts.withColumn("key", F.concat_ws("\t", "document_name", "grp"))
+    texts = transcripts.join_packs(packs).withColumns({"tokens": tokens("text"), "pos": F.col("pack")})
+    groups = written(transcripts.pack(texts.drop("pack"), grouped).withColumnRenamed("pack", "grp"), "groups")
+    prompts = transcripts.join_groups(groups).withColumnRenamed("text", "prompt")
     # Written once, as several tables are made of them: the model is asked once for each prompt.
-    replies = written(graph.apply_text_fn(prompts, "key", extract), "replies").join(prompts.select("key", "document_name", "grp"), "key")
+    replies = written(graph.answered(prompts.select("document_name", "grp", "prompt"), extract).drop("prompt"), "replies")
     concepts, relations = graph.extract_payload(replies, "document_name", "grp")
     # Positions of the original chunks that a group holds, for concepts that don't say where they come from.
     members = groups.select("document_name", "grp", F.explode("members").alias("pos")).join(chunks.select("document_name", "pos", "text"), ["document_name", "pos"])
@@ -52,19 +56,16 @@ def edited_transcript(files: DataFrame, log: DataFrame, new_edits: DataFrame) ->
 def merge_asr(first: DataFrame, second: DataFrame, merge: TextFn, template: str = "") -> DataFrame:
     """(title, pos, start_time, end_time, text) of two recognitions (title, pos, start_time, end_time, text)."""
     blank = lambda df: df.withColumn("text", blank_errors(F.col("text")))
-    both = transcripts.align(blank(first), blank(second)).withColumn("key", F.concat_ws("\t", "title", "pos"))
-    asked = both.where("text <> '' and second <> ''").withColumn("prompt", F.concat(build_prompt(template, F.col("text"), 2000), F.lit("\n"), F.substring("second", 1, 2000)))
-    replies = graph.apply_text_fn(asked, "key", merge)
-    out = both.join(replies, "key", "left")
+    both = transcripts.align(blank(first), blank(second))
+    prompt = F.when((F.col("text") != "") & (F.col("second") != ""), F.concat(build_prompt(template, F.col("text"), 2000), F.lit("\n"), F.substring("second", 1, 2000)))
+    out = graph.answered(both.withColumn("prompt", prompt), merge)
     return out.select("title", "pos", "start_time", "end_time", merge_choice(F.col("text"), F.col("second"), F.col("response")).alias("text"))
 
 
 def postprocess(chunks: DataFrame, clean: TextFn, template: str = "") -> DataFrame:
     """chunks with cleaned text: rules first, then the model's reply where it gives one."""
-    keyed = chunks.withColumn("key", F.concat_ws("\t", "document_name", "pos"))
-    asked = keyed.where(F.col("text") != "").withColumn("prompt", build_prompt(template, F.col("text"), 3000))
-    out = keyed.join(graph.apply_text_fn(asked, "key", clean), "key", "left")
-    return out.withColumn("text", clean_choice(F.col("text"), F.col("response"))).select(*chunks.columns)
+    asked = chunks.withColumn("prompt", F.when(F.col("text") != "", build_prompt(template, F.col("text"), 3000)))
+    return graph.answered(asked, clean).withColumn("text", clean_choice(F.col("text"), F.col("response"))).select(*chunks.columns)
 
 
 def make_questions(files: DataFrame, ask: TextFn, done: DataFrame, kinds: list[tuple[str, str]], chunks: int = 10, template: str = "") -> DataFrame:
@@ -72,9 +73,8 @@ def make_questions(files: DataFrame, ask: TextFn, done: DataFrame, kinds: list[t
     spark = files.sparkSession
     wanted = spark.createDataFrame(kinds, "type string, difficulty string")  # a handful of pairs
     todo = transcripts.parse_quiz(files).where(F.col("idx") < chunks).crossJoin(F.broadcast(wanted)).join(done, ["document_name", "type", "difficulty"], "left_anti")
-    todo = todo.withColumns({"key": F.concat_ws("\t", "document_name", "idx", "type", "difficulty"), "prompt": build_prompt(template, F.col("text"), 2500)})
-    replies = graph.apply_text_fn(todo, "key", ask).join(todo.select("key", "document_name", "idx", "type", "difficulty"), "key")
-    return quiz.valid_questions(split.parse_llm_json(replies.drop("key", "error"))).withColumn("status", F.lit("pending"))
+    replies = graph.answered(todo.withColumn("prompt", build_prompt(template, F.col("text"), 2500)), ask).select("document_name", "idx", "type", "difficulty", "response")
+    return quiz.valid_questions(split.parse_llm_json(replies)).withColumn("status", F.lit("pending"))
 
 
 def rerun_list(files: DataFrame, videos: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from scriptorium.operators import catalog as cat
 from scriptorium.operators import graph, quiz, split
 from scriptorium.operators import transcripts as tr
 from scriptorium.plans import jobs
-from scriptorium.plans.inputs import NAMES_SQL, documents, entity, names, transcripts, with_entities
+from scriptorium.plans.inputs import LINES_SQL, NAMES_SQL, documents, entity, lines, names, transcripts, with_entities
 from scriptorium.sources import audio, tables
 from scriptorium.sources.scratch import new_path as scratch
 from scriptorium.sources.store import Store
@@ -62,9 +62,18 @@ def sink_transcripts(s, d):
     return tr.serialize(entity(s, d, "chunks"))
 
 
-@query("SELECT regexp_replace(document_name, '_combined.txt$', '') AS title, document_name, 'combined' AS kind FROM chunks GROUP BY document_name", "chunks")
+KINDS_SQL = "k AS (SELECT document_name, min(conv) AS conv FROM (SELECT *, regexp_extract(document_name, '([0-9]+)', 1)::BIGINT AS conv FROM chunks) GROUP BY 1), v AS (SELECT 'show ' || conv AS title, CASE conv % 7 WHEN 0 THEN 'combined_edit' WHEN 1 THEN 'combined' WHEN 2 THEN 'merged' WHEN 3 THEN 'cohere_raw' WHEN 4 THEN 'postprocessed' WHEN 5 THEN 'edit_history' END AS kind FROM k)"
+
+
+@query(f"WITH {KINDS_SQL} SELECT title, title || coalesce('_' || kind, '') || '.txt' AS document_name, kind FROM v", "chunks")
 def src_variants(s, d):
-    return transcripts(s, d).select("title", "document_name", "kind")
+    # An archive of transcripts of all kinds of names, and some of none, through the library's reader.
+    number = F.regexp_extract("document_name", "([0-9]+)", 1).cast("long")
+    kind = F.get(F.array(*map(F.lit, tables.KINDS)), (number % 7).cast("int"))
+    name = F.concat(F.lit("show "), number, F.coalesce(F.concat(F.lit("_"), kind), F.lit("")), F.lit(".txt"))
+    path = scratch(s, "archive")
+    tables.archive(transcripts(s, d).select(name.alias("document_name"), "content"), path)
+    return tables.archived(s, path).select("title", "document_name", "kind")
 
 
 @query("SELECT document_name, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS pos, start_time, end_time, CASE WHEN text SIMILAR TO '(?s).*(CUDA|Error:|Traceback|RuntimeError|assert|LAUNCH_BLOCKING|stderr|ImportError|Exception).*' THEN '' ELSE regexp_replace(trim(regexp_replace(text, '[ \\t]*\\n[ \\t\\n]*', ' ', 'g'), E' \\n\\t\\r'), '', '') END AS text FROM chunks", "chunks")
@@ -103,9 +112,9 @@ def renumber(s, d):
     return tr.renumber(entity(s, d, "chunks")).select("document_name", "text", "number")
 
 
-@query("SELECT document_name, to_json({'pos': pos, 'chunk_id': chunk_id})::VARCHAR AS text, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS index FROM chunks", "chunks")
+@query(f"WITH {LINES_SQL} SELECT document_name, to_json({{'pos': pos, 'text': text}})::VARCHAR AS text, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS index FROM lines")
 def row_splitter(s, d):
-    return tr.split_rows(entity(s, d, "chunks"), "pos", "chunk_id")
+    return tr.split_rows(lines(s, d), "pos", "text")
 
 
 @query()
@@ -244,26 +253,39 @@ CUMULATIVE = """WITH RECURSIVE p AS (SELECT document_name, pos, tokens, row_numb
   r AS (SELECT document_name, pos, i, tokens AS total, 1 AS n, 0 AS pack FROM p WHERE i = 1
         UNION ALL SELECT p.document_name, p.pos, p.i, CASE WHEN r.total + p.tokens <= {most} AND r.n < {rows} THEN r.total ELSE 0 END + p.tokens, CASE WHEN r.total + p.tokens <= {most} AND r.n < {rows} THEN r.n ELSE 0 END + 1, r.pack + CASE WHEN r.total + p.tokens <= {most} AND r.n < {rows} THEN 0 ELSE 1 END
         FROM r JOIN p ON p.document_name = r.document_name AND p.i = r.i + 1)"""
-WEIGHED = "SELECT source AS document_name, (doc_id % 1000000)::INT AS pos, n_chars AS tokens FROM documents"
+ENDS = "E' \\n\\t\\r\\f\\v'"
+#: Packs of the documents' lines, with their text and members.
+PACKED_LINES = CUMULATIVE.format(source="lines", most=1000, rows=1 << 30).replace("WITH RECURSIVE ", f"WITH RECURSIVE {LINES_SQL}, ") + f""",
+  k AS (SELECT r.document_name, r.pack, r.pos, l.text, l.tokens, row_number() OVER (PARTITION BY r.document_name, r.pack ORDER BY r.pos) - 1 AS k FROM r JOIN lines l ON l.document_name = r.document_name AND l.pos = r.pos),
+  packs AS (SELECT document_name, pack, trim(string_agg(CASE WHEN k = 0 THEN text ELSE 'id ' || k || ': ' || text END, chr(10) || chr(10) ORDER BY k), {ENDS}) AS text, string_agg(pos, ',' ORDER BY k) AS members, sum(tokens)::BIGINT AS tokens FROM k GROUP BY 1, 2)"""
+GROUPED = CUMULATIVE.format(source="(SELECT document_name, pack AS pos, tokens FROM packs)", most=4000, rows=1 << 30).replace("WITH RECURSIVE p AS", "p2 AS").replace("FROM p WHERE", "FROM p2 WHERE").replace(" r AS (", " r2 AS (").replace("FROM r JOIN p ON", "FROM r2 r JOIN p2 p ON")
+
+
+def packed_lines(s, d):
+    return tr.join_packs(tr.pack(lines(s, d), 1000))
 
 
-def weighed(s, d):
-    return read(s, d, "documents").select(F.col("source").alias("document_name"), F.col("doc_id").cast("int").alias("pos"), F.col("n_chars").alias("tokens"))
+def listed(column):
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
 
-@query(CUMULATIVE.format(source=f"({WEIGHED})", most=10_000, rows=1 << 30) + " SELECT document_name, pos, pack FROM r")
+@query(f"{PACKED_LINES} SELECT * FROM packs")
 def join_small_chunks(s, d):
-    return tr.pack(weighed(s, d), 10_000).select("document_name", "pos", "pack")
+    return packed_lines(s, d).select("document_name", "pack", "text", listed("members"), "tokens")
 
 
-@query(CUMULATIVE.format(source=f"({WEIGHED})", most=40_000, rows=1 << 30) + " SELECT document_name, pack, count(*) AS members FROM r GROUP BY ALL")
+@query(f"{PACKED_LINES}, {GROUPED} SELECT r.document_name, r.pack AS grp, string_agg(text, chr(10) || '---' || chr(10) ORDER BY r.pos) AS text, string_agg(r.pos, ',' ORDER BY r.pos) AS packs, string_agg(members, ',' ORDER BY r.pos) AS members, sum(tokens)::BIGINT AS tokens FROM r2 r JOIN packs ON packs.document_name = r.document_name AND packs.pack = r.pos GROUP BY 1, 2")
 def group_by_tokens(s, d):
-    return tr.pack(weighed(s, d), 40_000).groupBy("document_name", "pack").agg(F.count(F.lit(1)).alias("members"))
+    packs = packed_lines(s, d).withColumnRenamed("pack", "pos")
+    groups = tr.join_groups(tr.pack(packs, 4000).withColumnRenamed("pack", "grp"))
+    return groups.select("document_name", "grp", "text", listed("packs"), listed("members"), "tokens")
 
 
-@query(CUMULATIVE.format(source=f"({WEIGHED})", most=200_000, rows=100) + " SELECT document_name, pack, count(*) AS members, min(pos) AS first FROM r GROUP BY ALL")
+@query(CUMULATIVE.format(source="lines", most=5000, rows=20).replace("WITH RECURSIVE ", f"WITH RECURSIVE {LINES_SQL}, ") + " SELECT r.document_name, r.pos, r.pack, length(l.text) AS chars, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY r.document_name, r.pack) AS calls_rows FROM r JOIN lines l ON l.document_name = r.document_name AND l.pos = r.pos WINDOW w AS (PARTITION BY r.document_name, r.pack ORDER BY r.pos)")
 def embed_batches(s, d):
-    return tr.pack(weighed(s, d), 200_000, 100).groupBy("document_name", "pack").agg(F.count(F.lit(1)).alias("members"), F.min("pos").alias("first"))
+    # A model that tells of its call: each text's length, its place in the call and how many texts the call had.
+    told = graph.embed_in_batches(tr.pack(lines(s, d), 5000, 20), lambda texts: [[len(t), i, len(texts)] for i, t in enumerate(texts)])
+    return told.select("document_name", "pos", "pack", *(F.col("embedding")[i].cast("long").alias(c) for i, c in enumerate(("chars", "place", "calls_rows"))))
 
 
 @query(CUMULATIVE.format(source="(SELECT document_name, pos, length(text) AS tokens FROM chunks)", most=300, rows=1 << 30).replace("WITH RECURSIVE ", "WITH ") + ", i AS (SELECT r.document_name, r.pack, r.pos, c.text, row_number() OVER (PARTITION BY r.document_name, r.pack ORDER BY r.pos) - 1 AS k FROM r JOIN chunks c ON c.document_name = r.document_name AND c.pos = r.pos) SELECT document_name, pack, trim(string_agg(CASE WHEN k = 0 THEN text ELSE 'id ' || k || ': ' || text END, chr(10) || chr(10) ORDER BY k), E' \\n\\t\\r') AS text, string_agg(pos, ',' ORDER BY k) AS members FROM i GROUP BY 1, 2", "chunks")
@@ -390,12 +412,19 @@ def sink_catalog(s, d):
     return tables.catalog(s, path).drop("row_no")
 
 
+def text_files(s, d):
+    """A folder of text files, one for each transcript; as Spark names them, each begins with a line that says which it is."""
+    path = scratch(s, "texts")
+    tables.write_texts(transcripts(s, d).select(F.concat("document_name", F.lit("\n"), "content").alias("content")), path)
+    return path
+
+
 @query(SAME_CHUNKS, "chunks")
 def src_transcripts(s, d):
-    path = scratch(s, "transcripts")
-    transcripts(s, d).select("document_name", F.col("content").alias("value")).write.partitionBy("document_name").text(path)
-    files = s.read.text(path, wholetext=True).select("document_name", F.col("value").alias("content"))
-    return tr.parse_chunks(files)
+    path = text_files(s, d)
+    firsts = s.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.substring_index("value", "\n", 1).alias("name"))
+    chunks = tables.transcript_chunks(s, path)
+    return chunks.join(firsts, F.col("document_name") == F.col("file")).withColumn("document_name", F.col("name")).drop("file", "name")
 
 
 RATIO = f"WITH {NAMES_SQL}, t AS (SELECT row_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS a FROM catalog), u AS (SELECT trim(regexp_replace(name, '\\s+', ' ', 'g')) AS b FROM names), tt AS (SELECT *, regexp_replace(a, '\\s*\\[[^\\]]*\\]', '', 'g') AS aa FROM t), uu AS (SELECT *, regexp_replace(b, '\\s*\\[[^\\]]*\\]', '', 'g') AS bb FROM u), m AS (SELECT DISTINCT row_no FROM tt, uu WHERE a = b OR ((contains(aa, bb) OR contains(bb, aa)) AND least(length(aa), length(bb)) / greatest(length(aa), length(bb)) > 0.8))"
@@ -782,13 +811,24 @@ def fmt_header(s, d):
     return entity(s, d, "chunks").select("document_name", "pos", fn.fmt_header(F.col("pos") + 1, F.col("start_time"), F.col("end_time")).alias("header"))
 
 
-@query("SELECT doc_id, '好好 ' || left(trim(coalesce(text, ''), E' \\n\\t\\r\\f\\v'), 50) || ' 那個那個' AS text FROM documents")
+def cleaned(texts: str) -> str:
+    """SQL of cheap_clean over texts (doc_id, text): a run is told by each character's place less its number among its like."""
+    return (
+        f"WITH t AS ({texts}), c AS (SELECT doc_id, unnest(parts) AS ch, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(text, '') AS parts FROM t)), "
+        "g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c), "
+        "n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ch, run) AS size, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) AS k FROM g), "
+        "j AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS text FROM n WHERE NOT (size >= 4 AND k > 2 AND regexp_matches(ch, '[一-鿿＀-￯]')) GROUP BY 1) "
+        "SELECT t.doc_id, trim(regexp_replace(regexp_replace(coalesce(j.text, ''), '(那個){3,}', '那個那個', 'g'), '\\[Error in chunk [0-9]+:.*?\\]', '', 'gs'), E' \\n\\t\\r\\f\\v') AS text FROM t LEFT JOIN j ON t.doc_id = j.doc_id"
+    )
+
+
+@query(cleaned("SELECT doc_id, '[Error in chunk 3: x' || chr(10) || 'y] 好好好好好 ' || coalesce(text, '') || ' 那個那個那個那個' AS text FROM documents"))
 def cheap_clean(s, d):
-    base = documents(s, d).select("doc_id", F.substring(fn.strip(F.col("text")), 1, 50).alias("t"))
-    return base.select("doc_id", fn.cheap_clean(F.concat(F.lit("[Error in chunk 3: x\ny] 好好好好好 "), "t", F.lit(" 那個那個那個那個"))).alias("text"))
+    noisy = F.concat(F.lit("[Error in chunk 3: x\ny] 好好好好好 "), "text", F.lit(" 那個那個那個那個"))
+    return documents(s, d).select("doc_id", fn.cheap_clean(noisy).alias("text"))
 
 
-@query()  # RE2 has no back-references
+@query(cleaned("SELECT doc_id, coalesce(text, '') AS text FROM documents"))
 def cheap_clean_whole(s, d):
     return documents(s, d).select("doc_id", fn.cheap_clean(F.col("text")).alias("text"))
 
@@ -841,6 +881,21 @@ def token_count(s, d):
     return documents(s, d).select("doc_id", fn.token_count(F.col("text")).alias("tokens"))
 
 
+#: A byte-pair vocabulary of this machine and its pattern (fixed value); both are parameters of split.read_counter.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query()  # a vocabulary is beyond SQL
+def token_count_by_vocabulary(s, d):
+    return documents(s, d).select("doc_id", split.count_tokens(F.col("text"), split.read_counter(s, RANKS, PATTERN)).alias("tokens"))
+
+
+@query()
+def doc_stats_by_vocabulary(s, d):
+    return graph.doc_stats(parse_chunks(s, d).withColumn("tokens", split.count_tokens(F.col("text"), split.read_counter(s, RANKS, PATTERN))))
+
+
 @query("SELECT document_name, pos, CASE WHEN pos % 3 = 0 THEN trim(coalesce(text, '') || ' again', E' \\n\\t\\r\\f\\v') WHEN pos % 3 = 2 OR trim(coalesce(text, ''), E' \\n\\t\\r\\f\\v') = '' THEN trim(coalesce(text, '') || CASE WHEN pos % 3 = 1 THEN ' again' ELSE '' END, E' \\n\\t\\r\\f\\v') ELSE trim(document_name || ': ' || text, E' \\n\\t\\r\\f\\v') END AS text FROM chunks", "chunks")
 def merge_choice(s, d):
     p, text = F.col("pos") % 3, F.coalesce("text", F.lit(""))
@@ -982,10 +1037,11 @@ def stream_catalog(s, d):
 
 @query(SAME_CHUNKS, "chunks")
 def stream_transcripts(s, d):
-    source, out, state = scratch(s, "source"), scratch(s, "out"), scratch(s, "state")
-    files = transcripts(s, d).select("document_name", "content")
-    files.write.parquet(source)
-    streams.each_batch(s.readStream.schema(files.schema).parquet(source), tr.parse_chunks, out, state).awaitTermination()
+    # New files of a folder, as they come, through the library's stream.
+    out, state = scratch(s, "out"), scratch(s, "state")
+    stream = streams.new_transcripts(s, text_files(s, d))
+    name = F.substring_index("content", "\n", 1)
+    streams.each_batch(stream.withColumn("document_name", name), tr.parse_chunks, out, state).awaitTermination()
     return s.read.parquet(out).drop("batch")
 
 

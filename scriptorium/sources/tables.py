@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scriptorium.operators.transcripts import serialize
+from scriptorium.operators.transcripts import MARK, PARSED, parsed_blocks, serialize, unified
+from scriptorium.sources.scratch import written
 
 CATALOG = "title string, url string, status string, upload_date string"
 #: Suffixes of the kinds of transcript files.
@@ -19,6 +21,42 @@ def transcripts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Dat
     return named(files)
 
 
+def transcript_chunks(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """parse_chunks of the files of a folder (document_name: the file's name), read in splits: many tasks share one giant file.
+
+    Records are what stands between two marks, told apart by file, split and place in the split. They are counted within
+    their split, of bounded size, and the counts of a file's splits (one row each) are added up.
+    """
+    read = spark.read.text(folder, lineSep=MARK, pathGlobFilter=pattern)
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    records = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("document_name"), at.alias("at"), unified(F.col("value")).alias("raw"))
+    split = Window.partitionBy("path", "at.start").orderBy("at.place")
+    # The first record of a file is what stands before its first mark.
+    blocks = records.withColumn("row", F.row_number().over(split)).where((F.col("at.start") > 0) | (F.col("row") > 1))
+    kept = parsed_blocks(blocks, "path", "document_name", "at")
+    counted = written(kept.withColumn("row", F.row_number().over(split)), "chunks")
+    sizes = counted.groupBy("path", F.col("at.start").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("path", "start", (F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")).alias("before"))
+    placed = counted.withColumn("start", F.col("at.start")).join(before, ["path", "start"])
+    name = F.coalesce(F.try_url_decode("document_name"), "document_name")
+    return placed.select(name.alias("document_name"), (F.col("before") + F.col("row") - 1).cast("int").alias("pos"), *PARSED)
+
+
+def archive(files: DataFrame, path: str, append: bool = False) -> None:
+    """Files (document_name, content) as one Parquet table, so that many small ones are read as few large ones."""
+    files.select("document_name", "content").write.mode("append" if append else "overwrite").parquet(path)
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """(document_name, title, kind, content) of an archive, as transcripts() gives them of a folder."""
+    return named(spark.read.schema("document_name string, content string").parquet(path))
+
+
+def write_texts(files: DataFrame, path: str, append: bool = False) -> None:
+    """The contents of files as text files of names that Spark gives, one for each row, in one folder."""
+    files.select("content").write.mode("append" if append else "overwrite").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
 def named(files: DataFrame) -> DataFrame:
     decoded = F.try_url_decode("document_name")
     name = F.coalesce(decoded, "document_name")

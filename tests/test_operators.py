@@ -4,7 +4,9 @@ import io
 import json
 import random
 import re
+import time
 import wave
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -309,7 +311,7 @@ def test_quiz(spark):
     assert quiz.hard_questions(questions, quiz.error_rates(stats), 0).count() == 1
 
 
-@pytest.mark.parametrize(("reply", "want"), [("```json\n[1, 2]\n```", [1, 2]), ('so {"a": "]"} end', [{"a": "]"}]), ('{"options": ["x"]} [3]', [{"options": ["x"]}]), ("none", []), (None, []), ("<think>[9]</think>[[1], 2] x]", [[1], 2]), ("[1", [])])
+@pytest.mark.parametrize(("reply", "want"), [("```json\n[1, 2]\n```", [1, 2]), ('so {"a": "]"} end', [{"a": "]"}]), ('{"options": ["x"]} [3]', [{"options": ["x"]}]), ("none", []), (None, []), ("<think>[9]</think>[[1], 2] x]", [[1], 2]), ("[1", []), ('I found [ two: {"a": 1} and {"a": 2}', [{"a": 1}]), ('[ {"a": {"b": 2}', [{"b": 2}]), ('{ so: [{"a": 1}, {"a": 2}] "', [{"a": 1}, {"a": 2}]), ("[[[[ [3]", [3]), ("] } [4]", [4])])
 def test_balanced(reply, want):
     assert json.loads(split.balanced(reply)) == want
 
@@ -321,6 +323,50 @@ def test_cut_pieces_join_to_the_text(text, size):
     assert "".join(pieces) == text and all(len(p) <= size for p in pieces)
 
 
+def test_long_brackets_and_texts_take_linear_time():
+    start = time.time()
+    assert split.balanced("[" * 200_000 + "{}") == "[{}]"
+    text = "word. " * 500_000
+    assert "".join(split.cut(text, 1000)) == text
+    assert time.time() - start < 5
+
+
+def semantic_brute(text, tokens, size, overlap):
+    """Cuts by what a piece may end with, found from its end; one break kind after the other."""
+    k = tokens // size + 1
+    most, pieces, rest = max(1, -(-len(text) // k)), [], text
+    while k > 1 and len(rest) > most:
+        ends = [[], [], []]
+        for e in range(1, most + 1):
+            head = rest[:e]
+            if re.search(r"\n\s*\n\Z", head):
+                ends[0].append(e)
+            if head[-1] in ".!?。！？\n" or re.search(r"[.!?。！？]\s+\Z", head):
+                ends[1].append(e)
+            if head[-1].isspace():
+                ends[2].append(e)
+        at = next((x[-1] for x in ends if x), most)
+        pieces.append(rest[:at])
+        rest = rest[at:]
+    pieces.append(rest)
+    return pieces if overlap is None else split.overlapped(pieces, overlap)
+
+
+def test_semantic_splitter_query_against_brute_force(spark):
+    from scriptorium.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {}
+    for r in QUERIES["semantic_splitter"](spark, folder).collect():
+        got.setdefault(r.doc_id, {})[r.idx] = r.piece
+    count = lambda t: len(re.findall(r"[一-鿿]|[A-Za-z0-9_]+|[^\s一-鿿A-Za-z0-9_]", t, re.ASCII))
+    short = [i for i, t in texts.items() if len(t) < 20_000]
+    assert len(short) > 150 and sum(len(got[i]) > 1 for i in short) > 20
+    for i in short:
+        assert [got[i][k] for k in range(len(got[i]))] == semantic_brute(texts[i], count(texts[i]), 400, 200), i
+
+
 def test_overlap():
     assert split.overlapped(["One. Two. Three.", "Four."], 100) == ["One. Two. Three.", " Two. Three.Four."]
     assert split.overlapped(["One. Two. Three.", "Four."], 8) == ["One. Two. Three.", " Three.Four."]
@@ -389,6 +435,143 @@ def test_token_counters(spark):
     assert [r[0] for r in df.select(split.count_tokens(F.col("t"), split.vocabulary_counter(ranks, r"\S+|\s+"))).collect()] == [7, 0, 0]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "it's  a b's\n\n c", ""])
+def test_vocabulary_counter_of_long_white_space(text):
+    from scriptorium.plans.queries import PATTERN, RANKS
+
+    import base64
+
+    import tiktoken
+
+    data = open(RANKS, "rb").read()
+    count = split.vocabulary_counter(data, PATTERN)
+    got = count([text, text[:3000]])
+    whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, special_tokens={})
+    assert got[1] == len(whole.encode_ordinary(text[:3000])) and (got[0] > 0) == bool(text)
+
+
+def test_vocabulary_queries_equal_direct_encoding(spark):
+    import base64
+
+    import tiktoken
+
+    from scriptorium.plans.inputs import entity
+    from scriptorium.plans.queries import PATTERN, QUERIES, RANKS
+
+    folder = "/root/testdata/sf0.001"
+    whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb").read().splitlines())}, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert dict(rows(QUERIES["token_count_by_vocabulary"](spark, folder))) == {i: len(whole.encode_ordinary(t)) for i, t in texts.items()}
+    stats = {r.document_name: r.n_tokens for r in QUERIES["doc_stats_by_vocabulary"](spark, folder).collect()}
+    want = {}
+    for r in entity(spark, folder, "chunks").collect():
+        want[r.document_name] = want.get(r.document_name, 0) + len(whole.encode_ordinary(r.text.strip()))
+    assert stats == want
+
+
+def test_build_graph_takes_a_counter(spark):
+    """Packing follows the counter that it is given."""
+    text = "".join(f"=== Chunk {i} ===\nword{i}\n" for i in range(1, 9))
+    videos = spark.createDataFrame([(0, "t", "u")], "row_no long, title string, url string")
+    for counter, asked in ((lambda texts: [10] * len(texts), 4), (lambda texts: [1] * len(texts), 1)):
+        made = jobs.build_graph(files(spark, text, "t_combined.txt").withColumn("title", F.lit("t")), videos, lambda prompt: json.dumps({"concepts": [{"name": prompt, "type": "", "description": "", "origin_chunks": []}], "relationships": []}), 20, 19, counter)
+        assert made["concepts"].count() == asked
+
+
+def test_answers_carry_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("k", 1, "bad"), ("k", 1, "bad")], "title string, pos int, prompt string")
+
+    def model(text):
+        if text == "bad":
+            raise ValueError("no")
+        return text + "!"
+
+    assert sorted(rows(graph.answered(df, model)), key=str) == sorted([(None, 1, "a", "a!", None), (None, 2, None, None, None), ("k", 1, "bad", None, "no"), ("k", 1, "bad", None, "no")], key=str)
+
+
+def test_embed_in_batches_calls_once_a_pack(spark):
+    df = spark.createDataFrame([("d", i, i // 3, f"t{i}" if i else None) for i in range(8)] + [(None, 0, 0, "x")], "document_name string, pos int, pack int, text string")
+    got = {(r.document_name, r.pos): r.embedding for r in graph.embed_in_batches(df, lambda texts: [[len(texts), i, len(t)] for i, t in enumerate(texts)]).collect()}
+    assert got == {**{("d", i): [3 if i < 6 else 2, i % 3, 2 if i else 0] for i in range(8)}, (None, 0): [1, 0, 1]}
+
+
+def test_make_questions_values(spark):
+    """The registered job against a dictionary: long chunks' first blocks, all kinds, valid questions alone."""
+    from scriptorium.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    want = set()
+    for name, idx, text in rows(QUERIES["parse_quiz_chunks"](spark, folder)):
+        question = text[:20].strip()
+        if idx < 3 and question and not any(m in question for m in fn.ERROR_MARKS):
+            want |= {(name, idx, kind, difficulty, question) for kind, difficulty in (("choice", "easy"), ("boolean", "hard"))}
+    got = rows(QUERIES["job_make_questions"](spark, folder))
+    assert len(got) == len(want) > 20 and set(got) == want
+
+
+def test_make_questions_leaves_out_what_is_done(spark):
+    text = "=== Chunk 1 ===\n" + "long words " * 20 + "\n=== Chunk 2 ===\nshort\n"
+    ask = lambda prompt: 'Here [ are: [{"question_text": "Q?", "options": ["a", "b"], "correct_answer": "a", "explanation": ""}, {"question_text": "", "options": ["a", "b"], "correct_answer": "a"}]'
+    done = spark.createDataFrame([("t", "choice", "easy")], "document_name string, type string, difficulty string")
+    got = jobs.make_questions(files(spark, text, "t"), ask, done, [("choice", "easy"), ("boolean", "hard")])
+    assert rows(got.select("document_name", "idx", "type", "difficulty", "question_text", "status")) == [("t", 0, "boolean", "hard", "Q?", "pending")]
+
+
+@pytest.mark.parametrize("span", [1, 3, 7, 100_000])
+def test_counts_in_spans(spark, span):
+    """Headers counted in spans of any size give the same chunks, also for documents of one line and null names."""
+    r = random.Random(span)
+    head = lambda: r.choice(["=== Chunk 1 [0.0s - 1.5s] ===", "=== Chunk 2 ===", "=== Chunk x", "line", "", "  two words ", "=== Chunk 3 [1.5s - 2s]"])
+    docs = [(n, "\n".join(head() for _ in range(k))) for n, k in (("a", 60), ("b", 1), ("", 0), (None, 25), ("long", 400))]
+    df = spark.createDataFrame(docs, "document_name string, content string")
+    for parse in (tr.parse_chunks, tr.parse_timed, lambda x, **k: tr.parse_quiz(x, 3, **k)):
+        assert Counter(map(str, rows(parse(df, span=span)))) == Counter(map(str, rows(parse(df, span=1 << 30))))
+    chunks = tr.parse_chunks(df, span=1 << 30).withColumn("pos", F.col("pos") * 5 - 20)
+    want = {}
+    for name, pos in sorted(((r.document_name, r.pos) for r in chunks.collect()), key=lambda x: (str(x[0]), x[1])):
+        want[name, pos] = 1 + sum(n == name for n, _ in want)
+    assert {(r.document_name, r.pos): r.n for r in tr.numbers(chunks, "n", span).collect()} == want
+
+
+def test_no_task_holds_a_long_document(spark):
+    lines = spark.range(50_000).select(F.lit("d").alias("document_name"), F.col("id").alias("line_no"), F.lit(True).alias("long"))
+    got = tr.running(lines.repartition(4), "document_name", "line_no", F.col("line_no") % 10 == 0, F.col("long"), "n", 1000)
+    assert got.where(F.col("n") != F.floor(F.col("line_no") / 10) + 1).isEmpty() and got.count() == 50_000
+    spans = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spans) > 1 and max(r["count"] for r in spans) < 50_000
+
+
+def test_transcripts_are_read_in_splits(spark, tmp_path):
+    """One giant file is parsed by several tasks, with what the whole text gives; small and odd files too."""
+    r = random.Random(2)
+    body = lambda i: f" {i} [{i}.0s - {i + 1}.5s] ===\n" + " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(60))) + r.choice(["\n", "\r\n", ""])
+    giant = "before 12 the first\nmark\n" + "".join("=== Chunk" + body(i) for i in range(1, 4000))
+    texts = {"giant_combined.txt": giant, "empty.txt": "", "none_merged.txt": "no mark 1\nat all", "starts.txt": "=== Chunk 1 ===\nx\n=== Chunk 2 ===\n", "two words.txt": "a 5\nb=== Chunk 7\ny"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    try:
+        got = rows(tables.transcript_chunks(spark, str(tmp_path)))
+        read = spark.read.text(str(tmp_path), lineSep=tr.MARK)
+        assert read.where("length(value) > 20").select(F.spark_partition_id()).distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = rows(tr.parse_chunks(tables.transcripts(spark, str(tmp_path)).select("document_name", "content")))
+    assert Counter(got) == Counter(want) and len(got) > 3000
+
+
+def test_archives_and_new_files(spark, tmp_path):
+    names = [f"a_{k}.txt" for k in tables.KINDS] + ["plain.txt"]
+    df = spark.createDataFrame([(n, f"=== Chunk 1 ===\n{n}") for n in names], "document_name string, content string")
+    tables.archive(df, str(tmp_path / "archive"))
+    assert {(r.document_name, r.title, r.kind) for r in tables.archived(spark, str(tmp_path / "archive")).collect()} == {*((f"a_{k}.txt", "a", k) for k in tables.KINDS), ("plain.txt", "plain", None)}
+    tables.write_texts(df.repartition(1), str(tmp_path / "texts"))
+    found = [p for p in (tmp_path / "texts").rglob("*.txt")]
+    assert len(found) == 7 and {p.parent for p in found} == {tmp_path / "texts"}  # no folder for each
+    assert {r.content.strip() for r in tables.transcripts(spark, str(tmp_path / "texts")).collect()} == {f"=== Chunk 1 ===\n{n}" for n in names}
+
+
 def test_random_questions_against_a_dictionary(spark):
     import zlib
 
