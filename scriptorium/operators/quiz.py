@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scriptorium.functions.text import is_error, strip
+from scriptorium.operators.transcripts import running
+from scriptorium.sources.scratch import written
 
 KEY = ["user_id", "question_id"]
 
@@ -53,6 +56,23 @@ def unseen_questions(questions: DataFrame, stats: DataFrame, user: int, kind: st
     return questions.where((F.col("status") == "active") & (F.col("type") == kind) & (F.col("difficulty") == difficulty)).join(mine, "id", "left_anti")
 
 
+def unseen_for_all(questions: DataFrame, stats: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
+    """(user_id, rank, id): for each user of users (user_id) the first k active questions by id that stats has no answer of.
+
+    Questions are numbered by id. Of a user's answered numbers in order, the i-th one (from 0) has number less i unanswered
+    ones before it; so the j-th unanswered number is j and the answered ones with at most j unanswered before them, a sum
+    over at most k counts a user. Users don't meet questions, and neither numbering gathers a user or the bank in one task.
+    """
+    bank = running(questions.where("status = 'active'").select(F.lit(0).alias("bank"), "id").distinct(), "bank", "id", F.lit(True), F.lit(True), "number")
+    numbered = written(bank.select("id", (F.col("number") - 1).alias("number")), "numbered")
+    answered = stats.select("user_id", F.col("question_id").alias("id")).distinct().join(numbered, "id").join(users.select("user_id").distinct(), "user_id", "left_semi")
+    before = running(answered.select("user_id", "number"), "user_id", "number", F.lit(True), F.lit(True), "seen").select("user_id", (F.col("number") - F.col("seen") + 1).alias("j"))
+    counts = before.where(F.col("j") < k).groupBy("user_id", "j").agg(F.count(F.lit(1)).alias("n"))
+    wanted = users.select("user_id").distinct().withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    placed = wanted.join(counts, ["user_id", "j"], "left").withColumn("number", F.col("j") + F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("user_id").orderBy("j")))
+    return placed.join(numbered, "number").select("user_id", (F.col("j") + 1).cast("int").alias("rank"), "id")
+
+
 def score_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """answers (user_id, question_id, answer) to active questions with is_correct by trimmed equality."""
     bank = questions.where("status = 'active'").select(F.col("id").alias("question_id"), "correct_answer")

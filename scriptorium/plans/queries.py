@@ -743,6 +743,12 @@ def unseen_questions(s, d):
     return quiz.unseen_questions(entity(s, d, "questions"), quiz.attempts_to_stats(entity(s, d, "attempts")), 5, "choice", "easy").select("id")
 
 
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY id)::INT AS rank, id FROM (SELECT DISTINCT user_id FROM attempts) u, questions q WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM attempts a WHERE a.user_id = u.user_id AND a.question_id = q.id) QUALIFY rank <= 5", "attempts", "questions")
+def unseen_questions_of_all(s, d):
+    attempts = entity(s, d, "attempts")
+    return quiz.unseen_for_all(entity(s, d, "questions"), quiz.attempts_to_stats(attempts), attempts.select("user_id"), 5)
+
+
 @query("SELECT user_id, question_id, answered_at, CASE WHEN 'a' || user_id % 4 = correct_answer THEN 1 ELSE 0 END AS is_correct FROM attempts JOIN questions ON question_id = id WHERE status = 'active'", "attempts", "questions")
 def score_answers(s, d):
     answers = entity(s, d, "attempts").select("user_id", "question_id", "answered_at", F.concat(F.lit(" a"), F.col("user_id") % 4, F.lit(" ")).alias("answer"))

@@ -572,6 +572,24 @@ def test_archives_and_new_files(spark, tmp_path):
     assert {r.content.strip() for r in tables.transcripts(spark, str(tmp_path / "texts")).collect()} == {f"=== Chunk 1 ===\n{n}" for n in names}
 
 
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_unseen_for_all_against_sets(spark, k):
+    r = random.Random(k)
+    ids = sorted(r.sample(range(1_000_000), 60))
+    bank = [(i, "active" if r.random() < 0.8 else "pending") for i in ids]
+    seen = {(u, q) for u in range(12) for q in r.sample(ids, [0, 1, 30, 60][u % 4])}
+    questions = spark.createDataFrame(bank, "id long, status string")
+    stats = spark.createDataFrame([*seen, (3, 77_777_777), (99, ids[0])], "user_id long, question_id long")
+    users = spark.createDataFrame([(u,) for u in [*range(13), 5]], "user_id long")
+    out = quiz.unseen_for_all(questions, stats, users, k)
+    active = [i for i, s in bank if s == "active"]
+    want = {(u, n + 1, q) for u in range(13) for n, q in enumerate([q for q in active if (u, q) not in seen][:k])}
+    got = rows(out)
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_random_questions_against_a_dictionary(spark):
     import zlib
 

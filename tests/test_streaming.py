@@ -1,10 +1,14 @@
 """Streams give what the batch operators give over the same rows."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import quiz
 from scriptorium.operators import transcripts as tr
 from scriptorium.plans.inputs import entity
+from scriptorium.sources.store import Store
 from scriptorium.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +19,7 @@ def rows(df):
 
 
 def run(query):
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
 
 
 def test_new_transcripts(spark, tmp_path):
@@ -77,3 +81,56 @@ def test_bounded_state(spark, tmp_path):
     stream = streams.unseen_videos(spark.readStream.schema(polled.schema).parquet(str(tmp_path / "p")), known, late="2 days")
     run(stream.writeStream.format("memory").queryName("polled").option("checkpointLocation", str(tmp_path / "state_p")).trigger(availableNow=True).start())
     assert [r.url for r in spark.table("polled").collect()] == ["https://youtu.be/a"]
+
+
+@pytest.fixture
+def rocks(spark):
+    before = {k: spark.conf.get(k, None) for k in streams.SETTINGS}
+    for k, v in streams.SETTINGS.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def test_edit_changes_merge_into_a_store(rocks, tmp_path):
+    """Micro-batches in any order, and twice, leave what the batch form gives; only changes are passed on; state is one row a chunk."""
+    edits = entity(rocks, SF, "edits").select("document_name", "chunk_id", "ts", "seq", "new_text")
+    want = {tuple(r) for r in tr.latest_edits(edits).collect()}
+    empty = edits.where("false").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("seq").cast("long"))
+    store = Store(rocks, str(tmp_path / "store"), "document_name", "chunk_id").create(empty, 4)
+    stream = parts(edits, str(tmp_path / "in"), "seq")
+    query = streams.store_edits(streams.edit_changes(stream), store, str(tmp_path / "state"))
+    run(query)
+    assert {tuple(r) for r in store.read().select("document_name", "chunk_id", "new_text").collect()} == want
+    state = query.recentProgress[-1]["stateOperators"][0]
+    assert state["numRowsTotal"] <= len(want)
+    again = streams.store_edits(streams.edit_changes(stream), store, str(tmp_path / "again"))
+    run(again)
+    assert {tuple(r) for r in store.read().select("document_name", "chunk_id", "new_text").collect()} == want
+    passed = update(rocks, streams.edit_changes(parts(edits.where("seq % 2 = 0"), str(tmp_path / "half"), "seq")), "changes", str(tmp_path / "c"))
+    assert passed.count() <= 3 * len(want)
+
+
+def test_fresh_videos_come_once(rocks, tmp_path):
+    listing = rocks.createDataFrame([(i, f"https://youtu.be/{i % 7}?t={i}") for i in range(40)], "n int, url string")
+    known = rocks.createDataFrame([("https://www.youtube.com/watch?v=3",), ("https://youtu.be/5",)], "url string")
+    got = update(rocks, streams.fresh_videos(parts(listing, str(tmp_path / "in"), "n"), known), "fresh", str(tmp_path / "state"))
+    assert sorted(r.url.split("/")[-1].split("?")[0] for r in got.collect()) == ["0", "1", "2", "4", "6"]
+
+
+def test_forgotten_videos_come_again(rocks, tmp_path):
+    """Time to live: a key that was forgotten is new again."""
+    listing = rocks.createDataFrame([(i, "https://youtu.be/a") for i in range(3)], "n int, url string")
+    known = rocks.createDataFrame([("https://youtu.be/b",)], "url string")
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    counts = []
+    for i in range(2):
+        listing.where(f"n = {i}").coalesce(1).write.mode("append").parquet(path)
+        stream = rocks.readStream.schema(listing.schema).parquet(path)
+        out = str(tmp_path / f"out{i}")
+        write = lambda batch, n, out=out: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        run(streams.fresh_videos(stream, known, keep_ms=1000).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start())
+        counts.append(rocks.read.schema("n int, url string").parquet(out).count())
+        time.sleep(1.5)
+    assert counts == [1, 1]
