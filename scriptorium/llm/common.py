@@ -52,12 +52,12 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Cuts an array of strings into runs of rows of about so many bytes, one row at least."""
+def slices(texts: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Cuts an array of strings into runs of rows of about so many bytes and at most so many rows, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and total + n > most_bytes:
+        if i > start and (total + n > most_bytes or i - start >= most_rows):
             yield start, i
             start, total = i, 0
         total += n

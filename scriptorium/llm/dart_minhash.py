@@ -31,6 +31,8 @@ BANDS, ROWS = 21, 6
 K = BANDS * ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Texts whose darts (about K log K each) are held at once.
+TEXTS = 200
 #: The name of a text's content.
 ID = "struct<c1:bigint,c2:bigint>"
 
@@ -113,7 +115,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 19):
+            for a, b in slices(batch.column(1), 1 << 19, TEXTS):
                 part = batch.slice(a, b - a)
                 of, elements, weights = shingles(part.column(1), words)
                 sig = signatures(of, elements, weights, len(part))
