@@ -28,6 +28,8 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = SYSTEM, blo
     rendered dialogue, what is trained on: the speaker's texts and their end markers; of other segments both are char_end,
     so the span is empty. Null or empty roles are called NAMELESS, null texts count as empty, a null conv_id is a conversation. One without participants is rendered
     once, with null speaker. Repeated rows are turns of their own. The dialogue is the segments joined in order of seq.
+    Places are told by blocks of turn numbers: rows of one conversation whose turns are equal, or null, are one block, and its
+    narrow rows of sizes meet in one task.
     """
     name = F.coalesce(F.nullif("role", F.lit("")), F.lit(NAMELESS))
     is_system = F.col("name").isin(*system_roles)

@@ -69,7 +69,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     Words are WORD after lower-casing A-Z; null and empty texts have none. A word is hit inside any occurrence of a
     window; a document is contaminated if it has hits and share * n_hit >= n_words. Items without words match nothing;
     with an empty benchmark nothing is contaminated. item_ids holds the items with occurring windows, sorted as strings.
-    Repeated items count once by item_id; repeated rows of docs each give a row.
+    Repeated items count once by item_id; an item without id makes words hit but is not among the items that are counted and
+    named. Repeated rows of docs each give a row. Words may be of any length (all beyond ASCII is one), so what is
+    broadcast is bounded by windows, of which a usual one is some 100 bytes.
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     wins = table(windows(benchmark, size), "windows")

@@ -331,7 +331,9 @@ def score(docs: DataFrame, training: Column, order: int = 2, rounds: int = 12, f
     Tokens are words ([^\\x20\\x09-\\x0D]+ after lower-casing A-Z) and one end for each text; null counts as empty, which
     has the end alone. score: the model's log10 probability of the text; base_score: that of add-one unigrams with V + 1
     classes; n_known: tokens that training has. Other columns are ignored, repeated rows count and return as rows of their
-    own, a null doc_id returns as null. Without any training text N and V are 0 and both scores are those of one class.
+    own, a null doc_id returns as null. Without any training text N and V are 0 and both scores are those of one class. A text
+    stays in one chunk, that is in one task. EM runs for `rounds` steps, settled or not: each step can only raise the
+    likelihood of the held-out part, so fewer make weights that are less good, not wrong ones.
     """
     made = chunks(docs, training)
     sized = made.selectExpr("sum(n_train) n", "coalesce(sum(aggregate(lengths, 0L, (a, x) -> a + x) + size(lengths)), 0) total", "count(*) chunks").first()
