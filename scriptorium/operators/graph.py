@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import clean_json, rel_type
+from scriptorium.sources.scratch import written
 from scriptorium.sources.store import Store
 
 PAYLOAD = "struct<concepts:array<struct<name:string,type:string,description:string,origin_chunks:array<int>>>,relationships:array<struct<`from`:string,`to`:string,type:string,description:string>>>"
@@ -181,13 +182,19 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block_queries: i
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, unit vectors) of the rows whose vector has a direction."""
+def _directions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a vector with a direction, their unit vectors)."""
     rows = table.column("embedding").combine_chunks()
     matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     ok = norms[:, 0] > 0
-    return table.column("id").to_numpy()[ok], matrix[ok] / norms[ok]
+    return ok, matrix[ok] / norms[ok]
+
+
+def _units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the rows whose vector has a direction."""
+    ok, units = _directions(table)
+    return table.column("id").to_numpy()[ok], units
 
 
 def _nearest(queries: pa.Table, vectors: pa.Table, k: int, step: int = 1024) -> pa.Table:
@@ -207,6 +214,86 @@ def _nearest(queries: pa.Table, vectors: pa.Table, k: int, step: int = 1024) ->
     return pa.table({"query_id": asked[best[0]], "id": best[1], "score": best[2]})
 
 
+def vector_topk_by_cells(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, sample: int = 4096, block_queries: int = 5000, block_vectors: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(vector_topk's rows, visits (query_id, visited, cells)): as vector_topk, but a query skips cells that can't hold a nearer vector.
+
+    Every vector is dealt to the nearest of at most `cells` centres, which are fitted to the `sample` vectors with the least hashes
+    of their ids; a cell's radius is its greatest angle to the centre. A query first searches the cell of its own
+    nearest centre. Its k-th score then rules out, by the triangle inequality on angles, each cell whose centre is further
+    away than its radius and that score allow; all others are searched. So results are exact whatever the centres are, and
+    vectors without structure merely lead to all cells. Cells of more than block_vectors are dealt to several blocks.
+    """
+    spark = vectors.sparkSession
+    rows = lambda df: df.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and embedding is not null")
+    held, asked = written(rows(vectors), "vectors"), rows(queries)
+    some = held.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()  # at most `sample` vectors
+    centres = _centres(_units(some)[1], cells)
+    if not len(centres):
+        none = spark.createDataFrame([], "query_id long, visited long, cells long")
+        return vector_topk(vectors, queries, k), none
+    sent = spark.sparkContext.broadcast(centres)
+
+    def nearest_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok, units = _directions(pa.Table.from_batches([batch]))
+            if ok.any():
+                near = units @ sent.value.T
+                kept = batch.filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(near.argmax(1).astype(np.int32)), pa.array(np.arccos(np.clip(near.max(1), -1, 1)))], ["id", "embedding", "cell", "angle"])
+
+    kind = f"id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, cell int, angle double"
+    celled = written(held.mapInArrow(nearest_cell, kind), "celled")
+    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()  # a row for each cell
+    parts = {r.cell: -(-r.n // block_vectors) for r in sizes}
+    radii = {r.cell: r.radius for r in sizes}
+    pieces = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), F.col("cell")), F.lit(0))
+    there = celled.select("id", "embedding", "cell", F.pmod(F.xxhash64("id", "embedding"), pieces).cast("int").alias("piece"))
+    homes = written(asked.mapInArrow(nearest_cell, kind), "homes")
+    n = max(1, -(-homes.count() // block_queries))
+
+    def searched(wanted: DataFrame) -> DataFrame:
+        """Queries (id, embedding, cell) in the pieces of their cells."""
+        each = wanted.withColumn("piece", F.explode(F.when(pieces > 0, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array().cast("array<int>"))))
+        dealt = each.withColumn("query_block", F.pmod(F.xxhash64("id", "embedding"), F.lit(n)).cast("int"))
+        copies = there.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        keys = ["query_block", "cell", "piece"]
+        return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(lambda q, v: _nearest(q, v, k), "query_id long, id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    at_home = written(searched(homes), "at_home")
+    kth = best(at_home).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    known = homes.join(kth, "id", "left").select("id", "embedding", "cell", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.array(sorted(radii))
+        for batch in batches:
+            units = _units(pa.Table.from_batches([batch]))[1]
+            angle = np.arccos(np.clip(units @ sent.value[cells].T, -1, 1)) - np.array([radii[c] for c in cells])
+            most = np.cos(np.clip(angle, 0, np.pi)) + 1e-7  # for rounding
+            row, at = np.nonzero((most >= batch.column("kth").to_numpy()[:, None]) & (cells != batch.column("cell").to_numpy()[:, None]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "embedding")), pa.array(cells[at].astype(np.int32))], ["id", "embedding", "cell"])
+
+    near = written(known.mapInArrow(others, kind.rsplit(",", 1)[0]), "near")
+    found = best(at_home.unionByName(searched(near))).select("query_id", "rank", "id", "score")
+    visits = homes.select("id").unionByName(near.select("id")).groupBy(F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("visited")).withColumn("cells", F.lit(len(radii)).cast("long"))
+    return found, visits
+
+
+def _centres(units: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
+    """At most `cells` unit vectors: the first ones, moved to the mean of what is nearest to them a few times."""
+    centres = units[:cells]
+    for _ in range(rounds if len(units) > cells else 0):
+        near = (units @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, units)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
+    return centres
+
+
 def hash_embed(texts: list[str], size: int = 64) -> list[list[float]]:
     """The default embedder, deterministic: signed counts of hashed words, of unit length."""
     out = []

@@ -658,12 +658,21 @@ def question_context(s, d):
     return graph.question_context(documents(s, d).select("source", "doc_id", "text", F.col("lang").alias("meta")), "source", "doc_id")
 
 
-@query("WITH p AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vectors q, vectors v WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10", "vectors")
+NEAREST = "WITH p AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM vectors q, vectors v WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10"
+
+
+@query(NEAREST, "vectors")
 def vector_topk(s, d):
     v = entity(s, d, "vectors").select("id", "embedding")
     return graph.vector_topk(v, v.where("id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
+@query(NEAREST, "vectors")
+def vector_topk_by_cells(s, d):
+    v = entity(s, d, "vectors").select("id", "embedding")
+    return graph.vector_topk_by_cells(v, v.where("id % 20 = 0"), 10)[0].withColumn("score", F.round("score", 6))
+
+
 @query()
 def embed_text(s, d):
     return graph.embed(documents(s, d).select("doc_id", "text"), "text").drop("text")

@@ -590,6 +590,25 @@ def test_unseen_for_all_against_sets(spark, k):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_topk_by_cells_equals_all_pairs(spark, clustered):
+    """Exact with ties, copies, null and zero vectors; in clusters most cells are skipped, without structure none need be."""
+    r = np.random.default_rng(3)
+    middles = r.normal(size=(12, 8))
+    data = [(i, (middles[i % 12] + r.normal(size=8) * (0.02 if clustered else 9)).tolist()) for i in range(900)]
+    data += [(900 + i, data[i][1]) for i in range(0, 60, 2)] + [(2000, None), (2001, [0.0] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(data, "id long, embedding array<double>")
+    asked = df.where("id % 9 = 0 or id >= 1990")
+    want = rows(graph.vector_topk(df, asked, 7))
+    found, visits = graph.vector_topk_by_cells(df, asked, 7, cells=24, sample=300, block_queries=40, block_vectors=30)
+    assert sorted(rows(found)) == sorted(want) and len(want) > 600
+    share = sum(v.visited for v in visits.collect()) / sum(v["cells"] for v in visits.collect())
+    assert share < 0.4 if clustered else share <= 1
+    assert graph.vector_topk_by_cells(df.where("false"), asked, 7)[0].count() == 0
+    assert graph.vector_topk_by_cells(df, asked.where("false"), 7)[0].count() == 0
+    assert sorted(rows(graph.vector_topk_by_cells(df.limit(3), asked, 7, cells=2)[0])) == sorted(rows(graph.vector_topk(df.limit(3), asked, 7)))
+
+
 def test_random_questions_against_a_dictionary(spark):
     import zlib
 
