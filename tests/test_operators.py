@@ -381,6 +381,18 @@ def test_silence(x, want):
     assert audio.cut_at_silence(x, 10) == want
 
 
+@pytest.mark.parametrize("seconds", [0.1, 0.7, 3.0, 1000.0])
+def test_silences_over_frames(spark, seconds):
+    """Frames of any size give the cut of the whole array: silences across borders, quiet frames, open ends, no samples."""
+    r = np.random.default_rng(int(seconds * 10))
+    signals = {"none": np.zeros(0, np.float32), "quiet": np.zeros(400, np.float32), "loud": np.ones(700, np.float32)}
+    signals |= {f"s{i}": np.concatenate([np.full(r.integers(1, 160), v, np.float32) for v in ([1.0, 0.0] * 9)[: r.integers(2, 18)]]) * r.choice([1, -1]) for i in range(25)}
+    df = spark.createDataFrame([(k, 10, x.tolist()) for k, x in signals.items()], "audio_id string, sample_rate int, samples array<float>").repartition(3)
+    want = {(k, i, a, b) for k, x in signals.items() for i, (a, b) in enumerate(audio.cut_at_silence(x, 10))}
+    got = rows(audio.split_silence(df, seconds))
+    assert len(want) > 40 and len(got) == len(want) and set(got) == want
+
+
 def test_audio_files(spark, tmp_path):
     buffer = io.BytesIO()
     with wave.open(buffer, "wb") as w:
@@ -391,6 +403,8 @@ def test_audio_files(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(buffer.getvalue())
     got = audio.read_audio(spark, str(tmp_path))
     assert got.select("audio_id", "sample_rate", F.size("samples"), F.col("samples")[0]).first() == ("a", 16000, 32000, 0.5)
+    framed = audio.read_frames(spark, str(tmp_path), seconds=0.75)
+    assert sorted(r["first"] for r in framed.collect()) == [0, 12000, 24000] and rows(audio.split_frames(framed, shortest=1.0)) == [("a", 0, 0.0, 2.0)]
     segments = audio.split_silence(got, shortest=1.0)
     assert rows(segments) == [("a", 0, 0.0, 2.0)] and audio.slice_samples(segments, got).select(F.size("samples")).first()[0] == 32000
     lengths = spark.createDataFrame([("x", 65.0), ("y", 0.0)], "audio_id string, duration double")
