@@ -47,7 +47,8 @@ def hard_questions(questions: DataFrame, rates: DataFrame, k: int, tie: Column |
 
 
 def random_questions(questions: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    order = F.crc32(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    """k (1 to 100) active questions in a shuffled order that the seed repeats."""
+    order = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary"))
     return questions.where("status = 'active'").orderBy(order, "id").limit(max(1, min(100, k)))
 
 

@@ -169,10 +169,10 @@ def merge_edit_logs(log: DataFrame, *more: DataFrame) -> DataFrame:
     return log
 
 
-def split_rows(rows: DataFrame, *columns: str) -> DataFrame:
-    """(document_name, text, index): each row's columns as JSON, numbered from 0 within its document in order of pos."""
-    index = F.row_number().over(Window.partitionBy("document_name").orderBy("pos")) - 1
-    return rows.select("document_name", F.to_json(F.struct(*columns)).alias("text"), index.alias("index"))
+def split_rows(rows: DataFrame, *columns: str, span: int = SPAN) -> DataFrame:
+    """(document_name, text, index): each row's columns as JSON, numbered from 0 within its document in order of pos, counted in spans of pos."""
+    made = numbers(rows.select("document_name", "pos", F.to_json(F.struct(*columns)).alias("text")), "number", span)
+    return made.select("document_name", "text", (F.col("number") - 1).cast("int").alias("index"))
 
 
 def effective_source(files: DataFrame, order: tuple[str, ...] = ("edit", "combined")) -> DataFrame:

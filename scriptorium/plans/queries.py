@@ -722,7 +722,7 @@ def hard_questions(s, d):
     return quiz.hard_questions(entity(s, d, "questions"), rates(s, d), 20, F.col("id")).select("id", "error_rate")
 
 
-@query()
+@query("SELECT id FROM questions WHERE status = 'active' ORDER BY md5(id || ':7'), id LIMIT 30", "questions")
 def random_questions(s, d):
     return quiz.random_questions(entity(s, d, "questions"), 30, 7).select("id")
 
@@ -1092,7 +1092,10 @@ def job_build_graph(s, d):
     return graph.counts(**made)
 
 
-@query()
+MARKS_SQL = "CUDA|Error:|Traceback|RuntimeError|assert|LAUNCH_BLOCKING|stderr|ImportError|Exception"
+
+
+@query(f"WITH t AS (SELECT *, trim(regexp_replace(text, '[ \\t]*\\n[ \\t\\n]*', ' ', 'g'), E' \\n\\t\\r') AS joined FROM chunks), n AS (SELECT *, row_number() OVER (PARTITION BY document_name ORDER BY pos)::INT - 1 AS idx FROM t WHERE length(joined) > 80), k (type, difficulty) AS (VALUES ('choice', 'easy'), ('boolean', 'hard')), q AS (SELECT document_name, idx, type, difficulty, trim(left(joined, 20), {ENDS}) AS question_text FROM n, k WHERE idx < 3) SELECT * FROM q WHERE question_text <> '' AND NOT regexp_matches(question_text, '{MARKS_SQL}')", "chunks")
 def job_make_questions(s, d):
     import json
 
