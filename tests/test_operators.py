@@ -649,3 +649,15 @@ def test_write_and_read_graph(spark, tmp_path):
     tables.write_graph(str(tmp_path), append=True, nodes=nodes)
     assert tables.read_graph(spark, str(tmp_path), "nodes")["nodes"].count() == 2
     assert {r.property for r in graph.schema(nodes=nodes).collect()} == {"name"}
+
+
+def test_deletes_sort_a_bounded_number_of_rows_in_a_task(spark):
+    """Partitions are cut by rows, whatever they compress to."""
+    n = 4_000_000
+    jobs_table = spark.range(n).select("id", (F.col("id") % 1000).alias("file_id"))
+    many, few = spark.range(n), spark.range(0, 1000)
+    kept_files, links, kept_jobs = cat.delete_files(many, jobs_table.where("id < 3000"), jobs_table.where("id < 3000"), few.where("id % 2 = 0"))
+    assert kept_files.count() == n - 500 and kept_jobs.count() == 1500 and links.where("file_id is null").count() == 1500
+    files_left, _, _ = cat.delete_files(many, jobs_table.limit(1), jobs_table.limit(1), many.where("id % 2 = 0"))
+    sizes = [r["count"] for r in files_left.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n // 2 and max(sizes) <= cat.TASK_ROWS
