@@ -661,3 +661,17 @@ def test_deletes_sort_a_bounded_number_of_rows_in_a_task(spark):
     files_left, _, _ = cat.delete_files(many, jobs_table.limit(1), jobs_table.limit(1), many.where("id % 2 = 0"))
     sizes = [r["count"] for r in files_left.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == n // 2 and max(sizes) <= cat.TASK_ROWS
+
+
+def test_counting_a_text_does_not_walk_all_known_pieces():
+    from scriptorium.plans.queries import PATTERN, RANKS
+
+    count = split.vocabulary_counter(open(RANKS, "rb").read(), PATTERN)
+    short = ["a b"] * 3000
+    count(short[:1])
+    begun = time.process_time()
+    few = count(short)
+    alone = time.process_time() - begun
+    count([" ".join(f"{chr(97 + i % 26)}{i}" for i in range(180_000))])
+    begun = time.process_time()
+    assert count(short) == few and time.process_time() - begun < 10 * alone + 0.5
