@@ -675,3 +675,26 @@ def test_counting_a_text_does_not_walk_all_known_pieces():
     count([" ".join(f"{chr(97 + i % 26)}{i}" for i in range(180_000))])
     begun = time.process_time()
     assert count(short) == few and time.process_time() - begun < 10 * alone + 0.5
+
+
+def test_semantic_splitter_takes_small_batches(spark):
+    """What a task holds in Python does not grow with its rows."""
+    from pyspark.sql.functions import pandas_udf
+
+    from scriptorium.plans.queries import QUERIES
+
+    @pandas_udf("long")
+    def told(texts):
+        return texts.str.len() * 0 + len(texts)
+
+    rows_and_bytes = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(c) for c in rows_and_bytes]
+    try:
+        spark.conf.set(rows_and_bytes[0], "10000")
+        QUERIES["semantic_splitter"](spark, "/root/testdata/sf0.001")
+        narrow = spark.range(0, 5000, 1, 1).select(told(F.col("id").cast("string")).alias("n"))
+        wide = spark.range(0, 400, 1, 1).select(told(F.repeat(F.lit("x"), 100_000)).alias("n"))
+        assert max(r.n for r in narrow.collect()) <= 500 and max(r.n for r in wide.collect()) <= 60
+    finally:
+        for c, v in zip(rows_and_bytes, before, strict=True):
+            spark.conf.set(c, v)
