@@ -698,3 +698,14 @@ def test_semantic_splitter_takes_small_batches(spark):
     finally:
         for c, v in zip(rows_and_bytes, before, strict=True):
             spark.conf.set(c, v)
+
+
+def test_bundles_give_back_every_transcript(spark, tmp_path):
+    """Few files whatever their texts are, and the same rows as of one file each."""
+    texts = {f"show {i}_combined.txt": f"=== Chunk 1 ===\ntext {i}" + ("\n" * (i % 3)) for i in range(50)}
+    texts |= {"a_merged.txt": "x\x1e=== File y\n\x1e~\x1e\n\n", "b.txt": "", "c.txt": "\n"}
+    df = spark.createDataFrame(list(texts.items()), "document_name string, content string").repartition(3)
+    tables.write_bundles(df, str(tmp_path / "b"), per_file=10)
+    got = {r.document_name: (r.kind, r.content) for r in tables.bundled(spark.read, str(tmp_path / "b")).collect()}
+    assert {n: c for n, (_, c) in got.items()} == texts and got["a_merged.txt"][0] == "merged"
+    assert len(list((tmp_path / "b").glob("*.txt"))) <= 8
