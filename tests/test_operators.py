@@ -709,3 +709,19 @@ def test_bundles_give_back_every_transcript(spark, tmp_path):
     got = {r.document_name: (r.kind, r.content) for r in tables.bundled(spark.read, str(tmp_path / "b")).collect()}
     assert {n: c for n, (_, c) in got.items()} == texts and got["a_merged.txt"][0] == "merged"
     assert len(list((tmp_path / "b").glob("*.txt"))) <= 8
+
+
+def test_transcript_queries_write_few_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from scriptorium.plans import queries as q
+
+    made = []
+    monkeypatch.setattr(q, "scratch", lambda s, name, new=q.scratch: made.append(new(s, name)) or made[-1])
+    whole = sorted(rows(q.QUERIES["parse_chunks"](spark, "/root/testdata/sf0.01")), key=str)
+    for name in ("src_transcripts", "stream_transcripts"):
+        made.clear()
+        assert sorted(rows(q.QUERIES[name](spark, "/root/testdata/sf0.01").select("document_name", "pos", "chunk_id", "text", "start_time", "end_time")), key=str) == whole
+        assert sum(1 for p in made for _ in Path(p.removeprefix("file://")).glob("*.txt")) <= 8
+    monkeypatch.setattr(q, "OWN_FILE", 1500)  # long transcripts come in splits of files of their own
+    assert sorted(rows(q.QUERIES["src_transcripts"](spark, "/root/testdata/sf0.01").select("document_name", "pos", "chunk_id", "text", "start_time", "end_time")), key=str) == whole
