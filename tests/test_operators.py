@@ -725,3 +725,20 @@ def test_transcript_queries_write_few_files(spark, monkeypatch):
         assert sum(1 for p in made for _ in Path(p.removeprefix("file://")).glob("*.txt")) <= 8
     monkeypatch.setattr(q, "OWN_FILE", 1500)  # long transcripts come in splits of files of their own
     assert sorted(rows(q.QUERIES["src_transcripts"](spark, "/root/testdata/sf0.01").select("document_name", "pos", "chunk_id", "text", "start_time", "end_time")), key=str) == whole
+
+
+def test_build_graph_reads_its_transcripts_a_few_times(spark):
+    """For the chunks and for the titles, not again for each table that is made of them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    plain = spark.createDataFrame([("t_combined.txt", "t", "=== Chunk 1 ===\nalpha\n=== Chunk 2 ===\nbeta\n")], "document_name string, title string, content string")
+    videos = spark.createDataFrame([(0, "t", "u")], "row_no long, title string, url string")
+    reply = json.dumps({"concepts": [{"name": "beta", "type": "", "description": "", "origin_chunks": []}], "relationships": []})
+    made = jobs.build_graph(plain.mapInArrow(told, plain.schema), videos, lambda prompt: reply)
+    assert {r.label: r.n for r in graph.counts(**made).collect()} == {"documents": 1, "chunks": 2, "has_chunk": 2, "concepts": 1, "mentions": 1, "concept_relation": 0}
+    assert rows(made["mentions"]) == [("t_combined.txt", 1, "beta")] and read.value <= 8
