@@ -163,7 +163,7 @@ def hopeful(rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     A similarity of t takes an overlap of t / (1 + t) times both sizes together, and the overlap is at most u.
     """
     labels = rows.select("id", "label").distinct()
-    sized = rows.join(shared(held, labels), "id")
+    sized = rows.join(table(shared(held, labels), "shared"), "id")  # written, as it is read twice: one plan would hold all its stages at once
     smallest = sized.groupBy("band", "key").agg(F.min("n").alias("smallest"))
     kept = sized.join(smallest, ["band", "key"]).where(F.col("u") >= threshold / (1 + threshold) * (F.col("n") + F.col("smallest")) - 1e-6).drop("smallest")
     kept = table(kept, "hopeful")
@@ -212,29 +212,39 @@ def compared(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, label): the least id that edges (a, b) connect it with; only ids with edges. Alternates large and small stars.
 
-    A star with more than a few rows of one node is not gathered: the least neighbour is an aggregate, joined back. Raises
-    where `rounds` are not enough (a chain of 2 ** rounds texts would take them).
+    A star with more than a few rows of one node is not gathered: the least neighbour is an aggregate, joined back. Ends once
+    each id has one centre, which is no other's leaf. Raises where `rounds` are not enough (a chain of 2 ** rounds texts would
+    take them).
     """
-    now, before = table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars"), None
+    now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars")
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = table(both.join(least, "v").where("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "stars")
+        if is_stars(now):
+            break
+        least = ends(now).groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        # Not made distinct: each edge gives one row at most, and the small stars take repeats out.
+        large = table(ends(now).join(least, "v").where("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")), "stars")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        others = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        found = table(others.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "stars")
+        made = F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
+        found = table(large.join(least, "v").select(F.explode(made).alias("x")).select("x.v", "x.u").where("v <> u").distinct(), "stars")
         discard(now, large)
         now = found
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before:
-            break
-        before = mark
     else:
         raise RuntimeError(f"components are not told after {rounds} rounds")
     roots = now.select(F.col("u").alias("id")).distinct()
     return now.select(F.col("v").alias("id"), F.col("u").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
 
 
+def ends(stars: DataFrame) -> DataFrame:
+    """(v, u) of each edge both ways."""
+    return stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """Whether of distinct edges (v, u), v above u, each v has one edge and no u is a v."""
+    of_leaf = ends(edges).groupBy("v").agg(F.count_if(F.col("u") < F.col("v")).alias("below"), F.count(F.lit(1)).alias("all"))
+    return of_leaf.where("below > 0 and all > 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, stars: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, class_id, class_size, class_key for each row of docs (doc_id, text; other columns are ignored).
 
@@ -264,14 +274,17 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, st
         done = pairs if done is None else done.unionByName(pairs)
         found = compared(pairs, held, threshold)
         links = found if links is None else links.unionByName(found)
-        labelled = rest.drop("label", "u").join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        joined = table(components(links), "joined")
+        labelled = rest.drop("label", "u").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
         rest = hopeful(table(labelled, "labelled"), held, threshold)
     # A pivot may not be similar enough where another member of the bucket is.
     pairs = table(prefix_pairs(rest, held, threshold).join(done, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(compared(pairs, held, threshold))
+        found = compared(pairs, held, threshold)
+        if not found.isEmpty():  # the classes so far are stars, which the new links join
+            joined = components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(found))
     # Copies hang on the one that stands for them; both kinds of links give the classes, each named after its least doc_id.
-    labelled = table(reps.select("id", "first").join(components(links), "id", "left").select("id", "first", "label"), "labelled")
+    labelled = table(reps.select("id", "first").join(joined, "id", "left").select("id", "first", "label"), "labelled")
     least = labelled.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
     name = F.coalesce("label", "id")
     key = F.concat(*(F.lower(F.lpad(F.hex(name[c]), 16, "0")) for c in ("c1", "c2")))

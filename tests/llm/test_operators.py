@@ -447,6 +447,28 @@ def test_components(spark):
     assert got == {**{i: 0 for i in [*range(41), *range(100, 140)]}, 200: 200, 201: 200}
 
 
+def test_components_write_no_more_than_they_must(spark, monkeypatch):
+    """Stars are done as they are given, and links that add nothing are not gone over again; each round deals few rows many times."""
+    written, table = [], dart_minhash.table
+    monkeypatch.setattr(dart_minhash, "table", lambda df, name, *by: (written.append(name), table(df, name, *by))[1])
+    stars = spark.createDataFrame([(0, i) for i in range(1, 20)] + [(30, 31), (31, 30), (7, 7)], "a long, b long")
+    assert {r.id: r.label for r in dart_minhash.components(stars).collect()} == {**dict.fromkeys(range(20), 0), 30: 30, 31: 30}
+    assert written == ["stars"]
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    least = list(range(300))
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.id: r.label for r in dart_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: least[x] for a, b in edges if a != b for x in (a, b)}
+    written.clear()
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(4)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_classes(docs).collect()} == dict.fromkeys(range(4), 0)
+    assert written.count("stars") <= 3
+
+
 # Language model
 
 
