@@ -677,6 +677,31 @@ def test_counting_a_text_does_not_walk_all_known_pieces():
     assert count(short) == few and time.process_time() - begun < 10 * alone + 0.5
 
 
+def test_vocabulary_counter_cuts_as_the_encoder_does():
+    """White space of all kinds, also what only Python takes for it; new words cost no more than known ones by much."""
+    import base64
+    import random
+
+    import tiktoken
+
+    from scriptorium.plans.queries import PATTERN, RANKS
+
+    data = open(RANKS, "rb").read()
+    whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, special_tokens={})
+    rng = random.Random(3)
+    signs = ["a", "B", "é", "7", ".", "'s", "中", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u200b", "\u3000"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(5000)] + ["", " ", "x  ", "  x", " \x1c ", "  \x1cx", "ab  cd" * 30_000]
+    count = split.vocabulary_counter(data, PATTERN)
+    assert count(texts) == [len(whole.encode_ordinary(t)) for t in texts]
+    assert split.vocabulary_counter(data, r"\S+|\s+")(["a  b c"]) == [len(tiktoken.Encoding("w", pat_str=r"\S+|\s+", mergeable_ranks=whole._mergeable_ranks, special_tokens={}).encode_ordinary("a  b c"))]
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(300)) for _ in range(300)]
+    begun = time.process_time()
+    got = count(words)
+    took = time.process_time() - begun
+    begun = time.process_time()
+    assert got == [len(whole.encode_ordinary(t)) for t in words] and took < (time.process_time() - begun) * 1.3
+
+
 def test_semantic_splitter_takes_small_batches(spark):
     """What a task holds in Python does not grow with its rows."""
     from pyspark.sql.functions import pandas_udf
